@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import bpe, exact_dedup, nearest
 from .common import read
 
 
@@ -14,5 +15,27 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_exact_dedup": op5_exact_dedup}
-SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL}
+def vocabulary_path() -> str:
+    """The production vocabulary; it belongs to the machine, not to this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_bpe": op6_bpe,
+    "op10_nearest": op10_nearest,
+}
+SQL: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.SQL,
+    "op10_nearest": nearest.SQL,
+}
