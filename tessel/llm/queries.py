@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, nearest
-from .common import read
+from . import bpe, exact_dedup, langid, mixing, nearest, sharding, toxicity
+from .common import crc_mod, read
+
+SHARDS = [f"shard-{k:03d}" for k in range(128)]
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +32,37 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(read(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(read(spark, sf_dir, "documents"), crc_mod("doc_id", 4) != 2)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
+    "op7_sharding": op7_sharding,
+    "op8_langid": op8_langid,
     "op10_nearest": op10_nearest,
 }
 SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op7_sharding": sharding.sql(SHARDS),
     "op10_nearest": nearest.SQL,
 }
