@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, nearest, sharding, toxicity
+from . import bpe, chat, exact_dedup, html_text, langid, mixing, nearest, sharding, toxicity
 from .common import crc_mod, read
 
 SHARDS = [f"shard-{k:03d}" for k in range(128)]
@@ -28,10 +28,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = chat.turn_rows(read(spark, sf_dir, "conversations")).unionByName(chat.turn_rows(more))
+    return chat.read_back(chat.format_turns(turns))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"), html_text.train())
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -53,16 +64,19 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_text": op2_html_text,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op8_langid": op8_langid,
+    "op9_chat": op9_chat,
     "op10_nearest": op10_nearest,
 }
 SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_sharding": sharding.sql(SHARDS),
+    "op9_chat": chat.SQL,
     "op10_nearest": nearest.SQL,
 }
