@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, langid, mixing, nearest, sharding, toxicity
+from . import bpe, chat, exact_dedup, html_text, langid, mixing, nearest, ngram_join, sharding, toxicity
 from .common import crc_mod, read
 
 SHARDS = [f"shard-{k:03d}" for k in range(128)]
@@ -39,6 +39,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"), html_text.train())
 
@@ -64,6 +68,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_html_text": op2_html_text,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest": op10_nearest,
 }
 SQL: dict[str, str] = {
+    "op1_ngram_join": ngram_join.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_sharding": sharding.sql(SHARDS),
     "op9_chat": chat.SQL,
