@@ -98,8 +98,8 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         owner, begin, size = owner[order], begin[order], size[order]
         lanes = np.searchsorted(-size, -np.arange(SEGMENT), "left")  # of size over t
-        state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        count = np.ones(state.shape, np.int32)
+        state = np.zeros((len(self.roots), len(owner)), np.int32)  # no phrase is open
+        count = np.zeros(state.shape, np.int32)
         for t in range(int(size[0]) if len(size) else 0):
             m = lanes[t]
             c = flat[begin[:m] + t]
@@ -108,8 +108,7 @@ class Parser:
             if len(missed):
                 lang, lane = missed // m, missed % m
                 count[lang, lane] += 1
-                again = self.table[self.roots[lang] + c[lane]]
-                to[lang, lane] = np.where(again > 0, again, self.roots[lang])
+                to[lang, lane] = self.table[self.roots[lang] + c[lane]]  # none: the class is a phrase of its own
             state[:, :m] = to
         out = np.zeros((len(texts), len(self.langs)))
         np.add.at(out, owner, count.T)

@@ -1,0 +1,284 @@
+import hashlib
+import json
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tessel.llm import bpe, chat, html_text, langid, mixing, nearest, sharding, toxicity
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+VOCAB = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def tokens():
+    from tokenizers import Tokenizer
+
+    with open(VOCAB, encoding="utf-8") as f:
+        return Tokenizer.from_file(VOCAB), bpe.Bpe.from_json(f.read())
+
+
+ODD = "ab thé ñß's 'll  \n\t\r\x85\xa0\u2003\u3000\x1c٣²Ⅷ中日本𝒳👍🏽!?.,-_$0\u200b\x00"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(ODD), max_size=60) | st.text(max_size=40))
+def test_bpe_equals_the_library(tokens, text):
+    lib, own = tokens
+    ids = lib.encode(text, add_special_tokens=False).ids
+    w = bpe.Worker(own)
+    assert next(w.ids([text])).tolist() == ids
+    n, h, back = next(w.digest([text]))
+    assert (n, h) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert back == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_frames(spark, tokens):
+    texts = [(1, "Hello world<|endoftext|>  x"), (2, None), (3, ""), (3, ""), (4, "ab " * 50_000), (None, "a" * 5_000)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id long, text string, ids int")
+    ids = bpe.encode(docs, VOCAB)
+    assert sorted((repr(r["doc_id"]), r["ids"]) for r in ids.collect()) == sorted((repr(i), tokens[0].encode(t or "", add_special_tokens=False).ids) for i, t in texts)
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in bpe.decode(ids, VOCAB).collect()) == sorted((repr(i), t or "") for i, t in texts)
+    got = bpe.round_trip(docs, VOCAB).collect()
+    assert sorted((repr(r["doc_id"]), r["decoded_sha256"]) for r in got) == sorted((repr(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in texts)
+    assert bpe.round_trip(docs.limit(0), VOCAB).count() == 0
+
+
+def vectors():
+    rng = np.random.default_rng(4)
+    out = [(i, [float(np.float32(v)) for v in rng.normal(size=8)]) for i in range(300)]
+    out += [(300 + i, out[i % 5][1]) for i in range(20)]  # ties
+    out += [(400, None), (500, [0.0] * 8), (600, [float("nan")] + [1.0] * 7), (700, [float("inf")] + [1.0] * 7), (800, [None] + [1.0] * 7), (900, [1.0, 2.0]), (901, [1.0, 3.0]), (1000, []), (None, [1.0] * 8), (200, out[200][1]), (1100, [1e-30] * 8)]
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 20, 100])
+def test_nearest_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(nearest, "QUERY_BYTES", most)
+    rows = vectors()
+    df = spark.createDataFrame([(i, x, 1, "q") for i, x in rows], "vec_id long, embedding array<float>, rank int, query_id string").repartition(4)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(df, F.col("vec_id") % 100 == 0, 10).collect())
+    good = {i: np.array(x, np.float32).astype(float) for i, x in rows if i is not None and x and all(v is not None and np.isfinite(v) for v in x) and any(x)}
+    want = []
+    for q in sorted(good):
+        if q % 100 == 0:
+            near = sorted((float(nearest.exactly(good[q][None], x[None])[0]), i) for i, x in good.items() if i != q and len(x) == len(good[q]))
+            want += [(q, k + 1, i, d) for k, (d, i) in enumerate(near[:10])]
+    assert got == want
+
+
+def test_nearest_of_nothing(spark):
+    assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_schedule_keeps_every_window():
+    parts = mixing.shares({"a": 1, "b": 2.5, "c": 0.01, "d": 7, None: 3}, 1024)
+    assert sum(parts.values()) == 1024
+    plan = mixing.schedule(parts, 1024)
+    assert sorted(p[2] for p in plan) == list(range(1024)) and all(release <= slot < due for _, _, slot, release, due in plan)
+    had = Counter()
+    for t, (s, *_) in enumerate(sorted(plan, key=lambda p: p[2])):
+        had[s] += 1
+        assert all(abs(had[x] - parts[x] * (t + 1) / 1024) < 1 for x in parts)
+
+
+def test_mixing_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 7}" if i % 50 else None) for i in range(500)] + [(None, "hot"), (3, "hot"), (3, "hot")]
+    docs = spark.createDataFrame([(i, s, 0, 0) for i, s in rows], "doc_id long, source string, slot int, block int")
+    got = mixing.mix(docs, {"hot": 2.0, "s1": 1.0}, block_rows=4).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
+    assert len({(r["slot"], r["place"]) for r in got}) == len(rows) and all(r["release"] <= r["slot"] < r["deadline"] and r["place"] < 4 for r in got)
+    for s in {s for _, s in rows}:
+        mine = sorted((r["block"], r["place"]) for r in got if r["source"] == s)
+        assert mine == [(k // 4, k % 4) for k in range(len(mine))]
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_lookup_table_is_even_and_moves_little():
+    shards = [f"s{k}" for k in range(20)]
+    table = sharding.fill(shards, 5003)
+    n = Counter(table)
+    assert max(n.values()) - min(n.values()) <= 1 and len(n) == 20
+    fewer = sharding.fill(shards[:-1], 5003)
+    moved = sum(a != b for a, b in zip(table, fewer) if a != 19)
+    assert moved < 0.1 * 5003
+    for bad in ([], ["a", "a"]):
+        with pytest.raises(ValueError):
+            sharding.fill(bad, 5003)
+    with pytest.raises(ValueError):
+        sharding.fill(shards, 5000)
+
+
+def test_sharding_rows(spark):
+    shards = ["a", "b", "c"]
+    docs = spark.createDataFrame([(i, "k" if i % 2 else str(i), 1) for i in range(400)] + [(None, None, 2), (7, "k", 3), (7, "k", 3)], "doc_id long, key string, shard int")
+    table = sharding.fill(shards, 307)
+    got = sharding.place(docs, shards, size=307).collect()
+    want = [table[int(hashlib.md5(b"" if i is None else str(i).encode()).hexdigest()[:8], 16) % 307] for i in (r["doc_id"] for r in got)]
+    assert [r["shard"] for r in got] == [shards[k] for k in want] and len(got) == 403
+    spread = Counter(r["shard"] for r in sharding.place_hot(docs, shards, "key", "doc_id", 20, 307).where("key = 'k'").collect())
+    assert len(spread) == 3 and sum(spread.values()) == 202
+
+
+@given(st.text(st.sampled_from("\\<s>/[INST] SYSROLE\nx"), max_size=40) | st.text(max_size=30), st.sampled_from(["user", "assistant", "system", "tool", "", "a]b\n"]))
+def test_chat_turns_come_back(text, role):
+    piece, a, b = chat.formatted(role, text)
+    assert list(chat.parsed(piece + piece)) == [(role, text)] * 2
+    assert chat.unescape(piece[a:b]) == (text if role == "assistant" else "")
+
+
+RECORDS = [
+    ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, "messages", [("user", "a"), ("assistant", "b")]),
+    ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, "conversations", [("user", "a"), ("assistant", "b")]),
+    ({"instruction": "a", "input": "c", "output": "b"}, "instruction", [("user", "a\n\nc"), ("assistant", "b")]),
+    ({"system": "s", "prompt": "a", "completion": "b"}, "prompt-completion", [("system", "s"), ("user", "a"), ("assistant", "b")]),
+    ({"context": "c", "question": "a", "answer": "b"}, "question-answer", [("user", "c\n\na"), ("assistant", "b")]),
+    ({"odd": 1}, "unknown", []),
+]
+
+
+def test_chat_records(spark):
+    rows = [(i, json.dumps(r)) for i, (r, _, _) in enumerate(RECORDS)] + [(90, None), (91, "no json"), (92, "[1]")]
+    got = {r["conv_id"]: r for r in chat.format_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    for i, (_, layout, turns) in enumerate(RECORDS):
+        assert (got[i]["layout"], list(chat.parsed(got[i]["formatted"]))) == (layout, turns)
+        assert [got[i]["formatted"][s["begin"] : s["end"]] for s in got[i]["loss_spans"]] == [t for r, t in turns if r == "assistant"]
+    assert all(got[i]["layout"] == "unknown" for i in (90, 91, 92))
+    assert len({chat.fingerprint(chat.paths(r)) for r, _, _ in RECORDS}) == len(RECORDS)
+
+
+def test_chat_turn_tables(spark):
+    rows = [(1, 1, "assistant", None), (1, 0, None, "q"), (1, 1, "assistant", "z"), (None, 0, "user", "n"), (2, None, "user", "x"), (2, None, "user", "x")]
+    table = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(chat.turn_rows(table))).collect()}
+    assert {k: r["n_turns"] for k, r in got.items()} == {None: 1, 1: 3, 2: 2}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"\nq\nassistant\n\nassistant\nz\n").hexdigest() and got[1]["loss_chars"] == 1
+    with pytest.raises(ValueError):
+        chat.turn_rows(spark.range(1))
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return html_text.train(pages=200, steps=80)
+
+
+def test_html_blocks():
+    page = "<!-- x --><script>var t='</p>';</script><p>a&nbsp;&amp;\n b<br>c<p>d<b>e</b><div class='Ad box'>f</div>"
+    assert [(b.text, b.tags[-1]) for b in html_text.blocks(page)] == [("a & b c", "p"), ("de", "p"), ("f", "div")]
+    assert html_text.blocks(page)[2].names == {"ad", "box"}
+    assert html_text.blocks("") == [] and html_text.blocks("<p") != None  # noqa: E711
+
+
+def test_html_accuracy(crf):
+    rng, wrong, total = random.Random(77), 0, 0
+    for _ in range(150):
+        page, labels = html_text.labelled_page(rng)
+        got = crf.decode(html_text.features(html_text.blocks(page)))
+        assert len(got) == len(labels)
+        wrong, total = wrong + sum(a != b for a, b in zip(got, labels)), total + len(labels)
+    assert wrong < 0.02 * total
+
+
+def test_viterbi_finds_the_best_chain(crf):
+    page, _ = html_text.labelled_page(random.Random(5))
+    chain = html_text.features(html_text.blocks(page))[:8]
+    emit = [sum((crf.emit[crf.number[f]] for f in x if f in crf.number), np.zeros(2)) for x in chain]
+
+    def score(states):
+        return crf.start[states[0]] + crf.end[states[-1]] + sum(e[s] for e, s in zip(emit, states)) + sum(crf.step[a, b] for a, b in zip(states, states[1:]))
+
+    best = max((tuple(int(c) for c in f"{k:0{len(chain)}b}") for k in range(1 << len(chain))), key=score)
+    assert [int(x) for x in crf.decode(chain)] == list(best)
+
+
+def test_html_pages(spark, crf):
+    page = "<html><head><title>T</title></head><body><nav><a href='/'>Home</a></nav><article><h1>Head line</h1><p>First, a sentence.</p><p>And another one.</p></article><footer>&copy; me</footer></body></html>"
+    df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (1, "u", page, "x"), (4, "u", "<article><p>" + "long text, and more. " * 20_000, "x")], "page_id long, url string, html string, text string")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(df, crf).collect())
+    main = "Head line\n\nFirst, a sentence.\n\nAnd another one."
+    assert got[:4] == [(1, main, len(main)), (1, main, len(main)), (2, "", 0), (3, "", 0)] and got[4][2] == 20_000 * 21 - 1
+    assert html_text.extract(df.limit(0), crf).count() == 0
+
+
+def test_automaton_knows_all_substrings():
+    rng = random.Random(2)
+    s = [rng.randint(2, 4) for _ in range(60)]
+    table = langid.Automaton(s, 5).table
+    parts = {tuple(s[a:b]) for a in range(60) for b in range(a + 1, 61)}
+    for _ in range(500):
+        x = tuple(rng.randint(2, 4) for _ in range(rng.randint(1, 7)))
+        at = 1
+        for c in x:
+            at = table[at, c]
+        assert (at > 0) == (x in parts)
+
+
+def test_phrases_are_the_greedy_parse(monkeypatch):
+    p = langid.Parser({"a": "the cat sat on the mat", "b": "der hund lag auf der matte"})
+    for text in ("the hat on the cat", "auf und ab", "x", "", "zzz the"):
+        x = p.read(text)
+        for k, lang in enumerate(p.langs):
+            ref = p.read({"a": "the cat sat on the mat", "b": "der hund lag auf der matte"}[lang]).tobytes()
+            n, i = 0, 0
+            while i < len(x):
+                j = i + 1
+                while j < len(x) and x[i : j + 1].tobytes() in ref:
+                    j += 1
+                n, i = n + 1, j
+            assert p.phrases([x])[0, k] == n
+
+
+def test_language_rows(spark):
+    en, de = "the cat sat on the mat and looked at the other cats", "der hund lag auf der matte und sah die anderen hunde an"
+    rows = [(i, en if i % 2 else de, "en" if i % 2 else "de", 1) for i in range(40)] + [(50, None, "en", 1), (51, "12 !?", "en", 1), (52, "", None, 1), (53, "the mat " * 30_000, None, 1), (54, "auf der matte", None, 1), (54, "auf der matte", None, 1), (55, "中文", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    got = Counter((r["doc_id"], r["lang_pred"]) for r in langid.identify(df, F.lit(True)).collect() if r["doc_id"] >= 50)
+    assert got[(50, "und")] == got[(51, "und")] == got[(52, "und")] == 1 and got[(53, "en")] == 1 and got[(54, "de")] == 2 and sum(got.values()) == 7
+    assert {r["lang_pred"] for r in langid.identify(df, F.lit(False)).collect()} == {"und"}
+    assert langid.identify(df.limit(0), F.lit(True)).count() == 0
+
+
+def toxic_rows(n=600, seed=3):
+    rng = random.Random(seed)
+    vocab, bad = [f"word{i}" for i in range(200)], ["vilething", "nastyone", "scumlike"]
+    out = []
+    for i in range(n):
+        words, toxic = [rng.choice(vocab) for _ in range(30)], i % 6 == 0
+        if toxic:
+            words[rng.randrange(30)] = rng.choice(bad) + rng.choice(["", "s"])
+        out.append((i, " ".join(words), int(toxic)))
+    return out
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t, 0.0) for i, t, _ in rows] + [(9000, None, 0.0), (9001, "", 0.0), (9002, "word1 " * 50_000 + "nastyone", 0.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, None), (None, 1), (0, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, F.col("doc_id") % 5 != 0)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    held = [(got[i]["predicted"], y) for i, _, y in rows if i % 5 == 0]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+    assert got[9000]["predicted"] == got[9001]["predicted"] == 0 and got[9002]["predicted"] == 1 and len(got) == len(rows) + 3
+    kept = {r["doc_id"] for r in toxicity.keep_clean(docs, model).collect()}
+    assert kept == {i for i, r in got.items() if not r["predicted"]}
+
+
+def test_toxicity_without_classes(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.score(docs, toxicity.learn(docs, none, F.lit(True))).collect()} == {0.5}
+
+
+def test_label_model_discounts_repeated_voters():
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.3
+    a, b = (np.where(rng.random(4000) < 0.8, y, ~y) for _ in range(2))
+    votes = np.stack([a, a, a, b], axis=1).astype(float)
+    p, weight = toxicity.label_model(votes, 0.3, 0.1 + 0.8 * b)
+    assert weight[:3].max() < 0.5 < weight[3] and ((p > 0.5) == y).mean() > 0.78
