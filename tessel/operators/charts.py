@@ -39,8 +39,12 @@ def last_errors(errors: DataFrame, most: int = 100) -> DataFrame:
 
 def error_type(message: Column) -> Column:
     """What an error's message says: network, timeout, parse or unknown, in this order."""
-    low = F.lower(F.coalesce(message, F.lit("")))
-    return F.when(low.rlike("network|fetch|econnrefused|enotfound"), "NETWORK").when(low.rlike("timeout|aborted"), "TIMEOUT").when(low.rlike("parse|json|syntax"), "PARSE").otherwise("UNKNOWN")
+    text = F.coalesce(message, F.lit(""))
+    return F.when(text.rlike("network|ECONN|ENOTFOUND"), "NETWORK").when(text.rlike("timeout|超时"), "TIMEOUT").when(text.rlike("parse|解析|SyntaxError"), "PARSE").otherwise("UNKNOWN")
+
+
+def severity(of_type: Column) -> Column:
+    return F.when(of_type == "TIMEOUT", "LOW").when(of_type == "PARSE", "HIGH").otherwise("MEDIUM")
 
 
 def health_counts(status: DataFrame) -> DataFrame:

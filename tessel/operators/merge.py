@@ -40,6 +40,19 @@ def exploded_links(ranked: DataFrame) -> DataFrame:
     return e.withColumns({"at": F.struct(order_key().alias("r"), "link_pos"), "url": F.col("link.url"), "password": F.coalesce("link.password", F.lit("")), "url_key": canonical_key(F.col("link.url")), "kind": kind}).drop("link")
 
 
+def with_notes(links: DataFrame, keyword: str = "") -> DataFrame:
+    """Links with ``note``: the title that ``titles`` (link -> title, of the same record) has for the URL, else for a link that begins with it, else the record's; a note without the keyword gives way to a title that has it."""
+    begins = F.get(F.filter(F.map_entries("titles"), lambda e: F.startswith(e["key"], F.col("url"))), F.lit(0))["value"]
+    own = F.coalesce(F.nullif(F.try_element_at("titles", F.col("url")), F.lit("")), F.nullif(begins, F.lit("")), F.col("title"))
+    has = lambda c: F.contains(F.lower(c), F.lit(keyword.lower()))
+    return links.withColumn("note", F.when(F.lit(not keyword) | has(own) | ~has(F.col("title")), own).otherwise(F.col("title")))
+
+
+def named(links: DataFrame, platforms: DataFrame) -> DataFrame:
+    """Links with the name and colour of their type; an unknown type is its own name. The dimension has a row for each type."""
+    return links.join(F.broadcast(platforms), "link_type", "left").withColumn("platform", F.coalesce("platform", "link_type"))
+
+
 def keyword_match(keyword: str) -> Column:
     """Links whose record's title has the keyword, or whose source skips the filter."""
     return F.lit(not keyword) | F.col("skip_filter") | F.contains(F.lower("title"), F.lit(keyword.lower()))

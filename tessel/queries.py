@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text, urls
 from .operators import charts, filters, liveness, merge, rank, trending
 from .plans.search import Request, merged_links, results, search
-from .sources import registry
+from .sources import catalogue, channels, registry
 from .sources.adapters import AS_OF, attempts, duplicated_records, records, search_log, sources, sql, table
 from .streaming import state
 
@@ -390,9 +390,9 @@ def liveness_ttl(spark, sf_dir):
     return p.groupBy("state", F.col("expires_at").alias("ttl_ms")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CASE user_id % 3 WHEN 0 THEN 'NETWORK' WHEN 1 THEN 'TIMEOUT' ELSE 'UNKNOWN' END AS error_type, 'global' AS source, count(*) AS n, min_by(CASE user_id % 3 WHEN 0 THEN 'fetch failed' WHEN 1 THEN 'request timeout' ELSE 'odd' END || ' ' || event_id, event_id) AS message FROM events WHERE event_type = 'error' GROUP BY ALL")
+@query("SELECT CASE user_id % 3 WHEN 0 THEN 'NETWORK' WHEN 1 THEN 'TIMEOUT' ELSE 'UNKNOWN' END AS error_type, 'global' AS source, count(*) AS n, min_by(CASE user_id % 3 WHEN 0 THEN 'network failed' WHEN 1 THEN 'request timeout' ELSE 'odd' END || ' ' || event_id, event_id) AS message FROM events WHERE event_type = 'error' GROUP BY ALL")
 def warning_rollup(spark, sf_dir):
-    kind = F.when(F.col("user_id") % 3 == 0, "fetch failed").when(F.col("user_id") % 3 == 1, "request timeout").otherwise("odd")
+    kind = F.when(F.col("user_id") % 3 == 0, "network failed").when(F.col("user_id") % 3 == 1, "request timeout").otherwise("odd")
     e = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.lit("global").alias("source"), F.col("event_id").alias("seq"), F.concat(kind, F.lit(" "), F.col("event_id").cast("string")).alias("message"))
     return charts.warnings(e.withColumn("error_type", charts.error_type(F.col("message"))))
 
@@ -467,6 +467,39 @@ def age_label(spark, sf_dir):
     return records(spark, sf_dir).select("arrival_seq", text.age_label(F.col("event_ts"), AS_OF).alias("age"))
 
 
+@query("""WITH m AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM m)
+SELECT 'tg-c' || conv_id || '-' || turn AS unique_id, 'https://pan.quark.cn/s/' || substr(md5(text), 1, 8) AS url, substr(md5(text), 9, 4) AS password FROM k WHERE k <= 3""")
+def channel_pages(spark, sf_dir):
+    h = F.md5(F.col("text").cast("binary"))
+    message = F.concat(F.lit('<div class="tgme_widget_message_wrap"><div data-post="c/'), F.col("turn").cast("string"), F.lit('"><div class="tgme_widget_message_text">A https://t.me/share/url?url=https://pan.quark.cn/s/'), F.substring(h, 1, 8), F.lit(" 提取码："), F.substring(h, 9, 4), F.lit('</div></div><time datetime="2024-01-01"></time></div>'))
+    pages = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("channel"), F.col("turn").alias("page"), message.alias("html"))
+    return channels.from_channel_pages(pages, 3).select("unique_id", F.explode("links").alias("l")).select("unique_id", "l.url", "l.password")
+
+
+@query("SELECT p_brand AS category, p_partkey AS pos, p_partkey AS id, '【' || p_size || '】P' || p_partkey AS title, 'a/b · c' AS text FROM part")
+def chart_json(spark, sf_dir):
+    n = F.col("p_partkey").cast("string")
+    payload = F.concat(F.lit('[{"id":"'), n, F.lit('","title":"P'), n, F.lit('","rating":["'), F.col("p_size").cast("string"), F.lit('"],"types":["a","b"],"regions":["c"]}]'))
+    return channels.from_chart_json(table(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("start"), payload.alias("payload"))).select("category", "pos", "id", "title", "text")
+
+
+@query(sql(*RANKED) + LINKS + f"SELECT url_key, CASE link_type WHEN 'quark' THEN '夸克网盘' WHEN 'baidu' THEN '百度网盘' WHEN '115' THEN '115网盘' ELSE '阿里云盘' END AS platform FROM latest")
+def platform_names(spark, sf_dir):
+    return merge.named(_latest(spark, sf_dir), catalogue.platforms(spark)).select("url_key", "platform")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 13 < 11 THEN true ELSE doc_id % 13 = 11 END AS supported FROM documents WHERE doc_id % 13 NOT IN (0, 6)")
+def supported_links(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("doc_id % 13 not in (0, 6)").select("doc_id", urls.is_supported(F.expr(HOSTED)).alias("supported"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 13 < 11 THEN 'ok' END AS checked FROM documents WHERE doc_id % 13 < 11")
+def checkable_links(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.expr(HOSTED), F.col("doc_id").cast("string")).alias("url"), F.lit("").alias("link_type"), F.col("doc_id").alias("at"))
+    return filters.checkable(d).select(F.col("at").alias("doc_id"), F.lit("ok").alias("checked"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 13 IN (10, 2, 3, 7, 8) THEN '1a' WHEN doc_id % 13 IN (0, 1, 4, 6, 9, 5) THEN '1a' ELSE '' END AS share FROM documents WHERE doc_id % 13 NOT IN (11, 12)")
 def share_ids(spark, sf_dir):
     u = F.expr(HOSTED)

@@ -99,3 +99,9 @@ def zipped(kinds: Column, urls: Column, separator: str = "\\$\\$\\$") -> Column:
     a, b = F.split(kinds, separator), F.split(urls, separator)
     n = F.least(F.size(a), F.size(b))
     return F.arrays_zip(F.slice(a, F.lit(1), n).alias("kind"), F.slice(b, F.lit(1), n).alias("url"))
+
+
+def as_table_function(spark: SparkSession, name: str, view: str) -> None:
+    """Makes ``name(keyword)`` a SQL table function over a view of records: those with all words of the keyword."""
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(keyword STRING) RETURNS TABLE (unique_id STRING, title STRING, content STRING)
+        RETURN SELECT unique_id, title, content FROM {view} WHERE forall(filter(split(lower(keyword), '\\\\s+'), w -> w <> ''), w -> contains(lower(title), w) OR contains(lower(content), w))""")
