@@ -1,10 +1,11 @@
 """N-gram Jaccard self-join with set-relation skipping.
 
 Documents with equal shingle sets are one set. Sets meet in prefix lists: shingles are ordered by how common they are
-(a count sketch of fixed size tells), and two sets can only link if they share one of the rarest shingles of both. The
-lists, sorted by set size, are cut where sizes can't match, and what hangs together through them is joined in one place:
-there an index of lists in blocks by size position lets a set skip blocks that can't match, and a set's overlaps with all
-others are derived from those of the set before it, when both are much alike, by the lists of the shingles they differ in.
+(a count sketch of fixed size tells), and two sets can only link if they share one of the rarest shingles of both. In a
+list, parity bitmaps of the sets bound from below in how many shingles two of them differ; what hangs together by pairs
+that may link is joined in one place: there an index of lists in blocks by size position lets a set skip blocks that
+can't match, and a set's overlaps with all others are derived from those of the set before it, when both are much alike,
+by the lists of the shingles they differ in.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import keep_ids, n_partitions, stored
 from .graph import components
 
 #: Counters of the sketch (a power of two), and of a block of it.
-SKETCH, SKETCH_BLOCK = 1 << 20, 1 << 12
+SKETCH, SKETCH_BLOCK = 1 << 21, 1 << 13
 #: Shingles of the sets that are joined in one place, at most; larger groups are dealt out as pairs of parts.
 GROUP_SHINGLES = 4_000_000
 #: Sets of a block of the index lists.
@@ -89,6 +90,19 @@ def set_id(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """A bitmap, of half a bit to one bit for each shingle: which hash buckets hold an odd number of them."""
+    size = max(64, 1 << (len(found) - 1).bit_length() >> 1) if len(found) > 1 else 64
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows) of half the size: buckets are hashes modulo the size, so both halves add up."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
 def ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Shingles as keys whose order is that of the sketch's level, then the hash: rare ones first."""
     level = levels[(found & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64)
@@ -96,7 +110,7 @@ def ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(k: int):
-    """Of each document (doc_id, n, set_id); of each task its sketch, in blocks."""
+    """Of each document (doc_id, n, set_id, bits); of each task its sketch, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
@@ -104,12 +118,14 @@ def _first_pass(k: int):
             found = shingles(_texts(batch, 1), k)
             sketch += np.bincount((np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             n = [len(f) for f in found]
-            none = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([set_id(f) if len(f) else None for f in found], pa.int64()), none, pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "set_id", "block", "counts"])
+            ids, bits = [set_id(f) if len(f) else None for f in found], [parity(f).tobytes() if len(f) else None for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "set_id", "bits", "block", "counts"])
         blocks = SKETCH // SKETCH_BLOCK
         if sketch.any():
-            counts = [sketch[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK].astype(np.uint32).tobytes() for b in range(blocks)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int64()), pa.array(range(blocks), pa.int32()), pa.array(counts, pa.binary())], names=["doc_id", "n", "set_id", "block", "counts"])
+            held = np.minimum(sketch, 65_535).astype(np.uint16)  # a task's count; beyond that a shingle is common anyway
+            counts = [held[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK].tobytes() for b in range(blocks)]
+            long = pa.nulls(blocks, pa.int64())
+            yield pa.RecordBatch.from_arrays([long, long, long, pa.nulls(blocks, pa.binary()), pa.array(range(blocks), pa.int32()), pa.array(counts, pa.binary())], names=["doc_id", "n", "set_id", "bits", "block", "counts"])
 
     return run
 
@@ -118,11 +134,17 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            some = np.frombuffer(counts, np.uint32).astype(np.int64)
+            some = np.frombuffer(counts, np.uint16).astype(np.int64)
             total[b] = total[b] + some if b in total else some
     for b, counts in total.items():
-        levels = np.ceil(np.log2(counts + 1)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["block", "levels"])
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["block", "counts"])
+
+
+def commonness(counts: np.ndarray) -> np.ndarray:
+    """Levels 0 to 63 of counters: how far they stand out of what chance puts into each."""
+    mean = counts.mean()
+    excess = np.maximum(0, (counts - mean) / np.sqrt(mean + 1) - 2)
+    return np.minimum(63, np.ceil(4 * np.log2(1 + excess))).astype(np.uint8)
 
 
 def _prefixes(k: int, percent: int, levels):
@@ -146,6 +168,73 @@ def _prefixes(k: int, percent: int, levels):
     return run
 
 
+def together(n: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of the sets of a list (sizes, bitmaps), the first that each hangs together with by pairs that may link."""
+    g = len(n)
+    words = np.array([len(b) for b in bits])
+    group, rows, at = np.arange(g), {}, {}
+    for w in np.unique(words):
+        at[w] = np.flatnonzero(words == w)
+        rows[w] = np.stack([bits[i] for i in at[w]])
+    halved = {w: folded(b) for w, b in rows.items() if w // 2 in rows}
+    place = np.zeros(g, np.int64)
+    for some in at.values():
+        place[some] = np.arange(len(some))
+    free = np.ones(g, bool)
+    for first in range(g):
+        if not free[first]:
+            continue
+        free[first] = False
+        line = [first]
+        while line and free.any():
+            p = line.pop()
+            w, mine = words[p], rows[words[p]][place[p]]
+            for other, theirs, own in ((w, rows[w], mine), (2 * w, halved.get(2 * w), mine), (w // 2, rows.get(w // 2), halved[w][place[p]] if w in halved else None)):
+                if theirs is None or own is None or other not in at:
+                    continue
+                left = at[other][free[at[other]]]
+                left = left[(100 * np.minimum(n[left], n[p]) >= percent * np.maximum(n[left], n[p]))]
+                if not len(left):
+                    continue
+                differ = np.bitwise_count(theirs[place[left]] ^ own).sum(axis=1, dtype=np.int64)
+                met = left[differ * (100 + percent) <= (100 - percent) * (n[left] + n[p])]
+                group[met], free[met] = first, False
+                line.extend(met.tolist())
+    return group
+
+
+def _edges(percent: int):
+    """(u, v) that hang together in a list of (token, set_id, n, bits); lists come whole and one after another."""
+
+    def run(batches):
+        us, vs = [], []
+
+        def close(ids, n, bits):
+            if len(ids) < 2:
+                return
+            group = together(np.array(n, np.int64), [np.frombuffer(b, np.uint64) for b in bits], percent)
+            for i, first in enumerate(group.tolist()):
+                if i != first:
+                    us.append(ids[i]), vs.append(ids[first])
+
+        token, ids, n, bits = None, [], [], []
+        for batch in batches:
+            for t, s, size, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != token:
+                    close(ids, n, bits)
+                    token, ids, n, bits = t, [], [], []
+                if not ids or ids[-1] != s:  # tasks repeat a set
+                    ids.append(s), n.append(size), bits.append(b)
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                us, vs = [], []
+        close(ids, n, bits)
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
 def _sets(k: int, levels):
     """(comp, part, parts, set_id, weight, keys) of the documents that stand for their sets."""
 
@@ -273,18 +362,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = stored(rows.mapInArrow(_first_pass(k), "doc_id long, n long, set_id long, block int, counts binary"), "sets")
+    first = stored(rows.mapInArrow(_first_pass(k), "doc_id long, n long, set_id long, bits binary, block int, counts binary"), "sets")
     of_docs = first.where("block is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
-    summed = first.where("block is not null").select("block", "counts").repartition(n_partitions(spark), "block").mapInArrow(_add_up, "block int, levels binary").collect()
-    level = np.zeros(SKETCH, np.uint8)
+    summed = first.where("block is not null").select("block", "counts").repartition(n_partitions(spark), "block").mapInArrow(_add_up, "block int, counts binary").collect()
+    counts = np.zeros(SKETCH, np.int64)
     for b, some in summed:
-        level[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK] = np.frombuffer(some, np.uint8)
-    levels = spark.sparkContext.broadcast(level)
+        counts[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK] = np.frombuffer(some, np.int64)
+    levels = spark.sparkContext.broadcast(commonness(counts))
     sets = of_docs.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"))
-    postings = rows.mapInArrow(_prefixes(k, percent, levels), "token long, set_id long, n int")
-    before = Window.partitionBy("token").orderBy("n", "set_id")
-    pairs = postings.select(F.col("set_id").alias("u"), F.lag("set_id").over(before).alias("v"), "n", F.lag("n").over(before).alias("m"))
-    pairs = pairs.where((F.col("u") != F.col("v")) & (100 * F.col("m") >= percent * F.col("n"))).select("u", "v").distinct()
+    postings = rows.where("doc_id is not null").mapInArrow(_prefixes(k, percent, levels), "token long, set_id long, n int")
+    of_token = Window.partitionBy("token")
+    met = postings.withColumns({"least": F.min("set_id").over(of_token), "most": F.max("set_id").over(of_token)}).where("least < most").select("token", "set_id", "n")
+    met = stored(met, "lists")
+    bitmaps = first.where("set_id is not null").select("set_id", "bits").join(met.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("bits").alias("bits"))
+    lists = met.join(bitmaps, "set_id").select("token", "set_id", F.col("n").cast("long").alias("n"), "bits")
+    pairs = lists.repartition("token").sortWithinPartitions("token", "n", "set_id").mapInArrow(_edges(percent), "u long, v long").distinct()
     group = stored(components(pairs).join(sets, F.col("node") == F.col("set_id")).select("set_id", F.col("root").alias("comp"), "rep", "weight", "n"), "groups")
     heavy = group.groupBy("comp").agg(F.sum("n").alias("total")).where(F.col("total") > GROUP_SHINGLES)
     heavy = heavy.select("comp", F.ceil(F.col("total") / GROUP_SHINGLES).alias("parts"))
