@@ -190,3 +190,25 @@ def normalised_share(kind: Column, url: Column, password: Column) -> Column:
     low = F.when(host != "", F.replace(base, host, F.lower(host))).otherwise(base)
     wants = kind.isin("baidu", "quark", "uc") & (F.coalesce(password, F.lit("")) != "") & F.try_parse_url(low, F.lit("QUERY"), F.lit("pwd")).isNull()
     return F.when(wants, F.concat(low, F.when(F.contains(low, F.lit("?")), "&").otherwise("?"), F.lit("pwd="), password)).otherwise(low)
+
+
+#: What other services call the types.
+TYPE_NAMES = {"bdy": "baidu", "baidupan": "baidu", "aly": "aliyun", "alipan": "aliyun", "ali": "aliyun", "kk": "quark", "kuake": "quark", "quarkpan": "quark", "xl": "xunlei", "xunleipan": "xunlei", "ty": "tianyi", "tianyiyun": "tianyi", "ucpan": "uc", "yd": "mobile", "caiyun": "mobile", "123pan": "123", "115pan": "115"}
+
+
+def mapped_type(name: Column, url: Column) -> Column:
+    """The type by another service's name for it, else by the link."""
+    known = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
+    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    kinds = [k for k, _ in TYPE_HOSTS]
+    return F.coalesce(F.when(low.isin(*kinds), low), F.try_element_at(known, low), link_type(url))
+
+
+def first_token(text: Column) -> Column:
+    """What comes before the first space or line end."""
+    return F.regexp_extract(F.ltrim(text), r"^([^ \n\r]*)", 1)
+
+
+def share_password(url: Column, fallback: Column) -> Column:
+    """The access code that a link carries in its query or fragment, else the fallback."""
+    return F.coalesce(_found(url, r"[?&#](?:pwd|password|passcode|code)=([^&#]+)", 1), _found(url, r"（访问码[：:]\s*([a-zA-Z0-9]+)）", 1), fallback, F.lit(""))

@@ -37,3 +37,18 @@ def checkable(links: DataFrame) -> DataFrame:
     """The first of each URL that liveness can check."""
     kind = F.when(filled(F.col("link_type")), F.col("link_type")).otherwise(link_type(F.col("url")))
     return links.withColumn("link_type", kind).where(~kind.isin(*UNCHECKED)).groupBy("url").agg(F.min_by("link_type", "at").alias("link_type"), F.min("at").alias("at"))
+
+
+def enabled_sources(known: DataFrame, enabled: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """``name`` of the known sources that are enabled, with those added since, in any case of letters; unknown names go."""
+    asked = enabled if added is None else enabled.unionByName(added)
+    return known.join(asked.select(F.lower("name").alias("asked")).distinct(), F.lower("name") == F.col("asked"), "left_semi")
+
+
+def clamped(value: int | None, least: int, most: int, default: int) -> int:
+    return default if value is None else min(max(value, least), most)
+
+
+def expand_new(known: DataFrame, enabled: DataFrame) -> DataFrame:
+    """Known sources that are not enabled yet."""
+    return known.join(enabled.select("name"), "name", "left_anti")

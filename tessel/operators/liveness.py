@@ -158,3 +158,17 @@ def split_cached(links: DataFrame, cache: DataFrame, as_of_ms: Column) -> tuple[
     """(links with a state that has not expired, links still to check)."""
     alive = cache.where(F.col("expires_at") > as_of_ms).select("url", "state")
     return links.join(alive, "url"), links.join(alive.select("url"), "url", "left_anti")
+
+
+def pruned(cache: DataFrame, as_of_ms: Column) -> DataFrame:
+    """Cached states that have not expired."""
+    return cache.where(F.col("expires_at") > as_of_ms)
+
+
+def cache_key(kind: Column, normalised: Column, scope: str = "") -> Column:
+    return F.concat_ws("|", kind, normalised, *([F.lit(scope)] if scope else []))
+
+
+def known_states(links: DataFrame, cache: DataFrame, as_of_ms: Column) -> DataFrame:
+    """Links with their cached ``state``, null where none is fresh."""
+    return links.join(pruned(cache, as_of_ms).select("url", "state"), "url", "left")

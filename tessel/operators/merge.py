@@ -90,3 +90,16 @@ def records_without_dead(records: DataFrame, dead: DataFrame) -> DataFrame:
     alive = e.join(gone, F.col("l.url") == F.col("dead_url"), "left").groupBy("arrival_seq").agg(F.array_sort(F.collect_list(F.when(F.col("is_dead").isNull() & F.col("l").isNotNull(), F.struct("p", "l")))).alias("k"), F.count("l").alias("n"))
     alive = alive.where("n = 0 or size(k) > 0").select("arrival_seq", F.transform("k", lambda x: x["l"]).alias("links"))
     return records.drop("links").join(alive, "arrival_seq")
+
+
+def first_of_each(rows: DataFrame, order: str = "arrival_seq") -> DataFrame:
+    """The first row of each resource: by ``disk_id``, else by link and name, else by name and type; combined before the shuffle."""
+    both = F.when(filled(F.col("link")) | filled(F.col("name")), F.concat_ws("\x1f", F.lit("link"), F.coalesce("link", F.lit("")), F.coalesce("name", F.lit(""))))
+    key = F.coalesce(F.when(filled(F.col("disk_id")), F.concat(F.lit("id\x1f"), "disk_id")), both, F.concat_ws("\x1f", F.lit("name"), F.coalesce("name", F.lit("")), F.coalesce("kind", F.lit(""))))
+    return rows.groupBy(key.alias("resource")).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def of_latest_run(rows: DataFrame, key: str = "request", run: str = "run_id") -> DataFrame:
+    """Rows of the latest run of each request; rows of runs that a later one overtook go."""
+    latest = rows.groupBy(key).agg(F.max(run).alias("_latest"))
+    return rows.join(latest, key).where(F.col(run) == F.col("_latest")).drop("_latest")

@@ -105,3 +105,8 @@ def ranked(records: DataFrame, sources: DataFrame, as_of: str) -> DataFrame:
 def quality_gate() -> Column:
     """Records worth showing: a known time, a title word, or a source of level 1 or 2."""
     return F.col("event_ts").isNotNull() | (F.col("keyword_score") > 0) | (F.col("level") <= 2)
+
+
+def priority_first(channels: DataFrame, priority: list[str]) -> DataFrame:
+    """Channels (name, ordinal) with ``arrival``: priority channels before the others, each in their order."""
+    return positions(channels, [(~F.col("name").isin(*priority)).cast("int")], [F.col("ordinal")], name="arrival")

@@ -504,3 +504,34 @@ def checkable_links(spark, sf_dir):
 def share_ids(spark, sf_dir):
     u = F.expr(HOSTED)
     return table(spark, sf_dir, "documents").where("doc_id % 13 not in (11, 12)").select("doc_id", urls.share_id(u, urls.link_type(u)).alias("share"))
+
+
+@query("""SELECT min(o_orderkey) AS arrival_seq, min(o_orderstatus || o_orderpriority) AS name FROM orders
+GROUP BY CASE WHEN o_orderkey % 4 = 0 THEN 'i' || o_custkey % 50 ELSE o_orderstatus || o_orderpriority END""")
+def composite_key_dedup(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("arrival_seq"), F.when(F.col("o_orderkey") % 4 == 0, (F.col("o_custkey") % 50).cast("string")).alias("disk_id"), F.lit("").alias("link"), F.concat("o_orderstatus", "o_orderpriority").alias("name"), F.lit("").alias("kind"))
+    kept = merge.first_of_each(rows)
+    least = rows.groupBy(F.coalesce("disk_id", "name").alias("k"), F.col("disk_id").isNotNull().alias("by_id")).agg(F.min("name").alias("least"))
+    joined = kept.join(least, (F.coalesce("disk_id", "name") == F.col("k")) & (F.col("disk_id").isNotNull() == F.col("by_id")))
+    return joined.select("arrival_seq", F.col("least").alias("name"))
+
+
+@query("SELECT user_id AS request, event_id FROM events WHERE (user_id, event_id // 100) IN (SELECT (user_id, max(event_id // 100)) FROM events GROUP BY user_id)")
+def latest_run(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("request"), F.floor(F.col("event_id") / 100).alias("run_id"), "event_id")
+    return merge.of_latest_run(e).select("request", "event_id")
+
+
+@query("SELECT n_name AS name, row_number() OVER (ORDER BY n_name NOT IN ('FRANCE', 'CHINA', 'NATION_3', 'NATION_7'), n_nationkey) AS arrival FROM nation")
+def channels_priority_first(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ordinal"))
+    return rank.priority_first(n, ["FRANCE", "CHINA", "NATION_3", "NATION_7"]).select("name", "arrival")
+
+
+@query("SELECT doc_id, ['baidu', 'quark', 'tianyi', 'others'][doc_id % 4 + 1] AS kind, ['ab12', '', 'zz', 'f'][doc_id % 4 + 1] AS code FROM documents")
+def mapped_types_and_codes(spark, sf_dir):
+    at = (F.col("doc_id") % 4).cast("int") + 1
+    name = F.element_at(F.array(*[F.lit(x) for x in ("BDY", "quark", "ty ", "?")]), at)
+    url = F.element_at(F.array(*[F.lit(x) for x in ("https://pan.baidu.com/s/1?pwd=ab12", "https://pan.quark.cn/s/1", "https://cloud.189.cn/t/1（访问码：zz）", "https://example.org/")]), at)
+    return table(spark, sf_dir, "documents").select("doc_id", urls.mapped_type(name, url).alias("kind"), urls.share_password(url, F.when(at == 4, "f")).alias("code"))

@@ -171,3 +171,14 @@ def into_table(path: str, shape: Callable[[DataFrame], DataFrame]) -> Callable[[
         shape(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def cache_stats(hits: DataFrame) -> DataFrame:
+    """``namespace, gets, hits, misses, hit_percent`` of what ``cache_hits`` found."""
+    g = hits.groupBy("namespace").agg(F.count(F.lit(1)).alias("gets"), F.count_if("hit").alias("hits"))
+    return g.withColumns({"misses": F.col("gets") - F.col("hits"), "hit_percent": F.round(100 * F.col("hits") / F.col("gets"), 2)})
+
+
+def limit_of(path: str, limits: dict[str, int], default: int) -> int:
+    """The limit of a path: its own, else that of the longest listed path it begins with, else the default."""
+    return limits.get(path) or next((limits[p] for p in sorted(limits, key=len, reverse=True) if path.startswith(p)), default)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.operators import charts, merge, rank, trending
+from tessel.operators import charts, filters, merge, rank, trending
 from tessel.plans.search import Request
 from tessel.sources.adapters import AS_OF
 from tessel.streaming import state
@@ -130,3 +130,24 @@ def test_merged_stream_and_running_terms(spark, tmp_path):
     q = state.merged_stream(source).writeStream.option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).foreachBatch(state.into_table(str(tmp_path / "out"), lambda b: b)).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_first_of_each_and_latest_run(spark):
+    rows = [(1, "d", "l", "n", "k"), (2, "d", "m", "o", "k"), (3, "", "l", "n", "k"), (4, None, "l", "n", "z"), (5, None, "", None, "k"), (6, None, None, "", "k")]
+    df = spark.createDataFrame(rows, "arrival_seq long, disk_id string, link string, name string, kind string")
+    assert sorted(r["arrival_seq"] for r in merge.first_of_each(df).collect()) == [1, 3, 5]
+    runs = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 3)], "request string, run_id int, n int")
+    assert sorted(r["n"] for r in merge.of_latest_run(runs).collect()) == [2, 3]
+
+
+def test_settings(spark):
+    known = spark.createDataFrame([("a",), ("B",), ("c",)], "name string")
+    assert sorted(r["name"] for r in filters.enabled_sources(known, spark.createDataFrame([("A",), ("x",)], "name string"), spark.createDataFrame([("b",)], "name string")).collect()) == ["B", "a"]
+    assert [r["name"] for r in filters.expand_new(known, known.where("name <> 'c'")).collect()] == ["c"]
+    assert [filters.clamped(x, 1, 16, 4) for x in (None, 0, 7, 99)] == [4, 1, 7, 16]
+
+
+def test_cache_stats_and_limits(spark):
+    hits = spark.createDataFrame([("n", i, "k", i % 4 == 0) for i in range(8)], "namespace string, seq int, key string, hit boolean")
+    assert tuple(state.cache_stats(hits).select("gets", "hits", "misses", "hit_percent").first()) == (8, 2, 6, 25.0)
+    assert [state.limit_of(p, {"/a": 10, "/a/b": 30}, 60) for p in ("/a", "/a/b/c", "/a?x", "/z")] == [10, 30, 10, 60]
