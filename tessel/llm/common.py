@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of texts that go to Python at once: ten thousand, Spark's default, are tens of MB on either side.
+TEXT_BATCH_ROWS = 500
 #: Rows that a broadcast side may have at most; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -50,3 +52,11 @@ def crc_mod(col: str, n: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Arrow batches have TEXT_BATCH_ROWS rows at most from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_BATCH_ROWS))
+    return df

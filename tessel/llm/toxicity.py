@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import runs
+from .common import small_batches
 
-#: Labelled rows to learn from, terms in the lexicons, and least likelihood ratio of a term, at most or at least.
-SAMPLE_ROWS, MAX_TERMS, LEAST_RATIO = 8_000, 1_000, 16.0
+#: Labelled rows to learn from and terms in the lexicons, at most; likelihood ratio and lift of a term, at least.
+SAMPLE_ROWS, MAX_TERMS, LEAST_RATIO, LEAST_LIFT = 8_000, 1_000, 16.0, 200
 #: Lengths of stems.
 STEMS = (4, 5, 6)
 #: Lexicon voters of each kind of term.
@@ -129,10 +130,10 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     if not n1 or not n0:
         share = (n1 + 0.5) / (n1 + n0 + 1)
         return Model(Lexicon([]), np.zeros(len(PATTERNS)), float(np.log(share / (1 - share))))
-    seen = rows.mapInArrow(_terms_of, "kind int, term string, a long, b long").groupBy("kind", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    seen = small_batches(rows).mapInArrow(_terms_of, "kind int, term string, a long, b long").groupBy("kind", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     term_ratio = 2 * (a * F.log(a * (n1 + n0) / (both * n1)) + F.when(b > 0, b * F.log(b * (n1 + n0) / (both * n0))).otherwise(0))
-    best = seen.where((a > 1) & (a * n0 > 4 * b * n1)).withColumn("ratio", term_ratio).where(F.col("ratio") >= LEAST_RATIO)
+    best = seen.where((a > 1) & (a * n0 > LEAST_LIFT * b * n1)).withColumn("ratio", term_ratio).where(F.col("ratio") >= LEAST_RATIO)
     found = [(r["kind"], r["term"]) for r in best.orderBy(F.desc("ratio"), "kind", "term").limit(MAX_TERMS).collect()]
     lexicon = Lexicon(found)
 
@@ -169,7 +170,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return small_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -182,4 +183,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
     batches_text = docs.columns.index(text_col)
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
