@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import runs
-from .common import keep_ids, n_partitions, stored
+from .common import keep_ids, n_partitions, small_batches, stored
 from .graph import components
 
 #: Counters of the sketch (a power of two), and of a block of it.
 SKETCH, SKETCH_BLOCK = 1 << 21, 1 << 13
+#: Bytes of texts whose shingles are made at once.
+TEXT_BYTES = 1 << 18
 #: Shingles of the sets that are joined in one place, at most; larger groups are dealt out as pairs of parts.
 GROUP_SHINGLES = 4_000_000
 #: Sets of a block of the index lists.
@@ -48,7 +50,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(21, n.bit_length())
+        size = 1 << max(19, n.bit_length())
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x)]), dtype=np.uint64) for x in (STEP, BACK)]
     return _powers[0][:n], _powers[1][:n]
 
@@ -113,10 +115,10 @@ def _first_pass(k: int):
     """Of each document (doc_id, n, set_id, bits); of each task its sketch, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int64)
-        for batch in runs(batches, 1, 1 << 20):
+        sketch = np.zeros(SKETCH, np.int32)
+        for batch in runs(batches, 1, TEXT_BYTES):
             found = shingles(_texts(batch, 1), k)
-            sketch += np.bincount((np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            np.add.at(sketch, (np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             n = [len(f) for f in found]
             ids, bits = [set_id(f) if len(f) else None for f in found], [parity(f).tobytes() if len(f) else None for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "set_id", "bits", "block", "counts"])
@@ -152,7 +154,7 @@ def _prefixes(k: int, percent: int, levels):
 
     def run(batches):
         seen: set[int] = set()
-        for batch in runs(batches, 1, 1 << 20):
+        for batch in runs(batches, 1, TEXT_BYTES):
             tokens, ids, sizes, times = [], [], [], []
             for found in shingles(_texts(batch, 1), k):
                 n = len(found)
@@ -239,7 +241,7 @@ def _sets(k: int, levels):
     """(comp, part, parts, set_id, weight, keys) of the documents that stand for their sets."""
 
     def run(batches):
-        for batch in runs(batches, 0, 1 << 20):
+        for batch in runs(batches, 0, TEXT_BYTES):
             comp, parts, ids, weight = (batch.column(c).to_pylist() for c in (1, 2, 3, 4))
             rows = []
             for c, p, s, w, found in zip(comp, parts, ids, weight, shingles(_texts(batch, 0), k)):
@@ -361,7 +363,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     a row with a null id links with nothing and has a null ``component_id``. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     first = stored(rows.mapInArrow(_first_pass(k), "doc_id long, n long, set_id long, bits binary, block int, counts binary"), "sets")
     of_docs = first.where("block is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     summed = first.where("block is not null").select("block", "counts").repartition(n_partitions(spark), "block").mapInArrow(_add_up, "block int, counts binary").collect()

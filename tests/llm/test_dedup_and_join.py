@@ -56,7 +56,9 @@ def by_hand(nodes, edges):
     return [label[n] for n in nodes]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL_EDGES", small)
     rng = random.Random(5)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, 6000 + i) for i in range(50)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
