@@ -7,6 +7,7 @@ pages that a generator writes (its layouts, tag and class names are the paramete
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import runs
+from .common import small_batches
 
 #: Tags that begin and end blocks, that hold no text, that have no end, and that close an open one of their kind.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -245,6 +247,7 @@ class Crf:
         return [bool(s) for s in reversed(out)]
 
 
+@functools.cache
 def train(pages: int = 400, seed: int = 7, steps: int = 100, rate: float = 0.1, decay: float = 2e-4) -> Crf:
     """A chain trained on generated pages by Adam on the conditional likelihood, all pages at once."""
     rng = random.Random(seed)
@@ -321,4 +324,4 @@ def extract(pages: DataFrame, crf: Crf, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return small_batches(rows).mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
