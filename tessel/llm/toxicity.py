@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .bpe import runs
 from .common import small_batches
 
-#: Labelled rows to learn from and terms in the lexicons, at most; likelihood ratio and lift of a term, at least.
-SAMPLE_ROWS, MAX_TERMS, LEAST_RATIO, LEAST_LIFT = 8_000, 1_000, 16.0, 200
+#: Labelled rows to learn from and terms in the lexicons, at most; likelihood ratio of a term, at least.
+SAMPLE_ROWS, MAX_TERMS, LEAST_RATIO = 8_000, 1_000, 16.0
+#: Least lifts of a term to choose from, and the folds of the learning rows that choose.
+LIFTS, FOLDS = (4, 8, 16, 32), 3
 #: Lengths of stems.
 STEMS = (4, 5, 6)
 #: Lexicon voters of each kind of term.
@@ -96,11 +98,12 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
 
 def fit_linear(x: np.ndarray, p: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Adam; (weights, bias)."""
+    x = x.astype(np.float32, copy=False)
     w, b = np.zeros(x.shape[1]), float(np.log((p.mean() + 1e-3) / (1 - p.mean() + 1e-3)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        left = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - p
-        g = np.append(x.T @ left / len(p) + decay * w, left.mean())
+        left = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -30, 30))) - p
+        g = np.append(x.T @ left.astype(np.float32) / len(p) + decay * w, left.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -116,9 +119,51 @@ class Model:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
+def strong(x: np.ndarray, y: np.ndarray, n_terms: int, lift: float) -> np.ndarray:
+    """Numbers of the terms whose likelihood ratio and (smoothed) lift in these rows are large enough."""
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    a, b = (x[y == k, :n_terms].sum(axis=0, dtype=float) for k in (1, 0))
+    both = np.maximum(a + b, 1)
+    ratio = 2 * sum(n * np.log(np.maximum(n, 1) * (n1 + n0) / (both * of)) for n, of in ((a, n1), (b, n0)))
+    return np.flatnonzero((a > 1) & ((a + 0.5) * (n0 + 1) > lift * (b + 0.5) * (n1 + 1)) & (ratio >= LEAST_RATIO - 1e-6))
+
+
+def narrowed(x: np.ndarray, n_terms: int, keep: np.ndarray) -> np.ndarray:
+    """The features that a lexicon of the terms in ``keep`` alone gives."""
+    out = np.concatenate([x[:, keep], x[:, n_terms:]], axis=1)
+    out[:, len(keep) + PATTERNS.index("twice")] = out[:, : len(keep)].sum(axis=1) > 1
+    return out
+
+
+def fit(lexicon: Lexicon, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the classifier on the label model's posterior."""
+    voter = lexicon.voters()
+    votes = np.zeros((len(x), voter.max() + 2))
+    for k in range(x.shape[1]):
+        votes[:, voter[k]] = np.maximum(votes[:, voter[k]], x[:, k])
+    votes[:, -1] = y
+    posterior, _ = label_model(votes, float(np.clip(y.mean(), 0.01, 0.99)), 0.05 + 0.9 * y)
+    return fit_linear(x, posterior)
+
+
+def wrong(lift: float, terms_: list[tuple[int, str]], x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> int:
+    """Rows that models of this lift, each learned without the row's fold, score on the wrong side of their labels."""
+    out = 0
+    for f in range(FOLDS):
+        rest, own = fold != f, fold == f
+        if not own.any() or not 0 < y[rest].sum() < rest.sum():
+            continue
+        keep = strong(x[rest], y[rest], len(terms_), lift)
+        some = narrowed(x, len(terms_), keep)
+        w, b = fit(Lexicon([terms_[k] for k in keep]), some[rest], y[rest])
+        out += int(((some[own] @ w + b >= 0) != y[own]).sum())
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of at most SAMPLE_ROWS labelled rows for whose ids ``usable`` holds (those with the smallest hashes).
 
+    The least lift of a term is the one of LIFTS whose models err least on folds of these rows (the loosest of equals).
     Labels that are null are left out; of several labels of an id the largest counts. Without rows of both classes the
     model scores everything alike, by the share of label 1.
     """
@@ -133,28 +178,25 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     seen = small_batches(rows).mapInArrow(_terms_of, "kind int, term string, a long, b long").groupBy("kind", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     term_ratio = 2 * (a * F.log(a * (n1 + n0) / (both * n1)) + F.when(b > 0, b * F.log(b * (n1 + n0) / (both * n0))).otherwise(0))
-    best = seen.where((a > 1) & (a * n0 > LEAST_LIFT * b * n1)).withColumn("ratio", term_ratio).where(F.col("ratio") >= LEAST_RATIO)
+    best = seen.where((a > 1) & ((a + 0.5) * (n0 + 1) > LIFTS[0] * (b + 0.5) * (n1 + 1))).withColumn("ratio", term_ratio).where(F.col("ratio") >= LEAST_RATIO)
     found = [(r["kind"], r["term"]) for r in best.orderBy(F.desc("ratio"), "kind", "term").limit(MAX_TERMS).collect()]
     lexicon = Lexicon(found)
 
     def features(batches):
         for batch in batches:
-            on = [lexicon.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(on, pa.list_(pa.int32())), batch.column(1)], names=["on", "toxic"])
+            said = batch.column(0).to_pylist()
+            on, fold = [lexicon.features(t) for t in said], [zlib.crc32(t.encode()) % FOLDS for t in said]
+            yield pa.RecordBatch.from_arrays([pa.array(on, pa.list_(pa.int32())), batch.column(1), pa.array(fold, pa.int32())], names=["on", "toxic", "fold"])
 
-    got = sorted((sorted(r["on"]), r["toxic"]) for r in rows.mapInArrow(features, "on array<int>, toxic int").collect())
+    got = sorted((sorted(r["on"]), r["toxic"], r["fold"]) for r in rows.mapInArrow(features, "on array<int>, toxic int, fold int").collect())
     x = np.zeros((len(got), len(found) + len(PATTERNS)), np.float32)
-    for i, (on, _) in enumerate(got):
+    for i, (on, _, _) in enumerate(got):
         x[i, on] = 1
-    y = np.array([t for _, t in got], float)
-    voter = lexicon.voters()
-    votes = np.zeros((len(got), voter.max() + 2))
-    for k in range(x.shape[1]):
-        votes[:, voter[k]] = np.maximum(votes[:, voter[k]], x[:, k])
-    votes[:, -1] = y
-    prior = float(np.clip(y.mean(), 0.01, 0.99))
-    posterior, _ = label_model(votes, prior, 0.05 + 0.9 * y)
-    return Model(lexicon, *fit_linear(x, posterior))
+    y, fold = np.array([t for _, t, _ in got], float), np.array([f for _, _, f in got])
+    lift = min(LIFTS, key=lambda v: wrong(v, lexicon.terms, x, y, fold))
+    keep = strong(x, y, len(found), lift)
+    kept = Lexicon([lexicon.terms[k] for k in keep])
+    return Model(kept, *fit(kept, narrowed(x, len(found), keep), y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

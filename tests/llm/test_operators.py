@@ -269,6 +269,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_strong_terms_survive_a_few_clean_rows(spark):
+    rows = [(i, t + " nastyone" if i in (7, 8) else t, y) for i, t, y in toxic_rows()]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000, "word1 word2 nastyone word3"), (9001, "word1 word2 word3")], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), F.col("doc_id") % 5 != 0)
+    assert (0, "nastyone") in model.lexicon.terms
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).where("doc_id >= 9000").collect()} == {9000: 1, 9001: 0}
+
+
 def test_toxicity_without_classes(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
