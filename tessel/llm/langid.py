@@ -8,6 +8,7 @@ text walk through it in lockstep.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,12 @@ SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 96, 400, 20_000
 #: Texts are parsed in segments of this many classes, so that a long text is as many lanes as it needs.
 SEGMENT = 1024
 SEPARATOR, UNKNOWN = 0, 1
+#: Classes, the most frequent ones, whose edges lie in the table; those of all others lie in a sorted list.
+DENSE = 252
 
 
 class Automaton:
-    """The suffix automaton of a sequence of classes, as a table: state 0 is dead, state 1 the root."""
+    """The suffix automaton of a sequence of classes: a table of the edges of the first DENSE classes, and the others as (state, class, to). State 0 is dead, state 1 the root."""
 
     def __init__(self, classes: list[int], n_classes: int):
         links, longest, edges = [0, 0], [0, 0], [{}, {}]
@@ -52,10 +55,15 @@ class Automaton:
                         p = links[p]
                     links[q] = links[new] = copy
             last = new
-        self.table = np.zeros((len(links), n_classes), np.int32)
+        self.table = np.zeros((len(links), min(n_classes, DENSE)), np.int32)
+        rare = []
         for s, e in enumerate(edges):
             for c, to in e.items():
-                self.table[s, c] = to
+                if c < self.table.shape[1]:
+                    self.table[s, c] = to
+                else:
+                    rare.append((s, c, to))
+        self.rare = np.array(rare, np.int64).reshape(-1, 3)
 
 
 class Parser:
@@ -63,24 +71,44 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        letters = sorted({c for s in samples.values() for c in s.lower() if c.isalpha()})[:250]
+        seen = Counter(c for s in samples.values() for c in s.lower() if c.isalpha())
+        letters = sorted(seen, key=lambda c: (-seen[c], c))
         number = {c: k + 2 for k, c in enumerate(letters)}
         self.n_classes = len(letters) + 2
-        self.classes = np.zeros(0x110000, np.uint8)
+        self.classes = np.zeros(0x110000, np.uint8 if self.n_classes <= 256 else np.int32)
         for cp in range(0x110000):
             if (c := chr(cp)).isalpha():
                 self.classes[cp] = number.get(c.lower(), UNKNOWN)
-        tables, self.roots, self.bits, at = [], [], [], 0
+        tables, rare, self.roots, self.bits, at = [], [np.zeros((0, 3), np.int64)], [], [], 0
+        self.width = width = min(self.n_classes, DENSE)
         for lang in self.langs:
             sample = self.read(samples[lang])
-            table = Automaton(sample.tolist(), self.n_classes).table
+            automaton = Automaton(sample.tolist(), self.n_classes)
+            table = automaton.table
             tables.append(np.where(table > 0, table + at, 0))
+            rare.append(automaton.rare + np.array([at, 0, at]))
             self.roots.append(at + 1)
             self.bits.append(np.log2(max(2, len(sample))))
             at += len(table)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() * np.int32(self.n_classes) if tables else np.zeros(0, np.int32)
-        self.roots = np.array(self.roots, np.int32) * np.int32(self.n_classes)
+        self.table = np.concatenate(tables).astype(np.int32).ravel() * np.int32(width) if tables else np.zeros(0, np.int32)
+        self.roots = np.array(self.roots, np.int32) * np.int32(width)
         self.bits = np.array(self.bits)
+        rare = np.concatenate(rare)
+        keys = rare[:, 0] * width * self.n_classes + rare[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], (rare[order, 2] * width).astype(np.int32)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states that the classes ``c`` (of the last axis) lead to; 0 where none."""
+        if not len(self.keys):
+            return self.table.take(state + c)
+        out = self.table.take(state + np.where(c < self.width, c, 0))
+        far = np.flatnonzero(c >= self.width)
+        if len(far):
+            key = state[..., far].astype(np.int64) * self.n_classes + c[far]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[..., far] = np.where(self.keys[at] == key, self.to[at], 0)
+        return out
 
     def read(self, text: str) -> np.ndarray:
         """Classes of a text: letters in lower case, and one separator for each run of anything else."""
@@ -104,12 +132,12 @@ class Parser:
         for t in range(int(size[0]) if len(size) else 0):
             m = lanes[t]
             c = flat[begin[:m] + t]
-            to = self.table.take(state[:, :m] + c)
+            to = self.step(state[:, :m], c)
             missed = np.flatnonzero(to.ravel() == 0)
             if len(missed):
                 lang, lane = missed // m, missed % m
                 count[lang, lane] += 1
-                to[lang, lane] = self.table[self.roots[lang] + c[lane]]  # none: the class is a phrase of its own
+                to[lang, lane] = self.step(self.roots[lang], c[lane])  # none: the class is a phrase of its own
             state[:, :m] = to
         out = np.zeros((len(texts), len(self.langs)))
         np.add.at(out, owner, count.T)

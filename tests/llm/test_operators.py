@@ -234,6 +234,28 @@ def test_phrases_are_the_greedy_parse(monkeypatch):
             assert p.phrases([x])[0, k] == n
 
 
+def test_every_letter_counts():
+    rng = random.Random(6)
+    han = [chr(0x4E00 + k) for k in range(600)]
+    words = ["".join(rng.choice(han) for _ in range(2)) for _ in range(120)], ["".join(rng.choice(han) for _ in range(2)) for _ in range(120)]
+    said = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    samples = {"ja": said(0, 900), "zh": said(1, 900), "en": "the cat sat on the mat", "ko": "".join(chr(0xAC00 + k) for k in range(200))}
+    p = langid.Parser(samples)
+    assert p.n_classes > 256
+    for text in (said(0, 40), said(1, 40), "cat " + said(0, 5) + "乀龥 x"):
+        x = p.read(text)
+        for k, lang in enumerate(p.langs):
+            ref, n, i = p.read(samples[lang]).tolist(), 0, 0
+            grams = [{tuple(ref[a : a + size]) for a in range(len(ref) - size + 1)} for size in range(len(x) + 1)]
+            while i < len(x):
+                j = i + 1
+                while j < len(x) and tuple(x[i : j + 1].tolist()) in grams[j + 1 - i]:
+                    j += 1
+                n, i = n + 1, j
+            assert p.phrases([x])[0, k] == n
+    assert p.predict([said(0, 30) for _ in range(20)] + [said(1, 30) for _ in range(20)])[0] == ["ja"] * 20 + ["zh"] * 20
+
+
 def test_language_rows(spark):
     en, de = "the cat sat on the mat and looked at the other cats", "der hund lag auf der matte und sah die anderen hunde an"
     rows = [(i, en if i % 2 else de, "en" if i % 2 else "de", 1) for i in range(40)] + [(50, None, "en", 1), (51, "12 !?", "en", 1), (52, "", None, 1), (53, "the mat " * 30_000, None, 1), (54, "auf der matte", None, 1), (54, "auf der matte", None, 1), (55, "中文", None, 1)]
