@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .bpe import runs
 from .common import small_batches
 
-#: The sample of a language: so many rows with the smallest hashes of their ids, so many characters of each, in all.
-SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 96, 400, 20_000
+#: The sample of a language: so many rows with the smallest hashes of their ids, windows of so many characters from anywhere in them, so many characters in all.
+SAMPLE_ROWS, WINDOW_CHARS, SAMPLE_CHARS = 96, 200, 20_000
 #: Texts are parsed in segments of this many classes, so that a long text is as many lanes as it needs.
 SEGMENT = 1024
 SEPARATOR, UNKNOWN = 0, 1
@@ -167,13 +167,22 @@ def _parser(samples: dict[str, str]) -> Parser:
 
 
 def samples(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """For each language, the sample of its rows for which ``learn`` holds; bounded by the module's three parameters."""
+    """For each language, the sample of its rows for which ``learn`` holds; bounded by the module's three parameters.
+
+    Texts are whole: each is cut into windows in the order of their hashes, and all rows give their first window before
+    any gives its second, until the characters are full.
+    """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
     rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.trim(F.coalesce(F.col(text_col), F.lit(""))) != ""))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, ROW_CHARS).alias("text"))
-    some = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS).collect()
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    some = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS)
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / WINDOW_CHARS).cast("int")))
+    cut = some.select("id", "lang", "k", "text", at.alias("at")).select("lang", "k", "at", F.xxhash64("id", "at").alias("hash"), F.substring("text", F.col("at") * WINDOW_CHARS + 1, F.lit(WINDOW_CHARS)).alias("text"))
+    cut = cut.where(F.trim("text") != "").withColumn("nth", F.row_number().over(Window.partitionBy("lang", "k").orderBy("hash", "at")))
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("nth", "k").rowsBetween(Window.unboundedPreceding, -1))
+    found = cut.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < SAMPLE_CHARS).select("lang", "nth", "k", "text").collect()
     out: dict[str, str] = {}
-    for r in sorted(some, key=lambda r: (r["lang"], r["k"])):
+    for r in sorted(found, key=lambda r: (r["lang"], r["nth"], r["k"])):
         out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:SAMPLE_CHARS]
     return out
 

@@ -256,6 +256,18 @@ def test_every_letter_counts():
     assert p.predict([said(0, 30) for _ in range(20)] + [said(1, 30) for _ in range(20)])[0] == ["ja"] * 20 + ["zh"] * 20
 
 
+def test_language_samples_reach_all_of_a_text(spark):
+    head = "all rights reserved by the makers of this page " * 12
+    said = {"de": "der hund lag auf der matte ", "en": "the cat sat on the mat "}
+    docs = spark.createDataFrame([(i, head + f"row{chr(97 + i // 26)}{chr(97 + i % 26)} " + said[lang] * 60, lang) for i, lang in enumerate(["de", "en"] * 90)], "doc_id long, text string, lang string")
+    got = langid.samples(docs, F.lit(True))
+    assert all(langid.SAMPLE_CHARS - 200 <= len(x) <= langid.SAMPLE_CHARS for x in got.values())
+    assert got["de"].count("hund") > 100 and got["en"].count("cat") > 100
+    assert all(r["lang_pred"] == r["lang"] for r in langid.identify(docs, F.lit(True)).join(docs, "doc_id").collect())
+    one = langid.samples(docs.limit(1), F.lit(True))
+    assert sum(len(x) for x in one.values()) > 1500
+
+
 def test_language_rows(spark):
     en, de = "the cat sat on the mat and looked at the other cats", "der hund lag auf der matte und sah die anderen hunde an"
     rows = [(i, en if i % 2 else de, "en" if i % 2 else "de", 1) for i in range(40)] + [(50, None, "en", 1), (51, "12 !?", "en", 1), (52, "", None, 1), (53, "the mat " * 30_000, None, 1), (54, "auf der matte", None, 1), (54, "auf der matte", None, 1), (55, "中文", None, 1)]
