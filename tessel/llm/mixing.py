@@ -1,47 +1,64 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The rows of a source, in the order of their hashes, form blocks. Block i of a source with weight w is released at slot
-floor(i / w) and due by slot ceil((i + 1) / w); the earliest deadline goes first among the released. With weights as
-whole parts of a period, the schedule repeats after that period, so the driver plans one period and the plan is
-broadcast. After any slot t a source that still has blocks has had between t*w - 1 and t*w + 1 of them.
+floor(i / w) and due by slot ceil((i + 1) / w); the earliest deadline goes first among the released. Weights are exact
+fractions, whole parts of a period that is the least common multiple of their denominators. The schedule repeats after
+it, so the driver plans one period and the plan is broadcast; of a period beyond LONGEST_PERIOD it plans the blocks that
+there are instead. After any slot t a source that still has blocks has had between t*w - 1 and t*w + 1 of them.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block; slots of a period at least (weights are rounded to whole parts of it).
-BLOCK_ROWS, PERIOD = 64, 1024
+from .common import BROADCAST_ROWS
+
+#: Rows of a block; slots of a period that is planned as a whole, at most.
+BLOCK_ROWS, LONGEST_PERIOD = 64, 65_536
 #: Rows of a source that are ranked in one window, on average.
 BUCKET_ROWS = 20_000
 
 
+def exactly(weights: dict) -> dict:
+    """Weights as fractions of their sum; decimals count as they are written."""
+    found = {s: Fraction(str(w)) for s, w in weights.items()}
+    total = sum(found.values())
+    return {s: w / total for s, w in found.items()}
+
+
 def shares(weights: dict, period: int) -> dict:
-    """Weights as whole numbers, one at least each, that sum to the period: largest remainders first, ties by order."""
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: -(exact[s] - math.floor(exact[s])))[: period - sum(out.values())]:
+    """Weights as whole numbers, one at least each, that sum to the period: exact if it is a multiple of their denominators, else largest remainders first, ties by order."""
+    exact = {s: w * period for s, w in exactly(weights).items()}
+    if any(x.denominator > 1 for x in exact.values()):
+        exact = {s: 1 + x * (period - len(weights)) / period for s, x in exact.items()}
+    out = {s: math.floor(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: -(exact[s] - out[s]))[: period - sum(out.values())]:
         out[s] += 1
     return out
 
 
-def schedule(parts: dict, period: int) -> list[tuple]:
-    """One period by earliest deadline first: (source, k, slot, release, deadline) of each source's k-th block."""
-    waiting = [(0, -(-period // n), at, s, 0) for at, (s, n) in enumerate(parts.items())]  # by release
+def schedule(parts: dict, period: int, blocks: dict | None = None) -> list[tuple]:
+    """One period, or so many ``blocks`` of each source, by earliest deadline first: (source, k, slot, release, deadline) of each source's k-th block."""
+    most = parts if blocks is None else blocks
+    waiting = [(0, -(-period // n), at, s, 0) for at, (s, n) in enumerate(parts.items()) if most[s]]  # by release
     heapq.heapify(waiting)
-    ready, out = [], []
-    for slot in range(period):
+    ready, out, slot = [], [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, due, at, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due, at, s, k, release))
         due, at, s, k, release = heapq.heappop(ready)
         out.append((s, k, slot, release, due))
-        if (k := k + 1) < (n := parts[s]):
+        slot += 1
+        if (k := k + 1) < most[s]:
+            n = parts[s]
             heapq.heappush(waiting, (k * period // n, -(-(k + 1) * period // n), at, s, k))
     return out
 
@@ -50,21 +67,23 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", so
     """``doc_id, source, block, slot, place, release, deadline``: one row for each row of ``docs``.
 
     Rows in the order of (slot, place) are the mixture. ``weights`` maps sources to positive targets; None gives all the
-    same, and a source without one gets the smallest. Nothing is dropped: after a source has run out its slots stay
+    same, and a source without one gets the smallest. Targets are exact fractions of their sum. Nothing is dropped: after a source has run out its slots stay
     empty and the others go on in their proportions. A null source is a source of its own; null ids come first in their
     source; repeated rows each have a place of their own, in no particular order among themselves. The driver sees one
-    row for each source.
+    row for each source, and plans one for each slot of a period (beyond LONGEST_PERIOD: for each block).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"))
     rows = rows.withColumn("key", F.xxhash64("doc_id"))
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     least = min(weights.values()) if weights else 1
-    goal = {s: float((weights or {}).get(s, least)) for s in sorted(counts, key=lambda s: (s is not None, s))}
-    period = max(PERIOD, 1 << (8 * len(goal)).bit_length())
-    parts = shares(goal, period) if goal else {}
-    plan = [(s, k, slot, release, due, parts[s]) for s, k, slot, release, due in schedule(parts, period)] if goal else []
-    table = spark.createDataFrame(plan, "source string, k long, first long, released long, due long, parts long")
+    goal = {s: (weights or {}).get(s, least) for s in sorted(counts, key=lambda s: (s is not None, s))}
+    period = math.lcm(*(w.denominator for w in exactly(goal).values())) if goal else 1
+    parts, blocks = shares(goal, period) if goal else {}, {s: -(-n // block_rows) for s, n in counts.items()}
+    again = period <= LONGEST_PERIOD  # else the plan does not repeat
+    plan = schedule(parts, period, None if again else blocks)
+    turns = parts if again else blocks
+    table = spark.createDataFrame(plan, "source string, k long, first long, released long, due long")
     buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
     bucket = F.pmod(F.shiftright("key", 20), F.lit(buckets))
     rows = rows.withColumn("bucket", bucket)
@@ -75,10 +94,10 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", so
     ranked = ranked.alias("r").join(offsets.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.bucket") == F.col("o.bucket")))
     at = F.col("before") + F.col("nth")
     ranked = ranked.select("doc_id", F.col("r.source").alias("source"), F.floor(at / block_rows).alias("block"), (at % block_rows).cast("int").alias("place"))
-    sizes = table.select("source", "parts").distinct()
+    sizes = spark.createDataFrame([*turns.items()], "source string, parts long")
     ranked = ranked.alias("r").join(F.broadcast(sizes).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
     ranked = ranked.select("doc_id", F.col("r.source").alias("source"), "block", "place", F.floor(F.col("block") / F.col("parts")).alias("turn"), (F.col("block") % F.col("parts")).alias("k"))
-    # one row for each slot of a period: fixed by the number of sources
-    out = ranked.alias("r").join(F.broadcast(table).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.k") == F.col("t.k")))
+    # one row for each slot of a period, or for each block
+    out = ranked.alias("r").join((F.broadcast(table) if len(plan) <= BROADCAST_ROWS else table).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.k") == F.col("t.k")))
     since = F.col("turn") * period
     return out.select("doc_id", F.col("r.source").alias("source"), "block", (since + F.col("first")).alias("slot"), "place", (since + F.col("released")).alias("release"), (since + F.col("due")).alias("deadline"))

@@ -87,6 +87,23 @@ def test_schedule_keeps_every_window():
         assert all(abs(had[x] - parts[x] * (t + 1) / 1024) < 1 for x in parts)
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 1, "b": 0.31831, "c": 0.0001}])
+def test_mixing_meets_targets_over_many_periods(spark, weights):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")).alias("source"))
+    target = {s: w / sum((weights or {"a": 1, "b": 1, "c": 1}).values()) for s, w in (weights or {"a": 1, "b": 1, "c": 1}).items()}
+    got = sorted((r["slot"], r["source"], r["block"], r["release"], r["deadline"]) for r in mixing.mix(docs, weights, block_rows=1).collect())
+    assert len({r[0] for r in got}) == 9000 and all(release <= slot < due for slot, _, _, release, due in got)
+    first_out = min(max(r[0] for r in got if r[1] == s) for s in "abc")
+    had, n = Counter(), 0
+    for slot, s, block, release, due in got:
+        assert abs(release - block / target[s]) <= 1.001 and abs(due - (block + 1) / target[s]) <= 1.001
+        had[s] += 1
+        if slot <= first_out:
+            n += 1
+            assert slot == n - 1 and all(abs(had[x] - target[x] * (slot + 1)) < 1 for x in target)
+    assert n > 3000
+
+
 def test_mixing_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
     rows = [(i, "hot" if i % 3 == 0 else f"s{i % 7}" if i % 50 else None) for i in range(500)] + [(None, "hot"), (3, "hot"), (3, "hot")]
