@@ -316,7 +316,7 @@ def _join(percent: int):
         rows = sorted({r[2]: r for r in rows}.values(), key=lambda r: (len(r[4]), r[4]))
         sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         side, weight = np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
-        across = len(set(side.tolist())) > 1
+        across = rows[0][0][1] != rows[0][0][2]  # by the cell's key: a cell of two parts may have sets of one only
         ids = np.array([r[2] for r in rows], np.int64)
         n_links, parent = np.zeros(len(rows), np.int64), np.arange(len(rows))
 

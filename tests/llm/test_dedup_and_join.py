@@ -112,6 +112,16 @@ def test_near_duplicates(spark, monkeypatch, k, percent, most):
     assert sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"]), r["n_links"]) for r in got) == brute(texts, k, percent)
 
 
+def test_links_of_fewer_sets_than_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", 500)
+    rng, texts = random.Random(8), []
+    for g in range(20):
+        base = [f"g{g}v{rng.randint(0, 10**6)}" for _ in range(300)]
+        texts += [(3 * g + k, " ".join(base + [f"end{k}"])) for k in range(3)]
+    got = ngram_join.near_duplicates(frame(spark, texts), 4, 85).collect()
+    assert sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"]), r["n_links"]) for r in got) == brute(texts, 4, 85)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.near_duplicates(frame(spark, [(1, None)])).collect()] == [(1, 0, 1, 0)]
