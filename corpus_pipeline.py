@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from tessel.llm.common import crc_mod, keep_ids, stored
-from tessel.llm.queries import vocabulary_path
+from tessel.llm.queries import MIXTURE, vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,16 +36,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _kept(docs, found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
 
 
+def _places(docs: DataFrame) -> DataFrame:
+    """``doc_id, slot, place`` in the mixture to MIXTURE: a function of the ids and sources alone, so that any stage that has the same rows derives the same; of rows that repeat an id, the first place."""
+    at = F.struct("slot", "place")
+    return mixing.mix(docs, MIXTURE).groupBy("doc_id").agg(F.min(at).alias("at")).select("doc_id", "at.slot", "at.place")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: partitions are runs of it, and rows lie in order inside them; null ids come first."""
-    placed = mixing.mix(docs).select("doc_id", "slot", "place")
-    rows = docs.select(*COLUMNS).join(placed.groupBy("doc_id").agg(F.min_by("slot", F.struct("slot", "place")).alias("slot"), F.min_by("place", F.struct("slot", "place")).alias("place")), "doc_id", "left")
+    rows = docs.select(*COLUMNS).join(_places(docs), "doc_id", "left")
     return rows.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place", "doc_id").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each whole text, as in op6."""
-    return bpe.round_trip(docs, vocabulary_path())
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each whole text, as in op6, and ``slot, place``: the mixture is the rows in their order, which files don't keep; null ids have none."""
+    return bpe.round_trip(docs, vocabulary_path()).join(_places(docs), "doc_id", "left")
 
 
 def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:

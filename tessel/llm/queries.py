@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import bpe, chat, exact_dedup, html_text, langid, mixing, nearest, ngram_join, sharding, toxicity
 from .common import crc_mod, read
 
+#: Target weights of the mixture; a source that is not named gets the smallest. The repository has none from production: these are stand-ins.
+MIXTURE = {**{f"src{k}": 4 for k in range(4)}, **{f"src{k}": 2 for k in range(4, 10)}, **{f"src{k}": 1 for k in range(10, 20)}}
 SHARDS = [f"shard-{k:03d}" for k in range(128)]
 
 
@@ -48,7 +50,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents"), MIXTURE)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

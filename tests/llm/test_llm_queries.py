@@ -2,9 +2,11 @@
 
 import os
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessel.llm import queries
@@ -79,6 +81,19 @@ def test_pipeline_stage_by_stage(spark):
     assert {r["doc_id"] for r in docs.collect()} == set(seen[4])
 
 
+def test_pipeline_follows_the_mixture(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 20).alias("source"), F.lit(3).alias("n_chars"))
+    mixed = stored(corpus_pipeline.mix_sources(spark, docs, SF), "test-mixed")
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    got = sorted((r["slot"], r["place"], r["doc_id"]) for r in corpus_pipeline.encode(spark, mixed, SF).collect())
+    assert len({(slot, place) for slot, place, _ in got}) == len(got) == 6000
+    total, had, of_slot = sum(queries.MIXTURE.values()), Counter(), {slot: source[i] for slot, _, i in got}
+    for slot in range(38):  # no source has run out
+        had[of_slot[slot]] += 1
+        assert all(abs(had[s] - w * (slot + 1) / total) < 1 for s, w in queries.MIXTURE.items())
+    assert [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()] == [i for _, _, i in got]
+
+
 def test_pipeline_of_no_documents(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
