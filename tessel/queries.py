@@ -274,7 +274,7 @@ def title_clean(spark, sf_dir):
 
 @query()
 def link_title_pairs(spark, sf_dir):
-    said = F.concat(F.lit("标题："), F.substring("text", 1, 20), F.lit("\n链接：https://pan.quark.cn/s/"), F.col("doc_id").cast("string"))
+    said = F.concat(F.lit("标题："), F.col("text"), F.lit("\n链接：https://pan.quark.cn/s/"), F.col("doc_id").cast("string"))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.link_titles(said)).alias("url", "title"))
 
 

@@ -32,3 +32,10 @@ def test_against_sql(spark, con, name):
         assert rows(got) == rows(rel.to_arrow_table().to_pylist())
     else:
         assert got
+
+
+def test_link_title_pairs_read_whole_texts(spark, tmp_path):
+    said = [(1, "word " * 30 + "end"), (2, "one\n" + "two " * 20 + "three"), (3, None)]
+    spark.createDataFrame(said, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["url"], r["title"]) for r in queries.link_title_pairs(spark, str(tmp_path)).collect()}
+    assert got == {i: (f"https://pan.quark.cn/s/{i}", t.split("\n")[-1]) for i, t in said if t}
