@@ -7,8 +7,11 @@ a known pair leave the array. The vocabulary file is a parameter and is read on
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +24,26 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: The white space and the split pattern of byte-level BPE vocabularies of this kind.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: A space before white space: there the place of a cut depends on what follows.
-RUN_OF_SPACE = regex.compile(rf" [\s{SPACE}]")
-NO_RANK = np.int64(1) << 40
-#: Pieces that a worker remembers; then it starts anew.
-REMEMBERED = 200_000
-#: Bytes of unknown words merged at once.
-MERGE_BYTES = 1 << 22
+#: Two white-space characters in a row: there the place of a cut depends on what follows.
+RUN_OF_SPACE = f"[{SPACE}][{SPACE}]"
+#: A space or line end that stands alone between other characters: a text may always be cut before it.
+ALONE = regex.compile(rf"(?<=[^{SPACE}])([ \n])(?=[^{SPACE}])")
+CUT = "\0"
+NO_RANK = np.int32(2**31 - 1)
+#: Pieces of letters that all tables of Unicode know, digits and ASCII marks, and how they split into words.
+LETTERS = "a-zA-ZÀ-ÖØ-öø-\u024f"
+PLAIN = f"^[ \n]?[!-~{LETTERS}]+$"
+PLAIN_WORD = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n{LETTERS}0-9]+|\n"
+#: Bytes of words and ids that a worker remembers.
+REMEMBERED = 96 << 20
+#: Bytes of unknown words merged at once; bytes of text digested at once.
+MERGE_BYTES, DIGEST_BYTES = 1 << 22, 1 << 23
+#: Pieces whose ids are laid out at once, so that a text of any length needs little more than itself.
+BLOCK_PIECES = 1 << 19
+#: Symbols of a word that the rounds take at most; longer ones are merged by a heap of their pairs, in n log n.
+ROUND_SYMBOLS = 512
 
 
 def byte_symbols() -> dict[str, int]:
@@ -51,17 +65,18 @@ class Bpe:
         self.special = special
         for token, i in special.items():
             self.pieces[i] = token.encode()
-        self.first = np.zeros(256, np.int64)
+        self.first = np.zeros(256, np.int32)
         for c, b in to_byte.items():
             self.first[b] = vocab[c]
         pairs = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges]
         left, right, made = (np.array(x, np.int64) for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in pairs)))
         keys = left * self.size + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
+        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made[order].astype(np.int32)
+        both = (self.first.astype(np.int64)[:, None] * self.size + self.first[None, :]).ravel()
+        found = np.minimum(np.searchsorted(self.keys, both), len(self.keys) - 1)
+        self.first_at = np.where(self.keys[found] == both, found, -1).astype(np.int32)  # of pairs of bytes
+        self.raw, self.decimal = pa.array(self.pieces, pa.large_binary()), pa.array([f"{i}," for i in range(self.size)], pa.large_string())
         self.pattern = regex.compile(PATTERN)
         self.stops = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
@@ -85,19 +100,23 @@ class Bpe:
         sizes = np.array([len(b) for b in blobs], np.int64)
         out_n = np.ones(len(words), np.int64)
         whole = np.array([self.special.get(w, -1) for w in words], np.int64) if self.special else np.full(len(words), -1)
-        live = np.flatnonzero(whole < 0)
-        sym = self.first[np.frombuffer(b"".join(blobs[i] for i in live), np.uint8)] if len(live) else np.zeros(0, np.int64)
+        long = np.flatnonzero((sizes > ROUND_SYMBOLS) & (whole < 0))
+        live = np.flatnonzero((whole < 0) & (sizes <= ROUND_SYMBOLS))
+        sym = np.frombuffer(b"".join(blobs[i] for i in live), np.uint8).astype(np.int32)
         n = sizes[live]
-        done_sym, done_word = [whole[whole >= 0]], [np.flatnonzero(whole >= 0)]
+        done_sym, done_word = [whole[whole >= 0].astype(np.int32)], [np.flatnonzero(whole >= 0)]
+        for i in long.tolist():
+            done_sym.append(self.merge_long(blobs[i]))
+            done_word.append(np.full(len(done_sym[-1]), i))
+            out_n[i] = len(done_sym[-1])
+        starts = np.cumsum(n) - n
+        at = np.full(len(sym), -1, np.int32)
+        if len(sym):
+            at[:-1] = self.first_at[sym[:-1] * 256 + sym[1:]]
+            at[starts + n - 1] = -1
+        sym = self.first[sym]
+        rank = np.where(at >= 0, self.ranks[at], NO_RANK)
         while len(live):
-            starts = np.cumsum(n) - n
-            key = np.empty(len(sym), np.int64)
-            np.multiply(sym[:-1], self.size, out=key[:-1])
-            key[:-1] += sym[1:]
-            key[starts + n - 1] = -1
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            rank = np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
             low = np.minimum.reduceat(rank, starts)
             ended = low == NO_RANK
             if ended.any():
@@ -109,9 +128,7 @@ class Bpe:
                 sym, at, rank, live, low, n = sym[stay], at[stay], rank[stay], live[~ended], low[~ended], n[~ended]
                 if not len(live):
                     break
-                starts = np.cumsum(n) - n
-            hit = rank == np.repeat(low, n)
-            where = np.flatnonzero(hit)
+            where = np.flatnonzero(rank == np.repeat(low, n))
             if len(where) > 1:  # in a run of one symbol, every second place
                 new = np.diff(where, prepend=-2) != 1
                 run = where[np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))]
@@ -119,81 +136,178 @@ class Bpe:
             sym[where] = self.made[at[where]]
             left = np.ones(len(sym), bool)
             left[where + 1] = False
-            n = np.add.reduceat(left, starts, dtype=np.int64)
-            sym = sym[left]
+            n = np.add.reduceat(left, np.cumsum(n) - n, dtype=np.int64)
+            starts = np.cumsum(n) - n
+            sym, at, rank = sym[left], at[left], rank[left]
+            merged = where - np.arange(len(where))  # the new places of the merged symbols; pairs on both sides are new
+            begins, ends = np.zeros(len(sym) + 1, bool), np.zeros(len(sym), bool)
+            begins[starts], ends[starts + n - 1] = True, True
+            at[merged], rank[merged] = -1, NO_RANK
+            pair = np.concatenate([merged[~ends[merged]], merged[~begins[merged]] - 1])
+            key = sym[pair].astype(np.int64) * self.size + sym[pair + 1]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[found] == key
+            at[pair] = np.where(known, found, -1)
+            rank[pair] = np.where(known, self.ranks[found], NO_RANK)
         word, sym = np.concatenate(done_word), np.concatenate(done_sym)
-        return sym[np.argsort(word, kind="stable")], out_n
+        return sym[np.argsort(word, kind="stable")].astype(np.int64), out_n
+
+    def merge_long(self, blob: bytes) -> np.ndarray:
+        """The ids of one long word: its pairs by rank and place in a heap, its symbols in a linked list."""
+        first = self.first[np.frombuffer(blob, np.uint8)].astype(np.int64)
+        n = len(first)
+        sym, after, before = first.tolist(), [*range(1, n), -1], [-1, *range(n - 1)]
+        keys, ranks, made = self.listed
+        found = np.minimum(np.searchsorted(self.keys, first[:-1] * self.size + first[1:]), len(keys) - 1)
+        hit = np.flatnonzero(self.keys[found] == first[:-1] * self.size + first[1:])
+        heap = list(zip(self.ranks[found[hit]].tolist(), hit.tolist(), found[hit].tolist()))
+        heapq.heapify(heap)
+        while heap:
+            _, i, at = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j < 0 or sym[i] * self.size + sym[j] != keys[at]:
+                continue  # merged meanwhile
+            sym[i], sym[j], after[i] = made[at], -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b >= 0:
+                    key = sym[a] * self.size + sym[b]
+                    at = bisect_left(keys, key)
+                    if at < len(keys) and keys[at] == key:
+                        heapq.heappush(heap, (ranks[at], a, at))
+        return np.array([s for s in sym if s >= 0], np.int32)
+
+    @functools.cached_property
+    def listed(self) -> tuple[list[int], list[int], list[int]]:
+        return self.keys.tolist(), self.ranks.tolist(), self.made.tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for."""
-        n = self.lengths[ids]
-        at = np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.bytes[at].tobytes()
+        return laid_out(self.raw, ids)[0].tobytes()
+
+
+def laid_out(parts: pa.Array, at: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """(the parts at these places one after another, where each begins and the last ends)."""
+    made = parts.take(pa.array(at, pa.int64()))
+    if not len(made):
+        return memoryview(b""), np.zeros(1, np.int64)
+    return memoryview(made.buffers()[2]), np.frombuffer(made.buffers()[1], np.int64)[: len(at) + 1]
+
+
+def ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each run of n, one run after another."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+class Store:
+    """The ids of words that a worker remembers, in one flat array. When it holds too many bytes, only what the last batch used stays."""
+
+    def __init__(self, bpe: Bpe, most: int = REMEMBERED):
+        self.bpe, self.most = bpe, most
+        self.at, self.begin, self.n, self.ids, self.size = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids of distinct words, number of ids of each)."""
+        new = [w for w in words if w not in self.at]
+        ids, n = [self.ids], [self.n]
+        for run in self.runs(new):
+            some, count = self.bpe.encode_words(run)
+            ids.append(some), n.append(count)
+        self.at.update(zip(new, range(len(self.n), len(self.n) + len(new))))
+        self.ids, self.n = np.concatenate(ids), np.concatenate(n)
+        self.begin = np.cumsum(self.n) - self.n
+        self.size += sum(map(len, new)) + 200 * len(new)
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        n, found = self.n[at], self.ids[ragged(self.begin[at], self.n[at])]
+        if self.size + 8 * len(self.ids) > self.most:
+            self.at, self.n, self.ids = dict(zip(words, range(len(words)))), n, found
+            self.begin, self.size = np.cumsum(n) - n, sum(map(len, words)) + 200 * len(words)
+        return found, n
+
+    def runs(self, words: list[str]) -> Iterator[list[str]]:
+        """Words in runs of bounded bytes."""
+        run, size = [], 0
+        for w in words:
+            run.append(w)
+            size += 4 * len(w)
+            if size > MERGE_BYTES:
+                yield run
+                run, size = [], 0
+        if run:
+            yield run
 
 
 class Worker:
-    """Digests texts, remembering pieces: what lies between single spaces splits into words alike in any text."""
+    """Digests texts: texts are cut into pieces, distinct pieces into words, and distinct words are merged, or remembered."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe = bpe
-        self.words: dict[str, tuple[str, int, bytes]] = {}
-        self.places: dict[str, int] = {}
-        self.text, self.count, self.raw = [], [], []
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes words, and decodes their ids, in runs of bounded bytes."""
-        run, size = [], 0
-        for w in [*words, None]:
-            if run and (w is None or size > MERGE_BYTES):
-                ids, n = self.bpe.encode_words(run)
-                raw, ends = self.bpe.decode(ids), np.cumsum(n)
-                bytes_to = np.cumsum(np.add.reduceat(self.bpe.lengths[ids], ends - n)).tolist()
-                names, a, b = list(map(str, ids.tolist())), 0, 0
-                for word, to, to_byte in zip(run, ends.tolist(), bytes_to):
-                    self.words[word] = ",".join(names[a:to]), to - a, raw[b:to_byte]
-                    a, b = to, to_byte
-                run, size = [], 0
-            if w is not None:
-                run.append(w)
-                size += 4 * len(w)
-
-    def place(self, pieces: set[str]) -> None:
-        """Gives new pieces their places in the lists."""
-        new = [(p, self.bpe.split(p)) for p in pieces if p not in self.places]
-        self.learn([w for w in {w for _, words in new for w in words} if w not in self.words])
-        for piece, words in new:
-            text, count, raw = zip(*map(self.words.__getitem__, words))
-            self.places[piece] = len(self.text)
-            self.text.append(",".join(text))
-            self.count.append(sum(count))
-            self.raw.append(b"".join(raw))
-
-    def pieces(self, text: str) -> list[str]:
-        """The text cut before each single space; as words where white space or special tokens make that uncertain."""
-        if RUN_OF_SPACE.search(text) or any(s in text for s in self.bpe.special):
-            return self.bpe.split(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + p for p in rest]
-
-    def digest(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """(number of ids, hex digest of the ids joined by commas, hex digest of the decoded text) of each text."""
-        if len(self.text) > REMEMBERED:
-            self.places, self.text, self.count, self.raw = {}, [], [], []
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        split = [self.pieces(t) if t else [] for t in texts]
-        self.place(set().union(*split))
-        for pieces in split:
-            at = list(map(self.places.__getitem__, pieces))
-            ids = ",".join(map(self.text.__getitem__, at)).encode()
-            back = b"".join(map(self.raw.__getitem__, at)).decode("utf-8", "replace").encode()
-            yield sum(map(self.count.__getitem__, at)), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+        self.bpe, self.store = bpe, Store(bpe)
+
+    def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(pieces of all texts, none empty, number of pieces of each text): cut before each space or line end that stands alone."""
+        runs_of = pc.match_substring_regex(texts, RUN_OF_SPACE).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n")
+        if runs_of.any():
+            cut = pc.if_else(pa.array(runs_of), pa.array([ALONE.sub(CUT + r"\1", t) if r else None for t, r in zip(texts.to_pylist(), runs_of)], texts.type), cut)
+        listed = pc.split_pattern(cut, CUT)
+        stops = pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False)
+        for s in self.bpe.special:
+            stops = stops | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if stops.any():  # as words
+            listed = pc.if_else(pa.array(stops), pa.array([self.bpe.split(t) if s else None for t, s in zip(texts.to_pylist(), stops)], listed.type), listed)
+        return unlisted(listed)
+
+    def words(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(words of all pieces, number of words of each piece)."""
+        plain = pc.match_substring_regex(pieces, PLAIN)
+        for s in self.bpe.special:
+            plain = pc.and_not(plain, pc.match_substring(pieces, s))
+        listed = pc.split_pattern(pc.replace_substring_regex(pieces, PLAIN_WORD, r"\0" + CUT), CUT)
+        if not pc.all(plain).as_py():
+            listed = pc.if_else(plain, listed, pa.array([None if p else self.bpe.split(t) for t, p in zip(pieces.to_pylist(), plain.to_pylist())], listed.type))
+        return unlisted(listed)
+
+    def digest(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+        """(numbers of ids, hex digests of the ids joined by commas, hex digests of the decoded texts)."""
+        flat, n = self.pieces(pc.fill_null(texts, "").cast(pa.large_string()))
+        coded = flat.dictionary_encode()
+        words, n_words = self.words(coded.dictionary)
+        coded_words = words.dictionary_encode()
+        ids, n_ids = self.store.find(coded_words.dictionary.to_pylist())
+        of_word = coded_words.indices.to_numpy()
+        piece_ids = ids[ragged((np.cumsum(n_ids) - n_ids)[of_word], n_ids[of_word])]
+        upto = np.concatenate([[0], np.cumsum(n_ids[of_word])])[np.concatenate([[0], np.cumsum(n_words)])]
+        begin, size, code = upto[:-1], np.diff(upto), coded.indices.to_numpy()
+        hashes, back = [hashlib.sha256() for _ in n], [hashlib.sha256() for _ in n]
+        total, ends = np.zeros(len(n), np.int64), np.cumsum(n)
+        for a in range(0, len(code), BLOCK_PIECES):
+            b = min(len(code), a + BLOCK_PIECES)
+            some = code[a:b]
+            ids = piece_ids[ragged(begin[some], size[some])]
+            first, last = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left")
+            cuts = np.concatenate([[0], np.cumsum(size[some])])[np.concatenate([[0], ends[first:last] - a, [b - a]])]
+            shown, shown_at = laid_out(self.bpe.decimal, ids)
+            raw, raw_at = laid_out(self.bpe.raw, ids)
+            for k, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist()), int(first)):
+                if i < j:
+                    hashes[k].update(shown[shown_at[i] : shown_at[j] - (b >= ends[k])])  # no comma after the last
+                    back[k].update(bytes(raw[raw_at[i] : raw_at[j]]).decode("utf-8", "replace").encode())
+                    total[k] += j - i
+        return total, [h.hexdigest() for h in hashes], [h.hexdigest() for h in back]
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for t in texts:
             yield self.bpe.encode_words(self.bpe.split(t))[0] if t else np.zeros(0, np.int64)
 
 
+def unlisted(listed: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the strings of all lists that are not empty, how many each list has)."""
+    flat, of = pc.list_flatten(listed), pc.list_parent_indices(listed)
+    full = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(full), np.bincount(of.filter(full).to_numpy(), minlength=len(listed))
+
+
 def vocabulary(spark: SparkSession, path: str):
     """The vocabulary file, read on the driver and broadcast: its size is that of the vocabulary, whatever the input."""
     with open(path, encoding="utf-8") as f:
@@ -222,6 +336,20 @@ def runs(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 1 << 21) -
             a = b
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text_at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``most`` bytes of text each, and cut where they have more."""
+    held, size = [], 0
+    for batch in runs(batches, text_at, most):
+        n = batch.column(text_at).nbytes
+        if held and size + n > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<int>`` of each row's whole text; null and empty texts have no ids. Repeated rows stay repeated."""
     raw = vocabulary(docs.sparkSession, vocab_path)
@@ -260,8 +388,8 @@ def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         w = _worker(raw)
-        for batch in runs(batches, 1):
-            n, ids, back = zip(*w.digest(batch.column(1).to_pylist()))
+        for batch in gathered(batches, 1, DIGEST_BYTES):
+            n, ids, back = w.digest(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

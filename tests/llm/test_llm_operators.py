@@ -1,9 +1,11 @@
 import hashlib
 import json
 import random
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,16 +28,43 @@ def tokens():
 ODD = "ab thé ñß's 'll  \n\t\r\x85\xa0\u2003\u3000\x1c٣²Ⅷ中日本𝒳👍🏽!?.,-_$0\u200b\x00"
 
 
+def bpe_by_library(lib, text):
+    ids = lib.encode(text, add_special_tokens=False).ids
+    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def bpe_digests(w, texts):
+    n, ids, back = w.digest(pa.array(texts, pa.string()))
+    return list(zip(n.tolist(), ids, back))
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(ODD), max_size=60) | st.text(max_size=40))
-def test_bpe_equals_the_library(tokens, text):
+@given(st.lists(st.text(st.sampled_from(ODD), max_size=60) | st.text(max_size=40) | st.just("x <|endoftext|>\n y"), min_size=1, max_size=4))
+def test_bpe_equals_the_library(tokens, texts):
     lib, own = tokens
-    ids = lib.encode(text, add_special_tokens=False).ids
     w = bpe.Worker(own)
-    assert next(w.ids([text])).tolist() == ids
-    n, h, back = next(w.digest([text]))
-    assert (n, h) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-    assert back == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert [x.tolist() for x in w.ids(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert bpe_digests(w, texts) == bpe_digests(w, texts) == [bpe_by_library(lib, t) for t in texts]
+
+
+def test_bpe_forgets_by_bytes(tokens):
+    lib, own = tokens
+    w, rng = bpe.Worker(own), random.Random(5)
+    w.store.most = 20_000
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(40)) for _ in range(4)]
+        assert bpe_digests(w, texts) == [bpe_by_library(lib, t) for t in texts]
+    assert 0 < len(w.store.at) < 400
+
+
+def test_bpe_of_one_long_word(tokens):
+    lib, own = tokens
+    rng = random.Random(6)
+    began = time.perf_counter()
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 200_000), ("a", 50_000), ("中é", 20_000), ("!?", 30_000)):
+        word = "".join(rng.choice(letters) for _ in range(n))
+        assert own.encode_words([word])[0].tolist() == lib.encode(word, add_special_tokens=False).ids
+    assert time.perf_counter() - began < 20
 
 
 def test_bpe_frames(spark, tokens):
