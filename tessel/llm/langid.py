@@ -21,8 +21,8 @@ from .common import small_batches
 
 #: The sample of a language: so many rows with the smallest hashes of their ids, windows of so many characters from anywhere in them, so many characters in all.
 SAMPLE_ROWS, WINDOW_CHARS, SAMPLE_CHARS = 96, 200, 20_000
-#: Texts are parsed in segments of this many classes, so that a long text is as many lanes as it needs.
-SEGMENT = 1024
+#: Texts are parsed in segments of this many classes, so that a long text is as many lanes as it needs; of so many steps of a segment the states are kept; longer texts are parsed in parts of so many classes, one after another.
+SEGMENT, TRACE, PART = 1024, 256, 1 << 20
 SEPARATOR, UNKNOWN = 0, 1
 #: Classes, the most frequent ones, whose edges lie in the table; those of all others lie in a sorted list.
 DENSE = 252
@@ -116,32 +116,86 @@ class Parser:
         return x[(x > 0) | np.append(True, x[:-1] > 0)] if len(x) else x
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases that each language needs for each text: (texts, languages)."""
+        """Phrases that each language needs for each text, by the greedy parse: (texts, languages)."""
+        out = np.zeros((len(texts), len(self.langs)))
+        short = [i for i, t in enumerate(texts) if len(t) <= PART]
+        out[short] = self.parse([texts[i] for i in short], np.zeros((len(self.roots), len(short)), np.int32))[0].T
+        for i, t in enumerate(texts):
+            state = np.zeros((len(self.roots), 1), np.int32)
+            for a in range(0, len(t), PART) if len(t) > PART else ():
+                count, state = self.parse([t[a : a + PART]], state)
+                out[i] += count[:, 0]
+        return out
+
+    def advance(self, state: np.ndarray, count: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states after the classes ``c``; a phrase that can't go on ends, and ``count`` has one more."""
+        to = self.step(state, c)
+        missed = np.flatnonzero(to.ravel() == 0)
+        if len(missed):
+            lang, lane = missed // len(c), missed % len(c)
+            count[lang, lane] += 1
+            to[lang, lane] = self.step(self.roots[lang], c[lane])  # none: the class is a phrase of its own
+        return to
+
+    def parse(self, texts: list[np.ndarray], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases begun, states at the end) of each text, which begins in the states ``begin``: both (languages, texts).
+
+        Segments first go in lockstep as if no phrase was open where they begin. Then each goes again from the state in
+        which the one before it ended, until it is in the state in which it was before: from there on nothing changes.
+        A segment that does not get there ends in another state, and the one after it goes once more.
+        """
         n = np.array([len(t) for t in texts], np.int64)
-        flat = np.concatenate(texts).astype(np.int32) if len(texts) else np.zeros(0, np.int32)
-        parts = -(-n // SEGMENT)
+        flat = np.concatenate([*texts, np.zeros(1)]).astype(np.int32)
+        parts = np.maximum(1, -(-n // SEGMENT))
         owner = np.repeat(np.arange(len(texts)), parts)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = np.repeat(np.cumsum(n) - n, parts) + nth * SEGMENT
         size = np.minimum(n[owner] - nth * SEGMENT, SEGMENT)
         order = np.argsort(-size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        owner, nth, size = owner[order], nth[order], size[order]
+        start = (np.cumsum(n) - n)[owner] + nth * SEGMENT
+        inner = np.flatnonzero(nth > 0)
+        before, after = place[order[inner] - 1], np.full(len(order), -1)
+        after[before] = inner
+
+        state = np.zeros((len(self.roots), len(order)), np.int32)
+        state[:, nth == 0] = begin[:, owner[nth == 0]]
+        total, trace = np.zeros(state.shape, np.int32), []
         lanes = np.searchsorted(-size, -np.arange(SEGMENT), "left")  # of size over t
-        state = np.zeros((len(self.roots), len(owner)), np.int32)  # no phrase is open
-        count = np.zeros(state.shape, np.int32)
         for t in range(int(size[0]) if len(size) else 0):
             m = lanes[t]
-            c = flat[begin[:m] + t]
-            to = self.step(state[:, :m], c)
-            missed = np.flatnonzero(to.ravel() == 0)
-            if len(missed):
-                lang, lane = missed // m, missed % m
-                count[lang, lane] += 1
-                to[lang, lane] = self.step(self.roots[lang], c[lane])  # none: the class is a phrase of its own
-            state[:, :m] = to
-        out = np.zeros((len(texts), len(self.langs)))
-        np.add.at(out, owner, count.T)
-        return out
+            state[:, :m] = self.advance(state[:, :m], total[:, :m], flat[start[:m] + t])
+            if t < TRACE and len(inner):
+                trace.append((state[:, inner], total[:, inner]))
+        first_end, first_total = state.copy(), total.copy()
+
+        again = np.arange(len(inner))
+        while len(again):
+            lane = inner[again]
+            now, count = state[:, before[again]], np.zeros((len(self.roots), len(again)), np.int32)
+            settled = np.zeros(now.shape, bool)
+            live = np.arange(len(again))
+            for t in range(int(size[lane[0]])):
+                live = live[(size[lane[live]] > t) & ~settled[:, live].all(axis=0)]
+                if not len(live):
+                    break
+                some = count[:, live]
+                to = self.advance(now[:, live], some, flat[start[lane[live]] + t])
+                go = ~settled[:, live]
+                now[:, live], count[:, live] = np.where(go, to, now[:, live]), np.where(go, some, count[:, live])
+                if t < len(trace):
+                    same = go & (to == trace[t][0][:, again[live]])
+                    count[:, live] += np.where(same, first_total[:, lane[live]] - trace[t][1][:, again[live]], 0)
+                    settled[:, live] |= same
+            ended = np.where(settled, first_end[:, lane], now)
+            changed = (ended != state[:, lane]).any(axis=0)
+            state[:, lane], total[:, lane] = ended, count
+            follow = after[lane[changed]]
+            again = np.searchsorted(inner, np.sort(follow[follow >= 0]))
+        out = np.zeros((len(texts), len(self.roots)), np.int64)
+        np.add.at(out, owner, total.T)
+        return out.T, state[:, place[np.cumsum(parts) - 1]]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The winning language of each text and its share of the inverse costs; ties go to the first name."""
@@ -197,7 +251,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(sent.value)
-        for batch in runs(batches, 1):
+        for batch in runs(batches, 1, 1 << 19):
             lang, score = parser.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -280,6 +280,28 @@ def test_phrases_are_the_greedy_parse(monkeypatch):
             assert p.phrases([x])[0, k] == n
 
 
+@pytest.mark.parametrize("bounds", [(8, 3, 50), (16, 16, 1 << 20), (1024, 256, 1 << 20), (1024, 256, 2000)])
+def test_segments_and_parts_change_nothing(monkeypatch, bounds):
+    rng = random.Random(8)
+    said = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    samples = {"a": said("ab c", 400), "b": said("abd ", 400), "c": said("a", 300) + said("abcd ", 60)}
+    p = langid.Parser(samples)
+    texts = [said("abcdé ", n) for n in (0, 1, 7, 8, 9, 50, 51, 300, 1024, 5000)] + ["a" * 900, said("ab", 200) + "a" * 400]
+    want = [[greedy(p.read(t).tobytes(), p.read(samples[lang]).tobytes()) for lang in p.langs] for t in texts]
+    monkeypatch.setattr(langid, "SEGMENT", bounds[0]), monkeypatch.setattr(langid, "TRACE", bounds[1]), monkeypatch.setattr(langid, "PART", bounds[2])
+    assert p.phrases([p.read(t) for t in texts]).tolist() == want
+
+
+def greedy(x, ref):
+    n, i = 0, 0
+    while i < len(x):
+        j = i + 1
+        while j < len(x) and x[i : j + 1] in ref:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
 def test_every_letter_counts():
     rng = random.Random(6)
     han = [chr(0x4E00 + k) for k in range(600)]
