@@ -83,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_ngram_join": ngram_join.SQL,
+    "op3_mixing": mixing.sql(MIXTURE),
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_sharding": sharding.sql(SHARDS),
     "op9_chat": chat.SQL,

@@ -116,6 +116,18 @@ def test_schedule_keeps_every_window():
         assert all(abs(had[x] - parts[x] * (t + 1) / 1024) < 1 for x in parts)
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.1, "b": 0.2, "c": 0.7}, dict.fromkeys("abcde", 1), dict.fromkeys("abcdefg", 1), {"a": 3, "b": 1, "c": 1, "d": 2}])
+def test_schedule_is_pfair_over_ten_periods(weights):
+    period, parts, plan = mixing.planned(weights)
+    target = {s: w / sum(weights.values()) for s, w in weights.items()}
+    slots = sorted((slot + turn * period, s) for turn in range(10) for s, _, slot, _, _ in plan)
+    assert [slot for slot, _ in slots] == list(range(10 * period))
+    had = Counter()
+    for slot, s in slots:
+        had[s] += 1
+        assert all(abs(had[x] - target[x] * (slot + 1)) < 1 - 1e-9 for x in target)
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 1, "b": 0.31831, "c": 0.0001}])
 def test_mixing_meets_targets_over_many_periods(spark, weights):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")).alias("source"))
@@ -134,8 +146,8 @@ def test_mixing_meets_targets_over_many_periods(spark, weights):
 
 
 def test_mixing_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
-    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 7}" if i % 50 else None) for i in range(500)] + [(None, "hot"), (3, "hot"), (3, "hot")]
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20), monkeypatch.setattr(mixing, "REPEATS", 16)
+    rows = [(None, None)] * 70 + [(4, "s4")] * 40 + [(i, "hot" if i % 3 == 0 else f"s{i % 7}" if i % 50 else None) for i in range(500)] + [(None, "hot"), (3, "hot"), (3, "hot")]
     docs = spark.createDataFrame([(i, s, 0, 0) for i, s in rows], "doc_id long, source string, slot int, block int")
     got = mixing.mix(docs, {"hot": 2.0, "s1": 1.0}, block_rows=4).collect()
     assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
