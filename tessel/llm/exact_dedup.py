@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, n_partitions, stored
+from .common import BROADCAST_ROWS, keep_ids, n_partitions, stored
 
 #: Rows of a sender.
 CHUNK_BITS = 18
 #: Fingerprints that an owner should get at most, on average.
 OWNER_ROWS = 2_000_000
+#: Rows of a group, at least, whose answer is broadcast instead of shuffled for.
+HOT_ROWS = 10_000
 
 
 def golomb_encode(values: np.ndarray, span: int) -> tuple[int, bytes, bytes]:
@@ -108,7 +110,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hexed = F.substring(F.hex("sha"), 1, (fingerprint_bits + 3) // 4)
     fp = F.shiftright(F.conv(hexed, 16, 10).cast("long"), -fingerprint_bits % 4)
     fps = stored(rows.withColumns({"fp": fp, "part": F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)}), "fingerprints")
-    owner_bits = min(fingerprint_bits, max(3, math.ceil(math.log2(max(n_partitions(spark), fps.count() / OWNER_ROWS, 1)))))
+    n_rows = fps.count()
+    owner_bits = min(fingerprint_bits, max(3, math.ceil(math.log2(max(n_partitions(spark), n_rows / OWNER_ROWS, 1)))))
     sent = fps.select("part", "fp").groupBy("part").applyInArrow(_senders(fingerprint_bits, owner_bits), "owner long, part long, n long, rice int, unary binary, rest binary")
     replies = sent.groupBy("owner").applyInArrow(_owners, "part long, owner long, n long, marks binary")
     suspects = stored(fps.select("part", "fp", "sha").groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_suspects, "sha binary").distinct(), "suspects")
@@ -116,7 +119,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = keep_ids(texts, suspects, "sha").groupBy("sha", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = same.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("n_texts"))
     groups = groups.where("group_size > 1").select("sha", "keep_id", F.when(F.col("n_texts") > 1, F.raise_error(F.lit("two texts have one SHA-256"))).otherwise(F.col("group_size")).alias("group_size"))
-    out = fps.select("doc_id", "sha").join(groups, "sha", "left")
+    groups = stored(groups, "groups")
+    # groups of so many rows that there are BROADCAST_ROWS of them at most
+    hot = F.broadcast(groups.where(F.col("group_size") > max(HOT_ROWS, -(-n_rows // BROADCAST_ROWS))))
+    ids = fps.select("doc_id", "sha")
+    rest = ids.join(hot.select("sha"), "sha", "left_anti").join(groups, "sha", "left")
+    out = ids.join(hot, "sha").unionByName(rest)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

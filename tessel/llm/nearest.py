@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of queries, as doubles, that are collected and broadcast at once; more queries take more passes over the rows.
-QUERY_BYTES = 8 << 20
+from .common import n_partitions
+
+#: Bytes of queries, as doubles, that are broadcast at most, and of a block of queries if there are more; rows of a block of rows.
+QUERY_BYTES, BLOCK_ROWS = 8 << 20, 1 << 20
 #: Rows and queries of a tile.
 TILE_ROWS, TILE_QUERIES = 4096, 1024
 #: For sums of products of 8-bit values to be exact in single precision.
@@ -114,39 +116,83 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
 
     The search is exact. Ties go to the smaller id; fewer candidates than ``k`` are all returned. Rows with null ids,
     and vectors that are null, empty, zero or hold null or non-finite components, take no part; vectors of different
-    dimensions are no candidates for each other. Rows that repeat an id and vector count once. Extra columns are ignored.
+    dimensions are no candidates for each other. Rows that repeat an id and vector count once. Extra columns are ignored,
+    whatever their names; an empty table, or one without queries, gives an empty result.
     """
-    spark = rows.sparkSession
     good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), is_query.alias("q")).where(F.col("id").isNotNull() & usable("x"))
     asked = good.where("q").select("id", "x")
     n_bytes = asked.agg(F.sum(F.size("x") * 8)).first()[0] or 0
-    passes = max(1, -(-n_bytes // QUERY_BYTES))
-    found = None
-    for p in range(passes):
-        some = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).distinct().toArrow()
-        queries: dict[int, list[Tile]] = {}
-        for batch in some.to_batches():
-            for dim, tile in _tiles(batch, TILE_QUERIES):
-                queries.setdefault(dim, []).append(tile)
-        sent = spark.sparkContext.broadcast(queries)
-
-        def run(batches, sent=sent):
-            kept = {dim: [Heaps(len(q.ids), k) for q in tiles] for dim, tiles in sent.value.items()}
-            for batch in batches:
-                for dim, rows in _tiles(batch, TILE_ROWS):
-                    for q, heap in zip(sent.value.get(dim, []), kept.get(dim, [])):
-                        meet(q, heap, rows)
-            for dim, heaps in kept.items():
-                for q, heap in zip(sent.value[dim], heaps):
-                    at, place = np.nonzero(np.isfinite(heap.d))
-                    yield pa.RecordBatch.from_arrays([pa.array(q.ids[at]), pa.array(heap.ids[at, place]), pa.array(heap.d[at, place])], names=["query_id", "vec_id", "score"])
-
-        part = good.select("id", "x").mapInArrow(run, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    found = _by_broadcast(good, asked, k) if n_bytes <= QUERY_BYTES else _by_cells(good, asked, k, -(-n_bytes // QUERY_BYTES))
     best = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+SCHEMA = "query_id long, vec_id long, score double"
+
+
+def _answers(queries: Tile, heap: Heaps) -> pa.RecordBatch:
+    at, place = np.nonzero(np.isfinite(heap.d))
+    return pa.RecordBatch.from_arrays([pa.array(queries.ids[at]), pa.array(heap.ids[at, place]), pa.array(heap.d[at, place])], names=["query_id", "vec_id", "score"])
+
+
+def _by_broadcast(good: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Queries of QUERY_BYTES at most, which all tasks get; rows stay where they are."""
+    queries: dict[int, list[Tile]] = {}
+    for batch in asked.distinct().toArrow().to_batches():
+        for dim, tile in _tiles(batch, TILE_QUERIES):
+            queries.setdefault(dim, []).append(tile)
+    sent = good.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches):
+        kept = {dim: [Heaps(len(q.ids), k) for q in tiles] for dim, tiles in sent.value.items()}
+        for batch in batches:
+            for dim, rows in _tiles(batch, TILE_ROWS):
+                for q, heap in zip(sent.value.get(dim, []), kept.get(dim, [])):
+                    meet(q, heap, rows)
+        for dim, heaps in kept.items():
+            for q, heap in zip(sent.value[dim], heaps):
+                yield _answers(q, heap)
+
+    return good.select("id", "x").mapInArrow(run, SCHEMA)
+
+
+def _by_cells(good: DataFrame, asked: DataFrame, k: int, n_queries: int) -> DataFrame:
+    """More queries: blocks of queries and blocks of rows meet in the cells of a grid, dealt by a shuffle. A cell holds its queries and streams its rows."""
+    n_rows = max(1, -(-good.count() // BLOCK_ROWS))
+    cells = lambda of, n, side: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(side)
+    q = asked.distinct().select(F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int").alias("qb"), cells(asked, n_rows, "rb"), F.lit(0).alias("side"), "id", "x")
+    r = good.select(cells(good, n_queries, "qb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_rows)).cast("int").alias("rb"), F.lit(1).alias("side"), "id", "x")
+    dealt = q.unionByName(r).repartition(max(n_partitions(good.sparkSession), n_queries * n_rows), "qb", "rb").sortWithinPartitions("qb", "rb", "side")
+
+    def run(batches):
+        cell, queries, held, kept = None, {}, [], None
+        for batch in batches:
+            key = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy().astype(np.int64)
+            side = batch.column(2).to_numpy()
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])))
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+                if key[a] != cell:
+                    for dim in kept or ():
+                        yield from (_answers(t, h) for t, h in kept[dim])
+                    cell, held, kept = key[a], [], None
+                some = pa.RecordBatch.from_arrays([batch.column(3).slice(a, b - a), pa.concat_arrays([batch.column(4).slice(a, b - a)])], names=["id", "x"])
+                if side[a] == 0:
+                    held.append(some)
+                    continue
+                if kept is None:
+                    kept = {}
+                    for part in pa.Table.from_batches(held).combine_chunks().to_batches() if held else ():
+                        for dim, tile in _tiles(part, TILE_QUERIES):
+                            kept.setdefault(dim, []).append((tile, Heaps(len(tile.ids), k)))
+                for dim, rows in _tiles(some, TILE_ROWS):
+                    for tile, heap in kept.get(dim, ()):
+                        meet(tile, heap, rows)
+        for dim in kept or ():
+            yield from (_answers(t, h) for t, h in kept[dim])
+
+    return dealt.mapInArrow(run, SCHEMA)
+
+
 #: DuckDB has no null or non-finite components in these tables; the zero vector is left out.
 SQL = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings

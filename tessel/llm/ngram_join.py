@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import runs
-from .common import keep_ids, n_partitions, small_batches, stored
+from .common import BROADCAST_ROWS, n_partitions, small_batches, stored
 from .graph import components
 
 #: Counters of the sketch (a power of two), and of a block of it.
@@ -28,6 +28,10 @@ SKETCH, SKETCH_BLOCK = 1 << 21, 1 << 13
 TEXT_BYTES = 1 << 18
 #: Shingles of the sets that are joined in one place, at most; larger groups are dealt out as pairs of parts.
 GROUP_SHINGLES = 4_000_000
+#: Bits of a bitmap in a list, at most: what a list takes grows with a text's length, not with its square.
+MOST_BITS = 2048
+#: Shingles of a set, at most, that has a bitmap.
+BITMAP_SHINGLES = 16 * MOST_BITS
 #: Sets of a block of the index lists.
 BLOCK_SETS = 1024
 
@@ -93,8 +97,10 @@ def set_id(found: np.ndarray) -> int:
 
 
 def parity(found: np.ndarray) -> np.ndarray:
-    """A bitmap, of half a bit to one bit for each shingle: which hash buckets hold an odd number of them."""
-    size = max(64, 1 << (len(found) - 1).bit_length() >> 1) if len(found) > 1 else 64
+    """A bitmap, of half a bit to one bit for each shingle and MOST_BITS at most: which hash buckets hold an odd number of them. Of sets so large that it would tell nothing it is empty."""
+    if len(found) > BITMAP_SHINGLES:
+        return np.zeros(0, np.uint64)
+    size = min(MOST_BITS, max(64, 1 << (len(found) - 1).bit_length() >> 1)) if len(found) > 1 else 64
     odd = np.bincount((found >> np.uint64(40)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -178,7 +184,7 @@ def together(n: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
     for w in np.unique(words):
         at[w] = np.flatnonzero(words == w)
         rows[w] = np.stack([bits[i] for i in at[w]])
-    halved = {w: folded(b) for w, b in rows.items() if w // 2 in rows}
+    halved = {w: folded(b) for w, b in rows.items() if w // 2 in rows and w > 1}
     place = np.zeros(g, np.int64)
     for some in at.values():
         place[some] = np.arange(len(some))
@@ -191,7 +197,12 @@ def together(n: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
         while line and free.any():
             p = line.pop()
             w, mine = words[p], rows[words[p]][place[p]]
-            for other, theirs, own in ((w, rows[w], mine), (2 * w, halved.get(2 * w), mine), (w // 2, rows.get(w // 2), halved[w][place[p]] if w in halved else None)):
+            if not w or 0 in at:  # without a bitmap only sizes tell
+                left = np.flatnonzero(free) if not w else at[0][free[at[0]]]
+                met = left[100 * np.minimum(n[left], n[p]) >= percent * np.maximum(n[left], n[p])]
+                group[met], free[met] = first, False
+                line.extend(met.tolist())
+            for other, theirs, own in () if not w else ((w, rows[w], mine), (2 * w, halved.get(2 * w), mine), (w // 2, rows.get(w // 2), halved[w][place[p]] if w in halved else None)):
                 if theirs is None or own is None or other not in at:
                     continue
                 left = at[other][free[at[other]]]
@@ -238,17 +249,17 @@ def _edges(percent: int):
 
 
 def _sets(k: int, levels):
-    """(comp, part, parts, set_id, weight, keys) of the documents that stand for their sets."""
+    """(comp, part, set_id, weight, keys) of the documents that stand for their sets."""
 
     def run(batches):
         for batch in runs(batches, 0, TEXT_BYTES):
-            comp, parts, ids, weight = (batch.column(c).to_pylist() for c in (1, 2, 3, 4))
+            comp, part, ids, weight = (batch.column(c).to_pylist() for c in (1, 2, 3, 4))
             rows = []
-            for c, p, s, w, found in zip(comp, parts, ids, weight, shingles(_texts(batch, 0), k)):
+            for c, p, s, w, found in zip(comp, part, ids, weight, shingles(_texts(batch, 0), k)):
                 if len(found) and set_id(found) == s:  # else a row that repeats an id with another text
-                    rows.append((c, s % p, p, s, w, ordered(found, levels.value).tobytes()))
+                    rows.append((c, p, s, w, ordered(found, levels.value).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["comp", "part", "parts", "set_id", "weight", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["comp", "part", "set_id", "weight", "keys"])
 
     return run
 
@@ -353,6 +364,20 @@ def _join(percent: int):
     return run
 
 
+def _parts(group: DataFrame, heavy: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sets with the part of their component, the cells (i, j) in which each part takes part): the parts of a heavy component are runs of its sets by size, and parts whose sizes can't match don't meet."""
+    so_far = Window.partitionBy("comp").orderBy("n", "set_id").rowsBetween(Window.unboundedPreceding, -1)
+    of_heavy = group.join(heavy, "comp", "left_semi").withColumn("part", F.floor(F.coalesce(F.sum("n").over(so_far), F.lit(0)) / GROUP_SHINGLES))
+    of_heavy = stored(of_heavy, "parts")
+    placed = group.join(heavy, "comp", "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(of_heavy)
+    sizes = of_heavy.groupBy("comp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    a, b = sizes.alias("a"), sizes.alias("b")
+    met = a.join(b, (F.col("a.comp") == F.col("b.comp")) & (F.col("a.part") <= F.col("b.part")) & (100 * F.col("a.most") >= percent * F.col("b.least")))
+    met = met.select("a.comp", F.col("a.part").alias("i"), F.col("b.part").alias("j"))
+    cells = met.withColumn("part", F.col("i")).unionByName(met.where("i <> j").withColumn("part", F.col("j")))
+    return placed, stored(cells, "cells")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links``: one row for each row of ``docs``.
 
@@ -360,7 +385,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     of a whole text, or its whole sequence if it has fewer words; null and empty texts have no shingles and link with
     nothing. Two rows link when 100 * intersection >= percent * union. ``component_id`` is the smallest id that links
     reach; ``n_links`` counts the rows that a row links with, equal ones too. Rows that repeat an id each count as a row;
-    a row with a null id links with nothing and has a null ``component_id``. Extra columns are ignored.
+    a row with a null id links with nothing and has a null ``component_id``. Texts of any length are read whole: a set's
+    postings take a bounded number of bytes for each shingle of its prefix. Sets are told apart by digests of 64 bits.
+    Extra columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
@@ -380,16 +407,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     lists = met.join(bitmaps, "set_id").select("token", "set_id", F.col("n").cast("long").alias("n"), "bits")
     pairs = lists.repartition("token").sortWithinPartitions("token", "n", "set_id").mapInArrow(_edges(percent), "u long, v long").distinct()
     group = stored(components(pairs).join(sets, F.col("node") == F.col("set_id")).select("set_id", F.col("root").alias("comp"), "rep", "weight", "n"), "groups")
-    heavy = group.groupBy("comp").agg(F.sum("n").alias("total")).where(F.col("total") > GROUP_SHINGLES)
-    heavy = heavy.select("comp", F.ceil(F.col("total") / GROUP_SHINGLES).alias("parts"))
+    heavy = group.groupBy("comp").agg(F.sum("n").alias("total")).where(F.col("total") > GROUP_SHINGLES).select("comp")
     n_heavy, n_sets = heavy.count(), group.count()
-    where = (group.join(heavy, "comp", "left") if n_heavy else group.withColumn("parts", F.lit(None).cast("long"))).select("comp", F.coalesce("parts", F.lit(1)).cast("long").alias("parts"), "set_id", "weight", "rep")
-    kept = keep_ids(rows.select(F.col("doc_id").alias("rep"), "text"), where.select("rep"), "rep", n_sets)
-    kept = kept.join(F.broadcast(where) if n_sets <= 1_000_000 else where, "rep").select("text", "comp", "parts", "set_id", "weight")
-    full = kept.mapInArrow(_sets(k, levels), "comp long, part long, parts long, set_id long, weight long, keys binary")
-    full = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    own = F.pmod("part", "parts")
-    dealt = full.select("comp", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), own.alias("part"), "set_id", "weight", "keys")
+    placed, cells = _parts(group, heavy, percent) if n_heavy else (group.withColumn("part", F.lit(0).cast("long")), None)
+    where = placed.select("comp", "part", "set_id", "weight", "rep")
+    kept = rows.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(where) if n_sets <= BROADCAST_ROWS else where, "rep").select("text", "comp", "part", "set_id", "weight")
+    full = kept.mapInArrow(_sets(k, levels), "comp long, part long, set_id long, weight long, keys binary")
+    if cells is not None:
+        full = full.join(F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells, ["comp", "part"], "left")
+    else:
+        full = full.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
+    dealt = full.select("comp", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "part", "set_id", "weight", "keys")
     joined = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_join(percent), "set_id long, root long, links long")
     joined = stored(joined, "links")
     n_links = joined.groupBy("set_id").agg(F.sum("links").alias("links"))

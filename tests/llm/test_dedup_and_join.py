@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessel.llm import exact_dedup, graph, ngram_join
+from tessel.llm import common, exact_dedup, graph, ngram_join
 
 DOC = "doc_id long, text string, sha string, part int, n int, token string, set_id string"
 
@@ -24,8 +24,9 @@ def test_golomb_round_trip(values, span):
 TEXTS = [(1, "a"), (2, "a"), (3, ""), (4, None), (5, "b"), (5, "b"), (None, "c"), (None, "c"), (6, "c"), (7, "A"), (8, "a "), (9, "x" * 100_000), (10, "x" * 100_000), (None, "d")]
 
 
-@pytest.mark.parametrize("bits", [48, 3])
-def test_exact_dedup(spark, bits):
+@pytest.mark.parametrize(("bits", "hot", "most"), [(48, 10_000, 1_000_000), (3, 10_000, 1_000_000), (48, 1, 1_000_000), (48, 1, 0)])
+def test_exact_dedup(spark, monkeypatch, bits, hot, most):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot), monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     texts = TEXTS + [(100 + i, f"t{i % 40}") for i in range(90)]
     groups = defaultdict(list)
     for i, t in texts:
@@ -103,10 +104,14 @@ def brute(texts, k, percent):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("k", "percent", "most"), [(4, 85, None), (5, 80, None), (4, 85, 500)])
-def test_near_duplicates(spark, monkeypatch, k, percent, most):
+@pytest.mark.parametrize(("k", "percent", "most", "bits"), [(4, 85, None, None), (5, 80, None, 64), (4, 85, 500, None), (4, 85, 500, 20)])
+def test_near_duplicates(spark, monkeypatch, k, percent, most, bits):
     if most:
-        monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", most)
+        monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", most), monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    if bits == 64:
+        monkeypatch.setattr(ngram_join, "MOST_BITS", bits)
+    elif bits:
+        monkeypatch.setattr(ngram_join, "BITMAP_SHINGLES", bits)
     texts = corpus()
     got = ngram_join.near_duplicates(frame(spark, texts).repartition(3), k, percent).collect()
     assert sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"]), r["n_links"]) for r in got) == brute(texts, k, percent)
@@ -122,6 +127,16 @@ def test_links_of_fewer_sets_than_parts(spark, monkeypatch):
     assert sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"]), r["n_links"]) for r in got) == brute(texts, 4, 85)
 
 
+def test_postings_of_long_texts_grow_with_their_length(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(60_000)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[:-50])), (3, " ".join(words[30_000:]))]
+    for k, percent in ((4, 85), (5, 80)):
+        got = ngram_join.near_duplicates(frame(spark, texts), k, percent).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+    assert all(ngram_join.parity(np.arange(n, dtype=np.uint64) << np.uint64(40)).nbytes <= ngram_join.MOST_BITS // 8 for n in (1, 2, 3000, 5000, 32_768, 60_000))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.near_duplicates(frame(spark, [(1, None)])).collect()] == [(1, 0, 1, 0)]

@@ -88,7 +88,7 @@ def vectors():
 
 @pytest.mark.parametrize("most", [1 << 20, 100])
 def test_nearest_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(nearest, "QUERY_BYTES", most)
+    monkeypatch.setattr(nearest, "QUERY_BYTES", most), monkeypatch.setattr(nearest, "BLOCK_ROWS", 60)
     rows = vectors()
     df = spark.createDataFrame([(i, x, 1, "q") for i, x in rows], "vec_id long, embedding array<float>, rank int, query_id string").repartition(4)
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(df, F.col("vec_id") % 100 == 0, 10).collect())
