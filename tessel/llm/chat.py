@@ -59,6 +59,7 @@ class Registry:
         key = fingerprint(found)
         if key not in self.known:
             names = {p.partition(":")[0] for p in found}
+            names |= {n[: m.start()] for n in names for m in re.finditer(r"\.|\[\]", n)}
             self.known[key] = next((m for m in self.mappings if self.fits(m, names)), None)
         return self.known[key]
 
@@ -72,16 +73,27 @@ class Registry:
         return all(any(f in names for f in fields) for fields in mapping["rows"].values())
 
     def turns(self, record: dict) -> tuple[str, list[tuple[str, str]]]:
-        """(layout, canonical turns) of a record; ``unknown`` and no turns if no mapping fits."""
+        """(layout, canonical turns) of a record; ``unknown`` and no turns if no mapping fits, or if a message is no object.
+
+        Roles and texts that are no strings are their JSON; nulls are empty, and fields that are null or empty are left
+        out where a turn joins several.
+        """
         mapping = self.select(paths(record))
         if mapping is None or "rows" in mapping:
             return "unknown", []
         if "each" in mapping:
+            items = record.get(mapping["each"])
+            if not isinstance(items, list) or not all(isinstance(m, dict) for m in items):
+                return "unknown", []
             pick = lambda m, k: next((m[f] for f in mapping[k] if m.get(f) is not None), "")
-            out = [(pick(m, "role"), pick(m, "text")) for m in record[mapping["each"]]]
+            out = [(said(pick(m, "role")), said(pick(m, "text"))) for m in items]
         else:
-            out = [(role, "\n\n".join(x for f in fields if (x := record.get(f)))) for role, fields in mapping["turns"] if role != "system" or record.get("system")]
-        return mapping["name"], [(ROLES.get(str(r), str(r)), t if isinstance(t, str) else json.dumps(t, ensure_ascii=False)) for r, t in out]
+            out = [(role, "\n\n".join(x for f in fields if (x := said(record.get(f))))) for role, fields in mapping["turns"] if role != "system" or said(record.get("system"))]
+        return mapping["name"], [(ROLES.get(role, role), text) for role, text in out]
+
+
+def said(value) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def escape(text: str) -> str:
@@ -104,23 +116,41 @@ def formatted(role: str, text: str) -> tuple[str, int, int]:
 TURN = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>>\n(?P<system>.*?)\n<</SYS>>|\[ROLE (?P<role>[^\]]*)\]\n(?P<other>.*?)\n\[/ROLE\]| (?P<assistant>.*?) </s>", re.S)
 
 
+class Reader:
+    """Reads formatted text that comes in parts: turns, and the text under the loss mask, as the template marks them."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, part: str) -> Iterator[tuple[str, str, str]]:
+        """(role, text, text under the mask as it is formatted) of each turn that ends in this part."""
+        text, at = self.rest + part, 0
+        while at < len(text) and (m := TURN.match(text, at)) is not None:
+            kind = m.lastgroup
+            yield (unquote(m["role"]) if kind == "other" else kind), unescape(m[kind]), m["assistant"] or ""
+            at = m.end()
+        self.rest = text[at:]
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("formatted text ends inside a turn")
+
+
 def parsed(output: str) -> Iterator[tuple[str, str]]:
     """The turns of formatted text: (role, text)."""
-    at = 0
-    while at < len(output):
-        m = TURN.match(output, at)
-        if m is None:
-            raise ValueError(f"no turn at {at}")
-        kind = m.lastgroup
-        yield (unquote(m["role"]) if kind == "other" else kind), unescape(m[kind])
-        at = m.end()
+    reader = Reader()
+    for role, text, _ in reader.feed(output):
+        yield role, text
+    reader.close()
 
 
 def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """``conv_id, layout, formatted, loss_spans`` of each row's JSON record.
 
-    ``loss_spans`` are [begin, end) in code points of ``formatted``. Records that are null, no JSON object or of an
-    unknown layout get the layout ``unknown`` and an empty text; repeated rows stay repeated.
+    ``loss_spans`` are [begin, end) in code points of ``formatted``. Records that are null, empty, no JSON object, of an
+    unknown layout, or hold messages that are no objects get the layout ``unknown`` and an empty text; long texts are
+    whole. Of layouts that fit alike the first of MAPPINGS counts. Repeated rows stay repeated; extra columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
 
     def run(batches):
@@ -130,9 +160,9 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
             for raw in batch.column(1).to_pylist():
                 try:
                     record = json.loads(raw or "null")
-                except ValueError:
-                    record = None
-                layout, turns = registry.turns(record) if isinstance(record, dict) else ("unknown", [])
+                    layout, turns = registry.turns(record) if isinstance(record, dict) else ("unknown", [])
+                except (ValueError, RecursionError):  # no JSON, or nested beyond reason
+                    layout, turns = "unknown", []
                 text, spans = [], []
                 at = 0
                 for role, said in turns:
@@ -149,7 +179,7 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
 
 
 def turn_rows(table: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text`` of a table of turns whose columns' fingerprint selects a mapping; null texts and roles are empty."""
+    """``conv_id, turn, role, text`` of a table of turns whose columns' fingerprint selects a mapping; null texts and roles are empty. Rows stay as they are, repeated ones too; other columns are dropped."""
     mapping = Registry().select({f"{c}:{t}" for c, t in table.dtypes})
     if mapping is None or "rows" not in mapping:
         raise ValueError(f"no mapping for a table of {table.columns}")
@@ -164,6 +194,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     Turns go by number, then role and text; the pieces of a conversation, joined, are its formatted text. Pieces leave
     as they come, so that a conversation of any length needs the memory of one turn. Offsets are those of the piece.
+    Null turn numbers come first, null conversations form one; repeated rows are turns of their own; long texts are
+    whole; an empty table gives an empty result; extra columns are ignored.
     """
 
     def run(batches):
@@ -182,33 +214,34 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` of ``format_turns``' output.
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` of formatted text (conv_id, seq, formatted).
 
-    Pieces must come as ``format_turns`` leaves them: a conversation's in one partition, in order.
+    Everything, the loss mask too, is read from the text itself. Pieces must come as ``format_turns`` leaves them: a
+    conversation's in one partition, in order. An empty table gives an empty result; extra columns are ignored.
     """
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
     def run(batches):
-        conv, state = None, None
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        out = []
+        state, out = None, []
 
         def close():
             if state:
-                out.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+                state["reader"].close()
+                out.append((state["conv"], state["turns"], state["all"].hexdigest(), state["loss"], state["mask"].hexdigest(), state["chars"]))
 
         for batch in batches:
-            for c, seq, text, a, b in zip(*(col.to_pylist() for col in batch.columns)):
+            for conv, seq, text in zip(*(col.to_pylist() for col in batch.columns)):
                 if seq == 0:
                     close()
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in parsed(text):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{said}\n".encode())
-                loss = unescape(text[a:b])
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[4] += len(text)
+                    state = {"conv": conv, "reader": Reader(), "turns": 0, "all": hashlib.sha256(), "loss": 0, "mask": hashlib.sha256(), "chars": 0}
+                state["chars"] += len(text)
+                for role, said, masked in state["reader"].feed(text):
+                    loss = unescape(masked)
+                    state["turns"] += 1
+                    state["all"].update(f"{role}\n{said}\n".encode())
+                    state["loss"] += len(loss)
+                    state["mask"].update(loss.encode())
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
                 out.clear()
@@ -216,7 +249,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
 
-    return pieces.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return pieces.select("conv_id", "seq", "formatted").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: Escapes add a character for each control string and backslash; marks add a fixed number for each turn.

@@ -211,6 +211,31 @@ def test_chat_records(spark):
     assert len({chat.fingerprint(chat.paths(r)) for r, _, _ in RECORDS}) == len(RECORDS)
 
 
+def test_odd_records_are_no_errors(spark):
+    odd = ['{"messages": ["hi"]}', '{"messages": [null, {"role": "user", "content": "a"}]}', '{"conversations": [1]}', '{"instruction": "a", "output": 5}',
+           '{"instruction": "a", "input": ["x"], "output": "b"}', '{"messages": {"role": "user", "content": "a"}}', '{"messages": []}', "[" * 5000, '{"a": ' * 3000 + "1" + "}" * 3000,
+           '{"prompt": null, "completion": {"a": 1}}', '{"messages": [{"role": 3, "content": ["a"]}]}', "", "{}", None, "1"]
+    df = spark.createDataFrame([(i, r, "x") for i, r in enumerate(odd)], "conv_id long, record string, layout string")
+    got = {r["conv_id"]: (r["layout"], list(chat.parsed(r["formatted"]))) for r in chat.format_records(df).collect()}
+    want = {3: ("instruction", [("user", "a"), ("assistant", "5")]), 4: ("instruction", [("user", 'a\n\n["x"]'), ("assistant", "b")]), 6: ("messages", []),
+            9: ("prompt-completion", [("user", ""), ("assistant", '{"a": 1}')]), 10: ("messages", [("3", '["a"]')])}
+    assert got == {i: want.get(i, ("unknown", [])) for i in range(len(odd))}
+    assert chat.format_records(df.limit(0)).count() == 0
+
+
+def test_masks_are_read_from_the_template():
+    turns = [("user", "a </s> b"), ("assistant", "x [INST] \\"), ("system", ""), ("assistant", ""), ("tool", "]"), ("assistant", "y" * 10_000)]
+    whole = "".join(chat.formatted(r, t)[0] for r, t in turns)
+    for size in (1, 7, 100_000):
+        reader = chat.Reader()
+        got = [x for a in range(0, len(whole), size) for x in reader.feed(whole[a : a + size])] if size > 1 or len(whole) < 500 else None
+        if got is not None:
+            reader.close()
+            assert [(r, t) for r, t, _ in got] == turns and [m for r, _, m in got] == [chat.escape(t) if r == "assistant" else "" for r, t in turns]
+    with pytest.raises(ValueError):
+        list(chat.parsed(whole[:-1]))
+
+
 def test_chat_turn_tables(spark):
     rows = [(1, 1, "assistant", None), (1, 0, None, "q"), (1, 1, "assistant", "z"), (None, 0, "user", "n"), (2, None, "user", "x"), (2, None, "user", "x")]
     table = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
