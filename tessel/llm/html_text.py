@@ -22,28 +22,48 @@ from pyspark.sql import functions as F
 from .bpe import runs
 from .common import small_batches
 
-#: Tags that begin and end blocks, that hold no text, that have no end, and that close an open one of their kind.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+#: Tags that begin and end blocks, and those that have no end.
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)/?>", re.S | re.I)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-WORDS = re.compile(r"[a-z]+")
-#: Depth of ancestors that count.
-DEPTH = 64
+#: Open tags that a tag ends, as far as the tags at which that stops.
+ENDS = {
+    "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select"),
+    "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+    "tbody": ("tbody thead tfoot tr td th caption", "table"), "thead": ("tbody thead tfoot tr td th caption", "table"), "tfoot": ("tbody thead tfoot tr td th caption", "table"),
+}
+ENDS = {tag: (frozenset(closed.split()), frozenset(until.split())) for tag, (closed, until) in ENDS.items()}
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+#: Comments (one that is left open runs to the end), scripts and styles with their text, declarations, and tags.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b{ATTRIBUTES}(?:(?<=/)>(?!.*</\1)|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES})/?>", re.S | re.I)
+NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+@dataclass(slots=True, frozen=True)
+class Node:
+    """An open element, with what holds for all elements from the root to it."""
+
+    tag: str
+    tags: frozenset = frozenset()
+    names: frozenset = frozenset()  # words of classes, ids and roles
+    inner: frozenset | None = None  # tags inside the nearest article or main, if there is one
+
+    def opened(self, tag: str, attributes: str) -> Node:
+        names = frozenset(w.lower() for found in NAMES.findall(attributes) for w in WORDS.findall("".join(found)))
+        inner = frozenset() if tag in ("article", "main") else self.inner if self.inner is None or tag in self.inner else self.inner | {tag}
+        return Node(tag, self.tags if tag in self.tags else self.tags | {tag}, self.names | names if names else self.names, inner)
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    tags: tuple  # of all ancestors, from the root
-    names: frozenset  # words of their classes, ids and roles
+    node: Node
     linked: int  # characters of it inside links
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order. Inline tags and line breaks count as white space or nothing; scripts, styles and comments are no text."""
-    out, stack, run, linked, in_link, at = [], [], [], 0, 0, 0
+    """Leaf blocks with text, in page order. Inline tags count as nothing, line breaks as white space; scripts, styles, comments and attributes are no text, all else is. Ends of elements that HTML lets out are implied."""
+    out, stack, run, linked, in_link, at = [], [Node("")], [], 0, 0, 0
 
     def text(raw):
         nonlocal linked
@@ -57,7 +77,7 @@ def blocks(page: str) -> list[Block]:
         if run:
             said = " ".join("".join(run).split())
             if said:
-                out.append(Block(said, tuple(t for t, _ in stack[-DEPTH:]), frozenset().union(*(n for _, n in stack[-DEPTH:])), linked))
+                out.append(Block(said, stack[-1], linked))
             run.clear()
         linked = 0
 
@@ -75,13 +95,20 @@ def blocks(page: str) -> list[Block]:
             continue
         close()
         if m[2]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if tag in stack[-1].tags:
+                while stack.pop().tag != tag:
+                    pass
         elif tag not in VOID:
-            if stack and (stack[-1][0] == "p" or tag in SELF_CLOSING and stack[-1][0] == tag):
+            if stack[-1].tag == "p":
                 stack.pop()
-            stack.append((tag, frozenset(w for found in NAMES.findall(m[4]) for w in WORDS.findall("".join(found).lower()))))
+            if tag in ENDS:
+                closed, until = ENDS[tag]
+                depth = len(stack)
+                while stack[depth - 1].tag not in until and depth > 1:
+                    depth -= 1
+                    if stack[depth].tag in closed:
+                        del stack[depth:]
+            stack.append(stack[-1].opened(tag, m[4]))
     text(page[at:])
     close()
     return out
@@ -90,33 +117,31 @@ def blocks(page: str) -> list[Block]:
 def features(found: list[Block]) -> list[list[str]]:
     """Names of the features that are on, for each block."""
     out = []
-    for k, b in enumerate(found):
-        n, words = len(b.text), b.text.count(" ") + 1
-        f = ["bias", "own=" + (b.tags[-1] if b.tags else ""), f"length={min(6, n.bit_length() - 3)}", f"links={min(3, 4 * b.linked // max(1, n))}"]
-        f += ["in=" + t for t in set(b.tags)] + ["name=" + w for w in b.names]
+    for b in found:
+        n, words, node = len(b.text), b.text.count(" ") + 1, b.node
+        f = ["bias", "own=" + node.tag, f"length={min(6, n.bit_length() - 3)}", f"links={min(3, 4 * b.linked // max(1, n))}"]
+        f += ["in=" + t for t in node.tags] + ["name=" + w for w in node.names]
         f += ["sentence" if b.text[-1] in ".!?…。\"”»" else "no stop", "comma" if "," in b.text else "no comma"]
         f += ["©"] if "©" in b.text or "(c)" in b.text.lower() else []
         f += ["few words"] if words < 5 else []
-        f += ["first"] if k == 0 else []
-        f += ["last"] if k == len(found) - 1 else []
-        if {"article", "main"} & set(b.tags):
-            inner = b.tags[max(k for k, t in enumerate(b.tags) if t in ("article", "main")) :]
-            f += ["inside=" + t for t in set(inner[1:])] or ["inside"]
+        if node.inner is not None:
+            f += ["inside"] + ["inside=" + t for t in node.inner]
         out.append(f)
     return out
 
 
-#: What the generator of labelled pages draws from.
+#: What the generator of labelled pages draws from; ``any`` are wrappers that tell nothing.
 LAYOUT = {
-    "main": ("article", "main", 'div class="content"', 'div id="content"', 'div class="post-body"', 'div class="entry"', 'section class="story"', 'div class="article-body"', 'main><article'),
-    "menu": ("nav", 'div class="menu"', 'div id="nav"', 'ul class="navbar"', 'div class="breadcrumbs"', 'div role="navigation"'),
-    "top": ("header", 'div class="header"', 'div id="masthead"', 'div class="topbar"', 'div role="banner"'),
-    "side": ("aside", 'div class="sidebar"', 'div id="sidebar"', 'section class="related"', 'div class="widget"', 'div class="recommended"'),
-    "advert": ('div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="promo"', 'div class="sponsored"', 'aside class="advertisement"', 'div id="banner"'),
-    "notice": ('div class="cookie"', 'div class="cookie-notice"', 'div class="notice"', 'div class="consent"', 'div role="alert"', 'div class="newsletter"', 'dialog', 'div class="popup"', 'div class="subscribe"'),
-    "form": ("form", 'form class="search"', 'form id="login"', 'form class="signup"'),
-    "comments": ('section class="comments"', 'div id="comments"', 'div class="comment-list"', 'ol class="comments"', 'div class="responses"'),
-    "foot": ("footer", 'div class="footer"', 'div id="footer"', 'div class="copyright"', 'div role="contentinfo"'),
+    "main": ("article", "main", 'div class="content"', 'div id="content"', 'div class="post-body"', 'div class="entry"', 'section class="story"', 'div class="article-body"', 'main><article', 'div role="main"', 'article class="post"', 'div class="entry-content"', "", "", 'div class="text"'),
+    "any": ("div", "div", 'div class="wrapper"', 'div class="container"', 'div class="row"', 'div class="col"', 'div id="page"', 'div class="inner"', "section", 'div class="col-md-8"', 'div class="layout grid"', 'div id="site"', 'div class="box"', 'div class="block"', 'div class="section"', 'div class="left"', 'div class="body"', 'div class="{}"', 'div id="{}"', 'div class="{} {}"', "center", "table><tr><td"),
+    "menu": ("nav", 'div class="menu"', 'div id="nav"', 'ul class="navbar"', 'div class="breadcrumbs"', 'div role="navigation"', 'ol class="breadcrumb"', 'div class="navigation"', 'div class="pagination"', "menu"),
+    "top": ("header", 'div class="header"', 'div id="masthead"', 'div class="topbar"', 'div role="banner"', 'div class="site-header"', 'header class="top"', 'div id="top"'),
+    "side": ("aside", 'div class="sidebar"', 'div id="sidebar"', 'section class="related"', 'div class="widget"', 'div class="recommended"', 'aside class="related"', 'div role="complementary"', 'div class="trending"', 'div class="side"', 'div class="more"'),
+    "advert": ('div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="promo"', 'div class="sponsored"', 'aside class="advertisement"', 'div id="banner"', 'div class="banner"', 'div class="sponsor"', 'ins class="adsbygoogle"><div class="ad-slot"', 'div class="promotion"', 'section class="ad"', 'p class="ad"'),
+    "notice": ('div class="cookie"', 'div class="cookie-notice"', 'div class="notice"', 'div class="consent"', 'div role="alert"', 'div class="newsletter"', "dialog", 'div class="popup"', 'div class="subscribe"', 'div class="alert"', 'div class="gdpr"', 'div class="modal"', 'div class="overlay"', 'div id="cookie-banner"', 'div class="paywall"', 'div role="dialog"', 'p class="notice"'),
+    "form": ("form", 'form class="search"', 'form id="login"', 'form class="signup"', 'div class="search"><form', "form><fieldset"),
+    "comments": ('section class="comments"', 'div id="comments"', 'div class="comment-list"', 'ol class="comments"', 'div class="responses"', 'div class="comment"', 'div id="disqus"', 'div class="replies"', 'section id="discussion"', 'div class="feedback"', 'ul class="comments"'),
+    "foot": ("footer", 'div class="footer"', 'div id="footer"', 'div class="copyright"', 'div role="contentinfo"', 'footer class="site-footer"', 'div class="legal"', 'div id="colophon"'),
     "share": ('div class="share"', 'ul class="social"', 'div class="tags"', 'p class="byline"'),
 }
 
@@ -124,6 +149,7 @@ LAYOUT = {
 def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
     """(a page, whether each of its leaf blocks is main text)."""
     parts, labels = [], []
+    para = rng.choice(["p"] * 8 + ["div"])
     junk = rng.choice(["", "", "", "!!", " |", "***", " #", "$$$", ";"])  # some pages are noisy throughout
 
     def words(a, b):
@@ -142,9 +168,17 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
 
     def wrap(kind, fill):
         tag = rng.choice(LAYOUT[kind])
-        parts.append(f"<{tag}>")
+        while "{}" in tag:  # a name that tells nothing
+            tag = tag.replace("{}", "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(3, 9))), 1)
+        parts.append(f"<{tag}>" if tag else "")
         fill()
-        parts.append("".join(f"</{t.split()[0]}>" for t in reversed(tag.split("><"))))
+        parts.append("".join(f"</{t.split()[0]}>" for t in reversed(tag.split("><"))) if tag else "")
+
+    def wrapped(most, fill):
+        if most and rng.random() < 0.5:
+            wrap("any", lambda: wrapped(most - 1, fill))
+        else:
+            fill()
 
     def links(n):
         parts.append("<ul>")
@@ -152,65 +186,109 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
             put(f'<li><a href="/{words(1, 1)}">{words(1, 3)}</a></li>', False)
         parts.append("</ul>")
 
-    def boiler(tag="p"):
-        put(f"<{tag}>{prose(3) if rng.random() < 0.6 else words(1, 6)}</{tag}>" if rng.random() < 0.7 else prose(2), False)
-        if labels and parts[-1][0] != "<":
+    def boiler():
+        tag = rng.choice(["p", "p", "p", "li", "h3", "h4", "div", "span"])
+        put(f"<{tag}>{prose(3) if rng.random() < 0.6 else words(1, 6)}</{tag}>", False)
+        if tag == "span":
             parts[-1] = f"<div>{parts[-1]}</div>"
 
+    def fields():
+        for _ in range(rng.randint(1, 3)):
+            put(rng.choice([f"<label>{words(1, 3)}</label><input>", f"<p>{words(1, 5)}</p><input>", f"<button>{words(1, 2)}</button>", f"<select><option>{words(1, 2)}</select>", f"<textarea>{words(1, 4)}</textarea>", f"<legend>{words(1, 3)}</legend>"]), False)
+
+    def table():
+        parts.append("<table>")
+        if rng.random() < 0.3:
+            put(f"<caption>{words(2, 6)}</caption>", True)
+        columns = rng.randint(2, 4)
+        for row in range(rng.randint(2, 4)):
+            parts.append("<tr>")
+            for _ in range(columns):
+                tag = "th" if row == 0 and rng.random() < 0.7 else "td"
+                put(f"<{tag}>{rng.choice([words(1, 3), str(rng.randint(1, 9999)), sentence(2, 8)])}" + rng.choice(["", f"</{tag}>"]), True)
+            parts.append(rng.choice(["", "</tr>"]))
+        parts.append("</table>")
+
+    def piece():
+        x = rng.random()
+        if x < 0.56:
+            put(f"<{para}>{rng.choice(['', '', '<b>'])}{prose(7)}</{para}>" if rng.random() < 0.9 else f"<p><b>{sentence(2, 12)}<br>", True)
+        elif x < 0.63:
+            h = rng.choice("23456")
+            put(f"<h{h}>{words(1, 6)}</h{h}>", True)
+        elif x < 0.68:
+            tag = rng.choice(["ul", "ol"])
+            parts.append(f"<{tag}>")
+            for _ in range(rng.randint(1, 4)):
+                put(f"<li>{rng.choice([sentence(3, 14), words(1, 4)])}" + rng.choice(["", "</li>"]), True)
+            parts.append(f"</{tag}>")
+        elif x < 0.71:
+            put(f"<blockquote>{rng.choice(['', '<p>'])}{prose(3)}</blockquote>", True)
+        elif x < 0.74:
+            put(f"<pre>{words(2, 20)}</pre>", True)
+        elif x < 0.77:
+            put(f"<p>{words(1, 3)}{rng.choice(['', '.', '.' + junk])}</p>", True)
+        elif x < 0.80:
+            put(f"<figure><img><figcaption>{rng.choice([sentence(3, 12), words(2, 8)])}</figcaption></figure>", True)
+        elif x < 0.83:
+            table()
+        elif x < 0.85:
+            parts.append("<dl>")
+            for _ in range(rng.randint(1, 3)):
+                put(f"<dt>{words(1, 3)}", True)
+                put(f"<dd>{sentence(3, 12)}", True)
+            parts.append("</dl>")
+        elif x < 0.87:
+            put(f"<div>{prose(3)}</div>", True)
+        elif x < 0.92:
+            wrap("advert", boiler)
+        elif x < 0.95:
+            wrap("form", fields)
+        else:
+            wrap(rng.choice(["notice", "side", "share"]), boiler)
+
     def body():
         if rng.random() < 0.85:
-            put(f"<h1>{words(2, 9)}{rng.choice(['', '.', ''])}</h1>", True)
+            head = f"<h1>{words(2, 9)}{rng.choice(['', '.', ''])}</h1>"
+            put(f"<header>{head}</header>" if rng.random() < 0.08 and "".join(parts[-1:])[:8] in ("<article", "<main>") else head, True)
         if rng.random() < 0.15:
-            wrap("share", lambda: links(2))
-        for k in range(rng.randint(1, 14)):
-            x = rng.random()
-            if x < 0.68:
-                put(f"<p>{rng.choice(['', '', '<b>'])}{prose(7)}</p>" if rng.random() < 0.9 else f"<p><b>{sentence(2, 12)}<br>", True)
-            elif x < 0.74:
-                put(f"<h{rng.choice('23')}>{words(1, 6)}</h{rng.choice('23')}>", True)
-            elif x < 0.79:
-                parts.append("<ul>")
-                for _ in range(rng.randint(1, 4)):
-                    put(f"<li>{sentence(3, 14)}</li>", True)
-                parts.append("</ul>")
-            elif x < 0.83:
-                put(f"<blockquote>{prose(3)}</blockquote>", True)
-            elif x < 0.86:
-                put(f"<pre>{words(2, 20)}</pre>", True)
-            elif x < 0.89:
-                put(f"<p>{words(1, 3)}{rng.choice(['', '.', '.' + junk])}</p>", True)
-            elif x < 0.94:
-                wrap("advert", boiler)
-            elif x < 0.97:
-                wrap("form", lambda: put(f"<p>{words(1, 5)}</p><input>", False))
+            wrap("share", lambda: links(2) if rng.random() < 0.5 else boiler())
+        for _ in range(rng.randint(1, 7)):
+            if rng.random() < 0.2:
+                wrap("any", lambda: [piece() for _ in range(rng.randint(1, 4))])
             else:
-                wrap(rng.choice(["notice", "side", "share"]), boiler)
+                [piece() for _ in range(rng.randint(1, 2))]
         if rng.random() < 0.12:
             wrap("comments", lambda: [boiler() for _ in range(rng.randint(1, 3))])
 
-    put(f"<html><head><title>{words(2, 8)}</title></head><body>", False)
+    if rng.random() < 0.08:  # a piece of a page
+        wrap("main", body)
+        return "".join(parts), labels
+    if rng.random() < 0.9:
+        put(f"<html><head><title>{words(2, 8)}</title></head><body>", False)
+    outer = rng.random() < 0.3
+    parts.append("<div>" if outer else "")
     if rng.random() < 0.4:
         wrap("notice", boiler)
     if rng.random() < 0.6:
-        wrap("top", lambda: (put(f"<h{rng.choice('12')}>{words(1, 4)}</h{rng.choice('12')}>", False), rng.random() < 0.4 and links(3), rng.random() < 0.3 and boiler()))
+        wrap("top", lambda: (put(f"<h{(h := rng.choice('12'))}>{words(1, 4)}</h{h}>", False), rng.random() < 0.4 and links(3), rng.random() < 0.3 and boiler()))
     if rng.random() < 0.8:
-        wrap("menu", lambda: links(rng.randint(2, 8)))
+        wrapped(1, lambda: wrap("menu", lambda: links(rng.randint(2, 8))))
     if rng.random() < 0.4:
-        wrap("form", lambda: put(f"<label>{words(1, 3)}</label><input>", False))
+        wrap("form", fields)
     if rng.random() < 0.5:
         wrap("advert", boiler)
     if rng.random() < 0.25:
-        wrap("side", lambda: [boiler() for _ in range(rng.randint(1, 3))])
+        wrapped(1, lambda: wrap("side", lambda: [boiler() for _ in range(rng.randint(1, 3))]))
     if rng.random() < 0.97:
-        wrap("main", body)
+        wrapped(3, lambda: wrap("main", lambda: wrapped(2, body)))
     for kind, share in (("advert", 0.3), ("comments", 0.4), ("side", 0.4), ("notice", 0.2), ("form", 0.2)):
         if rng.random() < share:
-            wrap(kind, lambda kind=kind: [boiler() for _ in range(rng.randint(1, 4))] if rng.random() < 0.7 or kind != "side" else links(4))
+            fill = fields if kind == "form" else lambda kind=kind: [boiler() for _ in range(rng.randint(1, 4))] if rng.random() < 0.7 or kind != "side" else links(4)
+            wrapped(1, lambda kind=kind, fill=fill: wrap(kind, fill))
+    parts.append("</div>" if outer else "")
     if rng.random() < 0.85:
         wrap("foot", lambda: (rng.random() < 0.4 and links(3), put(f"<p>{rng.choice(['&copy; ', '', '(c) '])}{words(1, 5)} {prose(2) if rng.random() < 0.5 else ''}</p>", False)))
-    if rng.random() < 0.1:
-        del parts[-1]
-        labels.pop() if not parts else None
     return "".join(parts), labels
 
 
@@ -248,7 +326,7 @@ class Crf:
 
 
 @functools.cache
-def train(pages: int = 400, seed: int = 7, steps: int = 100, rate: float = 0.1, decay: float = 2e-4) -> Crf:
+def train(pages: int = 600, seed: int = 7, steps: int = 100, rate: float = 0.1, decay: float = 2e-4) -> Crf:
     """A chain trained on generated pages by Adam on the conditional likelihood, all pages at once."""
     rng = random.Random(seed)
     chains, states = [], []
@@ -264,15 +342,13 @@ def train(pages: int = 400, seed: int = 7, steps: int = 100, rate: float = 0.1,
             for x in f:
                 number.setdefault(x, len(number))
     n, longest = len(chains), max(map(len, chains))
-    x = np.zeros((longest, n, len(number)), np.float32)
+    here = np.array([[t < len(c) for c in chains] for t in range(longest)])
+    flat = np.zeros((int(here.sum()), len(number)), np.float32)
     y = np.zeros((longest, n), int)
-    here = np.zeros((longest, n), bool)
-    for i, (chain, labels) in enumerate(zip(chains, states)):
-        for t, (f, label) in enumerate(zip(chain, labels)):
-            x[t, i, [number[v] for v in f]] = 1
-            y[t, i], here[t, i] = int(label), True
+    for row, (t, i) in enumerate(np.argwhere(here).tolist()):
+        flat[row, [number[v] for v in chains[i][t]]] = 1
+        y[t, i] = int(states[i][t])
     last = here.sum(axis=0) - 1
-    flat = x.reshape(-1, len(number))
     gold = np.stack([(y == s) & here for s in (0, 1)], axis=-1).astype(float)
     theta = np.zeros(2 * len(number) + 8)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -286,7 +362,8 @@ def train(pages: int = 400, seed: int = 7, steps: int = 100, rate: float = 0.1,
     for k in range(1, steps + 1):
         emit, step = theta[: 2 * len(number)].reshape(-1, 2), theta[-8:-4].reshape(2, 2)
         start, end = theta[-4:-2], theta[-2:]
-        e = (flat @ emit.astype(np.float32)).reshape(longest, n, 2).astype(float)
+        e = np.zeros((longest, n, 2))
+        e[here] = flat @ emit.astype(np.float32)
         fore, rear = np.zeros_like(e), np.zeros_like(e)
         fore[0] = start + e[0]
         for t in range(1, longest):
@@ -296,7 +373,7 @@ def train(pages: int = 400, seed: int = 7, steps: int = 100, rate: float = 0.1,
         z = log_sum(fore[-1] + end, 1)
         p = np.exp(fore + rear - z[None, :, None]) * here[..., None]
         pair = np.exp(fore[:-1][..., :, None] + step + (e[1:] + rear[1:])[..., None, :] - z[None, :, None, None]) * both[..., None, None]
-        miss = (p - gold).astype(np.float32).reshape(-1, 2)
+        miss = (p - gold)[here].astype(np.float32)
         at_last = lambda q: q[last, np.arange(n)].sum(axis=0)
         g = np.concatenate([(flat.T @ miss).ravel(), (pair.sum(axis=(0, 1)) - gold_step).ravel(), (p[0] - gold[0]).sum(axis=0), at_last(p) - at_last(gold)]) / n + decay * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -314,7 +391,9 @@ def main_text(page: str | None, crf: Crf) -> str:
 def extract(pages: DataFrame, crf: Crf, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of each row's whole page; ``n_chars`` counts code points.
 
-    Null, empty and text-free pages give an empty text. Repeated rows stay repeated; extra columns are ignored.
+    Null, empty and text-free pages give an empty text; pages of any length and depth are read whole. Where both states
+    of a block are as good, it is boilerplate. Repeated rows stay repeated; extra columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
     sent = pages.sparkSession.sparkContext.broadcast(crf)
 

@@ -253,8 +253,8 @@ def crf():
 
 def test_html_blocks():
     page = "<!-- x --><script>var t='</p>';</script><p>a&nbsp;&amp;\n b<br>c<p>d<b>e</b><div class='Ad box'>f</div>"
-    assert [(b.text, b.tags[-1]) for b in html_text.blocks(page)] == [("a & b c", "p"), ("de", "p"), ("f", "div")]
-    assert html_text.blocks(page)[2].names == {"ad", "box"}
+    assert [(b.text, b.node.tag) for b in html_text.blocks(page)] == [("a & b c", "p"), ("de", "p"), ("f", "div")]
+    assert html_text.blocks(page)[2].node.names == {"ad", "box"}
     assert html_text.blocks("") == [] and html_text.blocks("<p") != None  # noqa: E711
 
 
