@@ -197,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     Labels that are null are left out; of several labels of an id the largest counts, of several texts of an id the
     smallest. A sample of SAMPLE_ROWS rows and lexicons of MAX_TERMS terms (those of the highest likelihood ratio, ties
     by kind and term) bound what the driver holds, whatever the number of documents. Empty tables are as below. Without rows of both classes the
-    model scores everything alike, by the share of label 1.
+    model scores everything alike, by the share of label 1; where nothing is labelled, nothing is toxic.
     """
     marked = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     counts = dict(rows.groupBy("toxic").count().collect())
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     if not n1 or not n0:
-        share = (n1 + 0.5) / (n1 + n0 + 1)
+        share = min(max(n1 / (n1 + n0 + 1), 1e-6), 1 - 1e-6)
         return Model(Lexicon([]), np.zeros(len(PATTERNS)), float(np.log(share / (1 - share))))
     seen = small_batches(rows).mapInArrow(_terms_of, "kind int, term string, a long, b long").groupBy("kind", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")

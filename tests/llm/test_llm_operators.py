@@ -419,7 +419,11 @@ def test_strong_terms_survive_a_few_clean_rows(spark):
 def test_toxicity_without_classes(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r["score"] for r in toxicity.score(docs, toxicity.learn(docs, none, F.lit(True))).collect()} == {0.5}
+    assert {(round(r["score"], 3), r["predicted"]) for r in toxicity.score(docs, toxicity.learn(docs, none, F.lit(True))).collect()} == {(0.0, 0)}
+    assert toxicity.keep_clean(docs, toxicity.learn(docs, none, F.lit(True))).count() == 2
+    one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.score(docs, toxicity.learn(docs, one, F.lit(True))).collect()} == {0.5}
+    assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), one, F.lit(True))).count() == 0
 
 
 def test_label_model_discounts_repeated_voters():
