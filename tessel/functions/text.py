@@ -1,13 +1,13 @@
-"""Functions of titles, keywords, HTML and JSON texts. Native columns, but for link-title pairing."""
+"""Functions of titles, keywords, HTML and JSON texts, all as native columns."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .urls import LINK_PATTERNS, decoded
 
 #: White space of the records' origin, noise and separators of keywords, labels before titles.
 WS = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
@@ -17,7 +17,7 @@ BRACKETS = "[【】《》\\[\\]()（）]"
 SEPARATORS = r"[\s/|,，、·:：;；!?？！+]+"
 CONNECTORS = "[的之与和及]"
 FORBIDDEN = "(?i)政治|暴力|色情|赌博|毒品|fuck|shit|bitch"
-TITLE_LABELS = "^(?:名称|标题|片名|资源名称|资源|名字)[:：]"
+TITLE_LABELS = "^(?:名称：)?(?:标题：)?(?:片名：)?(?:名称:)?(?:标题:)?(?:片名:)?"
 MAX_VARIANTS, MAX_TERM = 6, 20
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 
@@ -151,29 +151,112 @@ def age_label(ts: Column, as_of: str) -> Column:
     return F.when(ts.isNull(), "").when(days <= 0, "今天").when(days == 1, "昨天").when(days < 7, F.concat(days.cast("string"), F.lit("天前"))).when(days < 365, F.concat(F.floor(days / 30).cast("string"), F.lit("个月前"))).otherwise(F.date_format(ts, "yyyy-MM-dd"))
 
 
-LINK = re.compile(r"https?://[^\s'\"<>()（）]+|magnet:\?[^\s]+")
-LABEL = re.compile(r"^(?:链接|地址|资源地址|网盘|网盘地址|网盘链接|链接地址|夸克|百度|阿里|迅雷|天翼|115|123|UC|移动)?[^\w]*$")
-
-
-def pair_titles(text: str | None) -> dict[str, str]:
-    """Link -> title of a text. By lines: what stands before the link and a colon, else the last line without a link; in a single line: what stands between two links."""
-    out: dict[str, str] = {}
-    last = ""
-    lines = (text or "").split("\n")
-    for line in map(str.strip, lines):
-        at = 0
-        for m in LINK.finditer(line):
-            before = re.sub(r"^[\s,，;；|]+", "", re.split(r"[:：]\s*$", line[at : m.start()].strip())[0].strip())
-            title = last if LABEL.match(before) else re.sub(TITLE_LABELS, "", before).strip()
-            if title:
-                out.setdefault(m[0], title)
-            at = m.end()
-        if not at and line:
-            last = re.sub(TITLE_LABELS, "", line).strip()
-    return out
-
-
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def link_titles(text: pd.Series) -> pd.Series:
-    """Link -> title of each text: a scan over its lines that keeps state."""
-    return text.map(pair_titles)
+#: How lines of links begin; words that stand before links and are no titles; how titles of episodes end; labels that part a line into links; what ends a link there.
+LINK_LINES = ("链接：", "地址：", "资源地址：", "网盘：", "网盘地址：", "链接:")
+LINK_WORDS = (
+    "链接 地址 资源地址 网盘 网盘地址 夸克 夸克网盘 quark 夸克云盘 百度 百度网盘 baidu 百度云 bdwp bdpan 迅雷 迅雷网盘 xunlei 迅雷云盘 115 115网盘 115云盘 123 123pan 123网盘 123云盘 "
+    "阿里 阿里云 阿里云盘 aliyun alipan 阿里网盘 光鸭 光鸭云盘 光鸭网盘 guangya 天翼 天翼云 天翼云盘 tianyi 天翼网盘 uc uc网盘 uc云盘 移动 移动云 移动云盘 caiyun 彩云 pikpak pikpak网盘"
+).split()
+EPISODE = r"([^链地资网\s]+?(?:\([^)]+\))?(?:\s*\d+K)?(?:\s*臻彩)?(?:\s*MAX)?(?:\s*HDR)?(?:\s*更(?:新)?\d+集))$"
+SPLITTERS = ("天翼链接：", "百度链接：", "夸克链接：", "阿里链接：", "UC链接：", "115链接：", "迅雷链接：", "123链接：", "链接：")
+LINK_END = "[ 窃东迎千我恋将野合集天翼网盘(（]"
+#: Types of links that part a single line.
+PAIRED = ("tianyi", "baidu", "quark", "aliyun", "mobile", "uc", "123", "115", "xunlei")
+LINK = r"https?://[^\s\"']+"
+PAIRS = "array<struct<key:string,value:string>>"
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"CAST(array() AS {kind})")
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _is_link_line(line: Column) -> Column:
+    hit = F.lit(False)
+    for begin in LINK_LINES:
+        hit = hit | F.startswith(F.lower(line), F.lit(begin))
+    return hit
+
+
+def _title_of_link_line(line: Column) -> Column:
+    """What stands before the colon of a line with a link, unless it is part of a link or names a drive; null if there is none."""
+
+    def before(colon: str) -> Column:
+        part = F.substring_index(line, colon, 1)
+        return F.when(F.contains(line, F.lit(colon)) & ~F.contains(part, F.lit("http")) & ~F.lower(trimmed(part)).isin(*LINK_WORDS), clean_title(part))
+
+    return F.nullif(F.coalesce(before("："), before(":")), F.lit(""))
+
+
+def _pairs_of_lines(text: Column) -> Column:
+    """(link, title) by lines: a line's own title, else the last line without a link that stands before a line of links (or last)."""
+    both = _let(F.transform(F.split(text, "\n"), trimmed), lambda lines: F.transform(lines, lambda line, i: F.struct(line.alias("line"), clean_title(line).alias("title"), _is_link_line(line).alias("links_only"), F.get(lines, i + 1).alias("next"))))
+
+    def step(acc, x):
+        line, follows = x["line"], x["next"]
+        links = F.regexp_extract_all(line, F.lit(LINK), F.lit(0))
+        title = F.when(x["links_only"], acc["last"]).otherwise(F.coalesce(_title_of_link_line(line), acc["last"]))
+        more = F.when(title != "", F.concat(acc["pairs"], F.transform(links, lambda u: F.struct(u.alias("key"), title.alias("value"))))).otherwise(acc["pairs"])
+        heads = follows.isNull() | _is_link_line(F.coalesce(follows, F.lit(""))) | F.coalesce(follows, F.lit("")).rlike(LINK)
+        last = F.when(heads & (x["title"] != ""), x["title"]).otherwise(acc["last"])
+        has = F.size(links) > 0
+        return F.struct(F.when(has | (line == ""), acc["last"]).otherwise(last).alias("last"), F.when(has, more).otherwise(acc["pairs"]).alias("pairs"))
+
+    return F.aggregate(both, F.struct(F.lit("").alias("last"), _none(PAIRS).alias("pairs")), step)["pairs"]
+
+
+def _pairs_of_line(text: Column) -> Column:
+    """(link, title) of a single line: what stands between a link and the one before; links that are repeated are part of it."""
+    pattern = "(?s)(.*?)(" + "|".join(LINK_PATTERNS[k] for k in PAIRED) + ")"
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("link"))
+
+    def title(part: Column) -> Column:
+        t = trimmed(part)
+        labelled = F.instr(t, "链接：") > 1
+        return clean_title(F.when(labelled, F.substring_index(t, "链接：", 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract(t, EPISODE, 1), F.lit("")), t)))
+
+    def step(acc, x):
+        again = F.array_contains(acc["seen"], decoded(x["link"]))
+        part = F.concat(acc["pending"], x["before"])
+        found = F.struct(x["link"].alias("key"), title(part).alias("value"))
+        return F.struct(
+            F.when(again, F.concat(part, x["link"])).otherwise("").alias("pending"),
+            F.when(again, acc["seen"]).otherwise(F.array_append(acc["seen"], decoded(x["link"]))).alias("seen"),
+            F.when(again | (found["value"] == ""), acc["pairs"]).otherwise(F.array_append(acc["pairs"], found)).alias("pairs"),
+        )
+
+    start = F.struct(F.lit("").alias("pending"), _none("array<string>").alias("seen"), _none(PAIRS).alias("pairs"))
+    return F.aggregate(parts, start, step)["pairs"]
+
+
+def _pairs_of_labels(text: Column, urls: Column) -> Column:
+    """(link, title) of a single line without pairs: its parts between the first label that it has are the titles of its links, in order."""
+    split = F.when(F.lit(False), _none("array<string>"))
+    for label in SPLITTERS:
+        split = split.when(F.contains(text, F.lit(label)), F.split(text, label))
+    not_end = f"[^{LINK_END[1:]}"
+
+    def titled(parts: Column) -> Column:
+        inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+        rest = F.transform(F.filter(inner, lambda p: p.rlike(f"^{not_end}+{LINK_END}")), lambda p: clean_title(F.regexp_extract(p, f"(?s)^{not_end}+({LINK_END}.*)$", 1)))
+        titles = F.concat(F.array(clean_title(parts[0])), rest)
+        both = F.transform(urls, lambda u, i: F.struct(u.alias("key"), F.coalesce(F.get(titles, i), F.lit("")).alias("value")))
+        return F.when((F.size(parts) > 1) & (F.size(urls) <= F.size(parts) - 1), F.filter(both, lambda x: x["value"] != "")).otherwise(_none(PAIRS))
+
+    return _let(split, titled)
+
+
+def link_titles(text: Column, urls: Column | None = None) -> Column:
+    """Link -> title of a text: by lines if it has several, else by what stands before each link, else (given the ``urls`` of its record) by labels. The last title of a link counts; texts without a link have an empty map."""
+    said = F.coalesce(text, F.lit(""))
+    lined = F.contains(said, F.lit("\n"))
+    pairs = F.when(~F.contains(said, F.lit("://")), _none(PAIRS)).when(lined, _pairs_of_lines(said)).otherwise(_pairs_of_line(said))
+    if urls is not None:
+        labelled = ~lined & (F.size(urls) > 0) & F.contains(said, F.lit("链接："))
+        pairs = _let(pairs, lambda p: F.when((F.size(p) == 0) & labelled, _pairs_of_labels(said, urls)).otherwise(p))
+    last = lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["key"] == x["key"]))
+    return _let(pairs, lambda p: F.map_from_entries(last(p)))

@@ -35,6 +35,9 @@ LINK_PATTERNS = {
     "magnet": r"magnet:\?xt=urn:btih:[a-zA-Z0-9]+",
     "ed2k": r"ed2k://\|file\|[^|]+\|\d+\|[A-Fa-f0-9]+\|/?",
 }
+#: Links of hosts that no pattern above names, and types whose links repeat what contains them.
+ANY_LINK = r"(?i)https?://(?:[\w.-]+\.)?(?:pan\.(?:baidu|quark)\.cn|(?:alipan|aliyundrive)\.com)(?:/[^\s'\"<>()]*)?"
+CONTAINED, CONTAINED_BARE = ("quark", "xunlei"), ("magnet", "ed2k", "any")
 KEY_PATTERNS = (
     r"https?://pan\.quark\.cn/s/[a-zA-Z0-9]+",
     r"https?://pan\.baidu\.com/s/[a-zA-Z0-9_-]+(?:\?pwd=[a-zA-Z0-9]{4})?",
@@ -120,24 +123,39 @@ def cleaned(url: Column, kind: str) -> Column:
 
 
 def drive_links(text: Column, first_only: bool = False) -> Column:
-    """All drive links of a text, type by type, without repeats (schemes don't count); ``first_only``: the first of each type."""
+    """All drive links of a text, type by type, without repeats; ``first_only``: the first of each type.
+
+    A link of most types repeats one that is equal but for the scheme. Of the types in CONTAINED it also repeats one that
+    it is part of, or that is part of it; of those in CONTAINED_BARE schemes don't count for that.
+    """
     found = []
-    for kind, pattern in LINK_PATTERNS.items():
+    for kind, pattern in (LINK_PATTERNS | {"any": ANY_LINK}).items():
         some = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         some = F.slice(some, 1, 1) if first_only else some
-        found.append(F.transform(some, _cleaner(kind)))
-    listed = F.filter(F.flatten(F.array(*found)), lambda u: u != "")
-    fresh = lambda acc, u: F.when(F.exists(acc, lambda x: without_scheme(x) == without_scheme(u)), acc).otherwise(F.array_append(acc, u))
+        found.append(F.transform(some, _ruled(kind)))
+    listed = F.filter(F.flatten(F.array(*found)), lambda x: x["u"] != "")
+
+    def fresh(acc, x):
+        u, bare = x["u"], without_scheme(x["u"])
+        part = lambda a, b: F.contains(a, b) | F.contains(b, a)
+        again = F.when(x["rule"] == 1, F.exists(acc, lambda y: part(y, u))).when(x["rule"] == 2, F.exists(acc, lambda y: part(without_scheme(y), bare))).otherwise(F.exists(acc, lambda y: without_scheme(y) == bare))
+        return F.when(again, acc).otherwise(F.array_append(acc, u))
+
     return F.aggregate(listed, F.expr("CAST(array() AS array<string>)"), fresh)
 
 
+def _ruled(kind: str):
+    rule = 1 if kind in CONTAINED else 2 if kind in CONTAINED_BARE else 0
+    return lambda u: F.struct(_cleaner(kind)(u).alias("u"), F.lit(rule).alias("rule"))
+
+
 def _cleaner(kind: str):
     return lambda u: F.regexp_replace(cleaned(u, kind), "https$", "")
 
 
 def is_supported(url: Column) -> Column:
     low, hit = F.lower(url), F.lit(False)
-    for pattern in LINK_PATTERNS.values():
+    for pattern in (*LINK_PATTERNS.values(), ANY_LINK):
         hit = hit | low.rlike(pattern)
     return hit
 

@@ -17,10 +17,18 @@ def of_types(links: DataFrame, kinds: list[str] | None) -> DataFrame:
     return links if not kinds else links.where(F.lower("link_type").isin([k.strip().lower() for k in kinds]))
 
 
-def of_sources(records: DataFrame, requested: list[str] | None, known: list[str]) -> DataFrame:
-    """Records of requested sources; all known ones are no filter."""
-    names = {n.lower() for n in requested or []}
-    return records if not names or names >= {k.lower() for k in known} else records.where(F.lower("source").isin(sorted(names)))
+def of_sources(records: DataFrame, requested: list[str] | None, known: list[str] | None = None) -> DataFrame:
+    """Records of the requested sources, in any case of letters; no names, or just all of the known ones, are no filter."""
+    names = {n.lower() for n in requested or [] if n}
+    if not names or known is not None and names == {k.lower() for k in known}:
+        return records
+    return records.where(F.lower("source").isin(sorted(names)))
+
+
+def of_healthy(sources: DataFrame, health: DataFrame) -> DataFrame:
+    """Sources (name) that no row of ``health`` (name, healthy) calls unhealthy."""
+    bad = health.where("not healthy").select(F.lower("name").alias("bad")).distinct()
+    return sources.join(bad, F.lower("name") == F.col("bad"), "left_anti")
 
 
 def filter_links(links: DataFrame, include: list[str], exclude: list[str], text: str = "title") -> DataFrame:
@@ -28,8 +36,10 @@ def filter_links(links: DataFrame, include: list[str], exclude: list[str], text:
 
 
 def filter_nested(records: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
-    """Records whose title passes, with those of their links whose own title (else the record's) passes; without links left they go."""
-    titled = F.filter("links", lambda l: include_exclude(F.col("title"), include, exclude))
+    """Records whose title passes, with those of their links whose own ``work_title`` (else the record's) passes; without links left they go."""
+    named = "work_title" in records.schema["links"].dataType.elementType.names
+    own = lambda l: F.coalesce(F.nullif(l["work_title"], F.lit("")), F.col("title")) if named else F.col("title")
+    titled = F.filter("links", lambda l: include_exclude(own(l), include, exclude))
     return records.where(include_exclude(F.col("title"), include, exclude)).withColumn("links", titled).where(F.size("links") > 0)
 
 

@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import link_titles
 from ..functions.urls import canonical_key, link_type
 from .rank import filled, order_key, record_key
 
 
-def completeness() -> Column:
-    """How much a record tells; null parts count nothing."""
+def completeness(tags: str | None = None) -> Column:
+    """How much a record tells, with a point for each of its ``tags`` if it has that column; null parts count nothing."""
     n_links = F.coalesce(F.size("links"), F.lit(0))
     n_links = F.greatest(n_links, F.lit(0))
     has = lambda c, n: F.when(filled(F.col(c)), n).otherwise(0)
-    return has("unique_id", 10) + F.when(n_links > 0, n_links + 5).otherwise(0) + has("content", 3) + F.floor(F.length(F.coalesce("title", F.lit(""))) / 10).cast("int") + has("channel", 2)
+    return has("unique_id", 10) + F.when(n_links > 0, n_links + 5).otherwise(0) + has("content", 3) + F.floor(F.length(F.coalesce("title", F.lit(""))) / 10).cast("int") + has("channel", 2) + (F.greatest(F.coalesce(F.size(tags), F.lit(0)), F.lit(0)) if tags else F.lit(0))
 
 
 def survivors(records: DataFrame) -> DataFrame:
-    """One record for each key. Of side 0 the last arrival counts; side 1 replaces it, and each other, only if more complete.
+    """One record for each key; ``arrival_seq`` numbers the records of a side. Of side 0 the last arrival counts; side 1 replaces it, and each other, only if more complete.
 
     ``first_side`` and ``first_seq`` tell where the key came first. The aggregation combines before the shuffle.
     """
-    keyed = records.withColumns({"record_key": record_key(), "completeness": completeness()})
-    row = F.struct(*keyed.columns)
-    late = F.max_by(F.when(F.col("side") == 0, row), F.when(F.col("side") == 0, F.col("arrival_seq")))
-    best = F.max_by(F.when(F.col("side") == 1, row), F.when(F.col("side") == 1, F.struct("completeness", (-F.col("arrival_seq")).alias("early"))))
+    tags = "tags" if "tags" in records.columns else None
+    keyed = records.withColumns({"record_key": record_key(), "completeness": completeness(tags)})
+    # who wins is decided on small rows; whole records are looked up by side and arrival
+    slim = F.struct("side", "arrival_seq", "completeness")
+    late = F.max(F.when(F.col("side") == 0, F.struct("arrival_seq", slim.alias("r"))))
+    best = F.max(F.when(F.col("side") == 1, F.struct("completeness", (-F.col("arrival_seq")).alias("early"), slim.alias("r"))))
     first = F.min(F.struct("side", "arrival_seq"))
-    g = keyed.groupBy("record_key").agg(late.alias("a"), best.alias("b"), first.alias("f"))
+    g = keyed.groupBy("record_key").agg(late["r"].alias("a"), best["r"].alias("b"), first.alias("f"))
     pick = F.when(F.col("a").isNull() | (F.col("b.completeness") > F.col("a.completeness")), F.col("b")).otherwise(F.col("a"))
-    return g.select(pick.alias("r"), F.col("f.side").alias("first_side"), F.col("f.arrival_seq").alias("first_seq")).select("r.*", "first_side", "first_seq")
+    won = g.select(F.col("record_key").alias("k"), pick.alias("r"), F.col("f.side").alias("first_side"), F.col("f.arrival_seq").alias("first_seq"))
+    same = (keyed["record_key"] == won["k"]) & (keyed["side"] == won["r.side"]) & (keyed["arrival_seq"] == won["r.arrival_seq"])
+    return keyed.join(won, same).drop("k", "r")
 
 
 def exploded_links(ranked: DataFrame) -> DataFrame:
@@ -37,15 +42,22 @@ def exploded_links(ranked: DataFrame) -> DataFrame:
     keep = [c for c in ranked.columns if c != "links"]
     e = ranked.select(*keep, F.posexplode("links").alias("link_pos", "link"))
     kind = F.when(filled(F.col("link.type")), F.lower("link.type")).otherwise(link_type(F.col("link.url")))
-    return e.withColumns({"at": F.struct(order_key().alias("r"), "link_pos"), "url": F.col("link.url"), "password": F.coalesce("link.password", F.lit("")), "url_key": canonical_key(F.col("link.url")), "kind": kind}).drop("link")
+    return e.withColumns({"at": F.struct(order_key().alias("r"), "link_pos"), "url": F.col("link.url"), "password": F.coalesce("link.password", F.lit("")), "url_key": canonical_key(F.col("link.url")), "kind": kind} | ({"work_title": F.col("link.work_title")} if "work_title" in ranked.schema["links"].dataType.elementType.names else {})).drop("link")
+
+
+def with_titles(records: DataFrame) -> DataFrame:
+    """Records with ``titles``: link -> title, from their own content."""
+    return records.withColumn("titles", link_titles(F.col("content"), F.transform("links", lambda l: l["url"])))
 
 
 def with_notes(links: DataFrame, keyword: str = "") -> DataFrame:
-    """Links with ``note``: the title that ``titles`` (link -> title, of the same record) has for the URL, else for a link that begins with it, else the record's; a note without the keyword gives way to a title that has it."""
+    """Links with ``note``: their own ``work_title``, else the title that ``titles`` (link -> title, of the same record) has for the URL, else for a link that begins with it, else the record's. A note without the keyword gives way to a title that has it, unless the source skips the filter."""
     begins = F.get(F.filter(F.map_entries("titles"), lambda e: F.startswith(e["key"], F.col("url"))), F.lit(0))["value"]
-    own = F.coalesce(F.nullif(F.try_element_at("titles", F.col("url")), F.lit("")), F.nullif(begins, F.lit("")), F.col("title"))
+    work = [F.nullif(F.col("work_title"), F.lit(""))] if "work_title" in links.columns else []
+    own = F.coalesce(*work, F.nullif(F.try_element_at("titles", F.col("url")), F.lit("")), F.nullif(begins, F.lit("")), F.col("title"))
     has = lambda c: F.contains(F.lower(c), F.lit(keyword.lower()))
-    return links.withColumn("note", F.when(F.lit(not keyword) | has(own) | ~has(F.col("title")), own).otherwise(F.col("title")))
+    skips = F.col("skip_filter") if "skip_filter" in links.columns else F.lit(False)
+    return links.withColumn("note", F.when(F.lit(not keyword) | skips | has(own) | ~has(F.col("title")), own).otherwise(F.col("title")))
 
 
 def named(links: DataFrame, platforms: DataFrame) -> DataFrame:
@@ -53,9 +65,9 @@ def named(links: DataFrame, platforms: DataFrame) -> DataFrame:
     return links.join(F.broadcast(platforms), "link_type", "left").withColumn("platform", F.coalesce("platform", "link_type"))
 
 
-def keyword_match(keyword: str) -> Column:
-    """Links whose record's title has the keyword, or whose source skips the filter."""
-    return F.lit(not keyword) | F.col("skip_filter") | F.contains(F.lower("title"), F.lit(keyword.lower()))
+def keyword_match(keyword: str, text: str = "title") -> Column:
+    """Links whose title (or note) has the keyword, or whose source skips the filter."""
+    return F.lit(not keyword) | F.col("skip_filter") | F.contains(F.lower(text), F.lit(keyword.lower()))
 
 
 def latest_links(links: DataFrame, accepted: Column) -> DataFrame:

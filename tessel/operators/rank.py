@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +89,30 @@ def positions(df: DataFrame, coarse: list[Column], fine: list[Column], name: str
     counts = keyed.groupBy(*within, "_key").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*within, "_key").orderBy(*fine)
     numbered = keyed.withColumn("_nth", F.row_number().over(inside))
-    return numbered.join(counts, [*within, "_key"]).withColumn(name, F.col("_before") + F.col("_nth")).drop("_key", "_before", "_nth")
+    counts = counts.select(*[F.col(c).alias(f"_of_{c}") for c in (*within, "_key")], "_before")
+    placed = numbered.join(counts, _null_safe((*within, "_key"))).withColumn(name, F.col("_before") + F.col("_nth"))
+    return placed.drop("_key", "_before", "_nth", *[f"_of_{c}" for c in (*within, "_key")])
+
+
+def by_name(df: DataFrame, column: str, ties: list[str], name: str = "rank", within: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+    """``df`` with its place in the order of names as Chinese readers sort them; ties by ``ties``.
+
+    Collated names have no coarse key, so rows are sorted by ranges, which are kept, counted and numbered each.
+    """
+    key = F.collate(F.col(column), "zh")
+    order = [*map(F.col, within), key.desc() if descending else key.asc(), *map(F.col, ties)]
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).persist(StorageLevel.DISK_ONLY)
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = ranges.withColumn("_nth", F.row_number().over(Window.partitionBy(*within, "_range").orderBy("_at")))
+    return numbered.join(counts.select(*[counts[c].alias(f"_of_{c}") for c in (*within, "_range")], "_before"), _null_safe(within + ("_range",))).withColumn(name, F.col("_before") + F.col("_nth")).drop("_range", "_at", "_nth", "_before", *[f"_of_{c}" for c in (*within, "_range")])
+
+
+def _null_safe(columns: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return out
 
 
 def by_rank(at: str = "at.r") -> tuple[list[Column], list[Column]]:

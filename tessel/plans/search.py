@@ -12,7 +12,7 @@ from ..operators import filters, merge, rank
 
 @dataclass(frozen=True)
 class Request:
-    """What is asked. ``shape``: merged, results or all; include and exclude filter titles; kinds are link types."""
+    """What is asked. ``shape``: merged (also merge, merged_by_type or empty) or results, anything else is all; include and exclude filter titles; kinds are link types; sources are names, none are all."""
 
     keyword: str
     shape: str = "merged"
@@ -26,8 +26,8 @@ class Request:
     def __post_init__(self):
         if not self.keyword.strip() or len(self.keyword) > 200:
             raise ValueError("a keyword of 1 to 200 characters is needed")
-        if self.shape not in ("merged", "results", "all"):
-            raise ValueError("shape must be merged, results or all")
+        shape = {"": "merged", "merge": "merged", "merged_by_type": "merged"}.get(self.shape, self.shape)
+        object.__setattr__(self, "shape", shape if shape in ("merged", "results") else "all")
         if self.page < 1 or not 1 <= self.limit <= 100:
             raise ValueError("page must be 1 at least, and limit from 1 to 100")
 
@@ -43,8 +43,9 @@ class Response:
 
 def merged_links(records: DataFrame, sources: DataFrame, request: Request, as_of: str, dead: DataFrame | None = None) -> DataFrame:
     """One row for each resource: its type, newest link and order key ``at``."""
-    scored = rank.scored(filters.of_sources(records, list(request.sources), []), sources, as_of)
-    links = merge.latest_links(merge.exploded_links(scored), merge.keyword_match(request.keyword))
+    scored = rank.scored(filters.of_sources(records, list(request.sources)), sources, as_of)
+    noted = merge.with_notes(merge.exploded_links(merge.with_titles(scored).drop("content")), request.keyword)
+    links = merge.latest_links(noted.withColumn("title", F.col("note")), merge.keyword_match(request.keyword))
     if dead is not None:
         links = merge.without_dead(links, dead)
     links = filters.of_types(links, list(request.kinds))
@@ -53,7 +54,7 @@ def merged_links(records: DataFrame, sources: DataFrame, request: Request, as_of
 
 def results(records: DataFrame, sources: DataFrame, request: Request, as_of: str, dead: DataFrame | None = None) -> DataFrame:
     """Ranked records worth showing, without dead links."""
-    scored = rank.scored(filters.of_sources(records, list(request.sources), []), sources, as_of).where(rank.quality_gate())
+    scored = rank.scored(filters.of_sources(records, list(request.sources)), sources, as_of).where(rank.quality_gate())
     if dead is not None:
         scored = merge.records_without_dead(scored, dead)
     if request.include or request.exclude:

@@ -171,10 +171,17 @@ def client_union_merge(spark, sf_dir):
     return merge.union_merge(l.where("pos % 2 = 0"), l.where("pos % 2 = 1"))
 
 
-@query(sql(*RECORDS) + "SELECT arrival_seq, 'others' AS link_type, url FROM records")
+@query(sql(*RECORDS) + """SELECT arrival_seq AS id, CASE arrival_seq % 4 WHEN 0 THEN 'quark' WHEN 1 THEN 'others' WHEN 2 THEN '115' ELSE 'others' END AS link_type, url, CASE WHEN arrival_seq % 4 < 2 THEN password ELSE '' END AS password,
+  CASE arrival_seq % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'T' ELSE '' END || CASE WHEN arrival_seq % 4 < 2 THEN '' || arrival_seq ELSE '' END AS note FROM records""")
 def response_normalise(spark, sf_dir):
-    flat = records(spark, sf_dir).select("arrival_seq", F.explode_outer("links").alias("l"))
-    return flat.select("arrival_seq", F.when(rank.filled(F.col("l.type")), F.col("l.type")).otherwise("others").alias("link_type"), "l.url")
+    """Answers of four shapes: grouped links, results with links, links as results, and a plain list."""
+    n, l = F.col("arrival_seq").cast("string"), F.col("links")[0]
+    q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    grouped = q('{"merged_by_type":{"quark":[{"url":"', l["url"], '","password":"', l["password"], '","note":"N', n, '"}]}}')
+    nested = q('{"results":[{"title":"T', n, '","links":[{"url":"', l["url"], '","password":"', l["password"], '"}]}]}')
+    flat = q('{"results":[{"type":"115","url":"', l["url"], '"}]}')
+    payload = F.element_at(F.array(grouped, nested, flat, q('[{"url":"', l["url"], '"}]')), (F.col("arrival_seq") % 4).cast("int") + 1)
+    return channels.from_answers(records(spark, sf_dir).select(F.col("arrival_seq").alias("id"), payload.alias("payload"))).select("id", "link_type", "url", "password", "note")
 
 
 @query(sql(*RANKED) + LINKS + ", p AS (SELECT link_type, url, row_number() OVER (PARTITION BY link_type ORDER BY f_total DESC, f_ts DESC, f_seq) AS pos FROM latest) SELECT link_type, url, CAST(pos AS INTEGER) AS pos FROM p WHERE pos <= 3")
@@ -189,10 +196,23 @@ def sort_by_date(spark, sf_dir):
     return rank.positions(records(spark, sf_dir), [-F.floor(ms / 86_400_000)], [ms.desc(), F.col("arrival_seq")]).select("arrival_seq", "rank")
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY substr(text, 1, 40) COLLATE zh, doc_id) AS rank FROM documents WHERE text IS NOT NULL AND regexp_full_match(substr(text, 1, 40), '[a-zA-Z ]+')")
+@query()
 def sort_by_name_zh(spark, sf_dir):
-    named = table(spark, sf_dir, "documents").withColumn("name", F.substring("text", 1, 40)).where(F.col("name").rlike("^[a-zA-Z ]+$"))
-    return rank.positions(named, [F.lower(F.substring("name", 1, 1))], [F.collate("name", "zh"), F.col("doc_id")], within=("lang",)).select("doc_id", "rank")
+    named = table(spark, sf_dir, "documents").withColumn("name", F.coalesce("text", F.lit("")))
+    return rank.by_name(named, "name", ["doc_id"], within=("lang",)).select("doc_id", "rank")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name COLLATE zh DESC, p_partkey) AS down, row_number() OVER (ORDER BY p_name COLLATE zh, p_partkey) AS up FROM part")
+def sort_by_name_both_ways(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    down = rank.by_name(p, "p_name", ["p_partkey"], name="down", descending=True)
+    return rank.by_name(down, "p_name", ["p_partkey"], name="up").select("p_partkey", "down", "up")
+
+
+@query(sql(*RECORDS) + "SELECT arrival_seq, row_number() OVER (ORDER BY coalesce(event_ts, TIMESTAMP '1970-01-01'), arrival_seq) AS rank FROM records")
+def sort_by_date_up(spark, sf_dir):
+    ms = rank.millis(F.col("event_ts"))
+    return rank.positions(records(spark, sf_dir).select("arrival_seq", "event_ts"), [F.floor(ms / 86_400_000)], [ms, F.col("arrival_seq")]).select("arrival_seq", "rank")
 
 
 #: Links of all types by number, and the type of each.
@@ -254,28 +274,85 @@ def page_title_precedence(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.page_title(F.col("html")).alias("title"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(coalesce(substr(text, 1, 80), '')), '[^\\p{L}\\p{N}]+', '', 'g') AS keyword FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', '', 'g')) AS keyword_md5 FROM documents")
 def keyword_normalise(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalised(F.substring("text", 1, 80)).alias("keyword"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalised(F.col("text")).cast("binary")).alias("keyword_md5"))
 
 
-@query("SELECT doc_id, unnest(['【流浪地球】4K 蓝光电影的' || doc_id, '流浪地球 电影的' || doc_id, '流浪地球', '电影', '' || doc_id]) AS variant FROM documents WHERE doc_id >= 10")
+@query("""SELECT DISTINCT doc_id, unnest(CASE WHEN doc_id < 10 THEN ['【流浪地球】4K 蓝光电影的' || doc_id, '流浪地球    电影的' || doc_id, '流浪地球 电影 ' || doc_id, '流浪地球', '电影'] ELSE ['【流浪地球】4K 蓝光电影的' || doc_id, '流浪地球    电影的' || doc_id, '流浪地球 电影 ' || doc_id, '流浪地球', '电影', '' || doc_id] END) AS variant FROM documents""")
 def keyword_variants(spark, sf_dir):
     word = F.concat(F.lit("【流浪地球】4K 蓝光电影的"), F.col("doc_id").cast("string"))
-    found = table(spark, sf_dir, "documents").where("doc_id >= 10").select("doc_id", F.explode(text.keyword_variants(word)).alias("variant"))
-    return found.withColumn("variant", F.regexp_replace("variant", " +", " ")).where(~F.col("variant").rlike("^流浪地球 电影 ")).distinct()
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.keyword_variants(word)).alias("variant"))
 
 
-@query("SELECT doc_id, 'T' || doc_id AS title, 'T' || doc_id AS cut FROM documents")
+TRIM = "regexp_replace({0}, '^[\\s\\x{{A0}}\\x{{3000}}]+|[\\s\\x{{A0}}\\x{{3000}}]+$', '', 'g')"
+
+
+@query(f"""SELECT doc_id, md5({TRIM.format("coalesce(text, '')")}) AS title_md5, md5({TRIM.format("CASE WHEN strpos(text, ' the ') > 1 THEN substr(text, 1, strpos(text, ' the ') - 1) ELSE coalesce(text, '') END")}) AS cut_md5 FROM documents""")
 def title_clean(spark, sf_dir):
-    t = F.concat(F.lit("名称：T"), F.col("doc_id").cast("string"), F.lit("🎬 "))
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean_title(t).alias("title"), text.cut_at(F.concat(F.lit("T"), F.col("doc_id").cast("string"), F.lit(" 简介：x 描述")), ["简介", "描述"]).alias("cut"))
+    """Labels and pictures around whole texts go, and texts are cut at a word."""
+    said, digest = F.coalesce("text", F.lit("")), lambda c: F.md5(c.cast("binary"))
+    labelled = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("名称："), said, F.lit("🎬 "))).otherwise(F.concat(F.lit(" 片名:"), said))
+    return table(spark, sf_dir, "documents").select("doc_id", digest(text.clean_title(labelled)).alias("title_md5"), digest(text.cut_at(said, [" the "])).alias("cut_md5"))
 
 
-@query()
+#: Texts of records with links: a title line, a title before a colon, a single line, and a whole text before the link.
+SAID = """CASE doc_id % 4 WHEN 0 THEN '名称：A' || doc_id || chr(10) || '链接：' || url WHEN 1 THEN 'x' || chr(10) || 'B' || doc_id || '：' || url || chr(10) || 'y'
+  WHEN 2 THEN 'C' || doc_id || ' ' || url || ' D 更新' || doc_id || '集 https://pan.xunlei.com/s/z' || doc_id ELSE '标题：' || coalesce(text, '') || chr(10) || '链接：' || url END"""
+NOTED = "SELECT doc_id, 'https://pan.quark.cn/s/q' || doc_id AS url, text FROM documents"
+
+
+@query(f"""WITH d AS ({NOTED}) SELECT doc_id, url, CASE doc_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END || doc_id AS title FROM d WHERE doc_id % 4 < 3
+UNION ALL SELECT doc_id, 'https://pan.xunlei.com/s/z' || doc_id, 'D 更新' || doc_id || '集' FROM d WHERE doc_id % 4 = 2
+UNION ALL SELECT * FROM (SELECT doc_id, url, trim(regexp_replace(regexp_extract('标题：' || coalesce(text, ''), '[^\\n]*$'), '^标题：', '')) AS title FROM d WHERE doc_id % 4 = 3) WHERE title <> ''""")
 def link_title_pairs(spark, sf_dir):
-    said = F.concat(F.lit("标题："), F.col("text"), F.lit("\n链接：https://pan.quark.cn/s/"), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.link_titles(said)).alias("url", "title"))
+    d = table(spark, sf_dir, "documents").withColumn("url", F.concat(F.lit("https://pan.quark.cn/s/q"), F.col("doc_id").cast("string")))
+    return d.select("doc_id", F.explode(text.link_titles(F.expr(SAID.replace("doc_id ||", "CAST(doc_id AS STRING) ||")), F.array("url"))).alias("url", "title"))
+
+
+@query(sql(*RANKED) + """, n AS (SELECT arrival_seq, regexp_extract(url, '^[^?]+') AS url, title, skip_filter OR contains(lower(note), 'b1') OR contains(lower(title), 'b1') AS accepted,
+  CASE WHEN skip_filter OR contains(lower(note), 'b1') OR NOT contains(lower(title), 'b1') THEN note ELSE title END AS note
+  FROM (SELECT *, CASE arrival_seq % 4 WHEN 0 THEN 'A' || arrival_seq WHEN 1 THEN 'B' || arrival_seq WHEN 2 THEN 'W' || arrival_seq ELSE title END AS note FROM ranked))
+SELECT arrival_seq, url, note, accepted FROM n""")
+def merged_notes(spark, sf_dir):
+    """The title of each link: of its work, of its line, or of its record; and whether the keyword admits it."""
+    url = F.regexp_extract(F.col("links")[0]["url"], r"^[^?]+", 0)
+    n = F.col("arrival_seq").cast("string")
+    said = F.when(F.col("arrival_seq") % 4 == 0, F.concat(F.lit("名称：A"), n, F.lit("\n链接："), url)).when(F.col("arrival_seq") % 4 == 1, F.concat(F.lit("B"), n, F.lit("："), url, F.lit("\nx"))).otherwise(F.col("content"))
+    work = F.when(F.col("arrival_seq") % 4 == 2, F.concat(F.lit("W"), n))
+    link = F.struct(F.lit("").alias("type"), url.alias("url"), F.col("links")[0]["password"].alias("password"), work.alias("work_title"))
+    r = _scored(spark, sf_dir).withColumns({"content": said, "links": F.array(link)})
+    noted = merge.with_notes(merge.exploded_links(merge.with_titles(r)), "b1")
+    return noted.select("arrival_seq", "url", "note", merge.keyword_match("b1", "note").alias("accepted"))
+
+
+@query(sql(*RANKED) + LINKS.replace("FROM ranked)", "FROM ranked WHERE lower(source) IN ('src1', 'src4'))") + "SELECT link_type, url FROM latest")
+def source_subset(spark, sf_dir):
+    return search(records(spark, sf_dir), sources(spark, sf_dir), Request(KEYWORD, sources=("src1", "SRC4")), AS_OF).links.select("link_type", "url")
+
+
+@query(sql(*RECORDS) + """, w AS (SELECT *, CASE WHEN arrival_seq % 2 = 0 THEN 'the work ' || arrival_seq WHEN arrival_seq % 3 = 0 THEN 'nothing' ELSE '' END AS work FROM records)
+SELECT arrival_seq, url FROM w WHERE contains(lower(title), 'the') AND NOT contains(lower(title), 'ing') AND (work = '' OR (contains(work, 'the') AND NOT contains(work, 'ing')) OR work IS NULL)""")
+def nested_work_title(spark, sf_dir):
+    n = F.col("arrival_seq")
+    work = F.when(n % 2 == 0, F.concat(F.lit("the work "), n.cast("string"))).when(n % 3 == 0, "nothing").otherwise("")
+    r = records(spark, sf_dir).withColumn("links", F.transform("links", lambda l: l.withField("work_title", work)))
+    return filters.filter_nested(r, ["the"], ["ing"]).select("arrival_seq", F.explode("links.url").alias("url"))
+
+
+@query(sql(*RECORDS) + f"SELECT arrival_seq, {COMPLETE} + arrival_seq % 4 AS completeness FROM records")
+def completeness_with_tags(spark, sf_dir):
+    tagged = records(spark, sf_dir).withColumn("tags", F.slice(F.array(*[F.lit(x) for x in "abc"]), F.lit(1), (F.col("arrival_seq") % 4).cast("int")))
+    return tagged.select("arrival_seq", merge.completeness("tags").cast("long").alias("completeness"))
+
+
+@query("""WITH m AS (SELECT doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS h FROM documents)
+SELECT doc_id, unnest(['https://pan.baidu.com/s/1' || h, 'https://pan.baidu.com/s/1' || h || 'x', 'https://pan.quark.cn/s/' || h, 'https://my.alipan.com/s/' || h]) AS url FROM m""")
+def contained_links(spark, sf_dir):
+    h = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8)
+    parts = ("https://pan.baidu.com/s/1", " https://pan.baidu.com/s/1", "x https://pan.quark.cn/s/", " https://pan.quark.cn/s/", "yz https://my.alipan.com/s/", " http://my.alipan.com/s/")
+    said = F.concat(*[c for p in parts for c in (F.lit(p), h)], F.lit("?x=1"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(urls.drive_links(said)).alias("url"))
 
 
 @query("SELECT doc_id, unnest(['quark', 'baidu']) AS kind, unnest(['u1-' || doc_id, 'u2-' || doc_id]) AS url FROM documents")
@@ -365,6 +442,9 @@ ANSWERS = (
     ("uc", "文件", "请输入密码", "链接已失效"),
     ("mobile", '{"resultCode":"0","data":{}}', '{"resultCode":"9","desc":"提取码错误"}', '{"resultCode":"200000727"}'),
     ("magnet", "", "", ""),
+    ("quark", '{"token":{"code":0,"status":200,"data":{"stoken":"s"}},"detail":{"code":0,"data":{"list":[1],"share":{"status":1}}}}', '{"token":{"code":41008}}', '{"token":{"code":41010}}'),
+    ("tianyi", "<shareVO><shareId>12</shareId></shareVO>", '{"res_message":"请输入访问码"}', "<error><code>ShareNotFound</code></error>"),
+    ("115", '{"state":true,"errno":0,"data":{"count":2}}', '{"state":false,"error":"请输入访问码 receive_code"}', '{"state":false,"error":"链接已过期"}'),
 )
 STATES = {"aliyun": ("ok", "uncertain", "bad"), "magnet": ("unsupported",) * 3}
 
@@ -372,11 +452,11 @@ STATES = {"aliyun": ("ok", "uncertain", "bad"), "magnet": ("unsupported",) * 3}
 def _probes(spark, sf_dir):
     label = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0).otherwise(2)
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.array(*[F.lit(x) for x in some]).alias("bodies")) for k, *some in ANSWERS])
-    at = F.element_at(rows, (F.col("doc_id") % 7).cast("int") + 1)
+    at = F.element_at(rows, (F.col("doc_id") % len(ANSWERS)).cast("int") + 1)
     return table(spark, sf_dir, "labels").select("doc_id", at["kind"].alias("kind"), F.lit(200).alias("http_status"), F.element_at(at["bodies"], label + 1).alias("body"))
 
 
-STATE = "list_extract(CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {list(STATES.get(k, ('ok', 'locked', 'bad')))}" for i, (k, *_) in enumerate(ANSWERS)) + " END, CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 1 ELSE 3 END)"
+STATE = f"list_extract(CASE doc_id % {len(ANSWERS)} " + " ".join(f"WHEN {i} THEN {list(STATES.get(k, ('ok', 'locked', 'bad')))}" for i, (k, *_) in enumerate(ANSWERS)) + " END, CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 1 ELSE 3 END)"
 
 
 @query(f"SELECT doc_id, {STATE} AS state FROM labels")
@@ -489,32 +569,30 @@ def platform_names(spark, sf_dir):
     return merge.named(_latest(spark, sf_dir), catalogue.platforms(spark)).select("url_key", "platform")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 13 < 11 THEN true ELSE doc_id % 13 = 11 END AS supported FROM documents WHERE doc_id % 13 NOT IN (0, 6)")
+@query("SELECT doc_id, doc_id % 13 <> 12 AS supported FROM documents")
 def supported_links(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id % 13 not in (0, 6)").select("doc_id", urls.is_supported(F.expr(HOSTED)).alias("supported"))
+    return table(spark, sf_dir, "documents").select("doc_id", urls.is_supported(F.expr(HOSTED)).alias("supported"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 13 < 11 THEN 'ok' END AS checked FROM documents WHERE doc_id % 13 < 11")
+@query(f"SELECT doc_id, {HOSTED} || doc_id AS url, {KINDS}[doc_id % 13 + 1] AS link_type FROM documents WHERE doc_id % 13 < 11")
 def checkable_links(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.expr(HOSTED), F.col("doc_id").cast("string")).alias("url"), F.lit("").alias("link_type"), F.col("doc_id").alias("at"))
-    return filters.checkable(d).select(F.col("at").alias("doc_id"), F.lit("ok").alias("checked"))
+    own = F.element_at(F.expr("array" + KINDS.replace("[", "(").replace("]", ")")), (F.col("doc_id") % 13 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.expr(HOSTED), F.col("doc_id").cast("string")).alias("url"), F.when(F.col("doc_id") % 3 == 0, own).otherwise("").alias("link_type"), F.col("doc_id").alias("at"))
+    again = d.unionByName(d.where("doc_id % 2 = 0 and doc_id % 13 < 11").withColumns({"at": F.col("at") + 10**9, "link_type": F.lit("quark")}))
+    return filters.checkable(again).select(F.col("at").alias("doc_id"), "url", "link_type")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 13 IN (10, 2, 3, 7, 8) THEN '1a' WHEN doc_id % 13 IN (0, 1, 4, 6, 9, 5) THEN '1a' ELSE '' END AS share FROM documents WHERE doc_id % 13 NOT IN (11, 12)")
+@query("SELECT doc_id, CASE WHEN doc_id % 13 < 11 THEN '1a' WHEN doc_id % 13 = 11 THEN '' ELSE '1a' END AS share FROM documents")
 def share_ids(spark, sf_dir):
     u = F.expr(HOSTED)
-    return table(spark, sf_dir, "documents").where("doc_id % 13 not in (11, 12)").select("doc_id", urls.share_id(u, urls.link_type(u)).alias("share"))
+    return table(spark, sf_dir, "documents").select("doc_id", urls.share_id(u, urls.link_type(u)).alias("share"))
 
 
-@query("""SELECT min(o_orderkey) AS arrival_seq, min(o_orderstatus || o_orderpriority) AS name FROM orders
-GROUP BY CASE WHEN o_orderkey % 4 = 0 THEN 'i' || o_custkey % 50 ELSE o_orderstatus || o_orderpriority END""")
+@query("""SELECT o_orderkey AS arrival_seq, o_orderstatus || o_orderpriority AS name FROM orders
+QUALIFY row_number() OVER (PARTITION BY CASE WHEN o_orderkey % 4 = 0 THEN 'i' || o_custkey % 50 ELSE o_orderstatus || o_orderpriority END ORDER BY o_orderkey) = 1""")
 def composite_key_dedup(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    rows = o.select(F.col("o_orderkey").alias("arrival_seq"), F.when(F.col("o_orderkey") % 4 == 0, (F.col("o_custkey") % 50).cast("string")).alias("disk_id"), F.lit("").alias("link"), F.concat("o_orderstatus", "o_orderpriority").alias("name"), F.lit("").alias("kind"))
-    kept = merge.first_of_each(rows)
-    least = rows.groupBy(F.coalesce("disk_id", "name").alias("k"), F.col("disk_id").isNotNull().alias("by_id")).agg(F.min("name").alias("least"))
-    joined = kept.join(least, (F.coalesce("disk_id", "name") == F.col("k")) & (F.col("disk_id").isNotNull() == F.col("by_id")))
-    return joined.select("arrival_seq", F.col("least").alias("name"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("arrival_seq"), F.when(F.col("o_orderkey") % 4 == 0, (F.col("o_custkey") % 50).cast("string")).alias("disk_id"), F.lit("").alias("link"), F.concat("o_orderstatus", "o_orderpriority").alias("name"), F.lit("").alias("kind"))
+    return merge.first_of_each(rows).select("arrival_seq", "name")
 
 
 @query("SELECT user_id AS request, event_id FROM events WHERE (user_id, event_id // 100) IN (SELECT (user_id, max(event_id // 100)) FROM events GROUP BY user_id)")

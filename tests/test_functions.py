@@ -28,7 +28,7 @@ def test_canonical_key(spark, url, key):
 
 def test_drive_links_of_each_type_without_repeats(spark):
     said = "a https://pan.quark.cn/s/1 b http://pan.quark.cn/s/1 c https://pan.quark.cn/s/2，https://www.alipan.com/s/3 magnet:?xt=urn:btih:4"
-    assert sorted(one(spark, urls.drive_links(F.col("t")), t=said)) == ["https://pan.quark.cn/s/1", "https://pan.quark.cn/s/2", "https://www.alipan.com/s/3", "magnet:?xt=urn:btih:4"]
+    assert sorted(one(spark, urls.drive_links(F.col("t")), t=said)) == ["http://pan.quark.cn/s/1", "https://pan.quark.cn/s/1", "https://pan.quark.cn/s/2", "https://www.alipan.com/s/3", "magnet:?xt=urn:btih:4"]
     assert one(spark, F.size(urls.drive_links(F.col("t"), first_only=True)), t=said) == 3
 
 
@@ -80,10 +80,28 @@ def test_sizes_tokens_and_titles(spark):
     assert one(spark, text.channel_title(F.col("t")), t="名称：A - B") == "A B"
 
 
-def test_pair_titles():
-    assert text.pair_titles("标题：A\n链接：https://pan.quark.cn/s/1") == {"https://pan.quark.cn/s/1": "A"}
-    assert text.pair_titles("A：https://x.org/1 B：https://x.org/2") == {"https://x.org/1": "A", "https://x.org/2": "B"}
-    assert text.pair_titles(None) == {}
+Q, B = "https://pan.quark.cn/s/", "https://pan.baidu.com/s/"
+
+
+@pytest.mark.parametrize(("said", "urls_", "want"), [
+    (f"标题：A\n链接：{Q}1", [], {Q + "1": "A"}),
+    (f"A\n链接：{Q}1 {Q}2\nB：{Q}3\n夸克：{Q}4", [], {Q + "1": "A", Q + "2": "A", Q + "3": "B", Q + "4": "A"}),
+    (f"A\n\nB\n{Q}1\nnot a title\nC\n地址：{Q}2\n网盘:{Q}1", [], {Q + "1": "C", Q + "2": "C"}),
+    (f"A\n名称：\n链接：{Q}1", [], {}),
+    (f"链接：{Q}1\nlast", [], {}),
+    (f"A {Q}1 标题：B {B}2?pwd=abcd {Q}1 C 更新12集 {Q}3", [], {Q + "1": "A", B + "2?pwd=abcd": "B", Q + "3": "C 更新12集"}),
+    (f"片名 链接：{Q}1", [], {Q + "1": "片名"}),
+    ("A 链接：https://x.org/1 天翼B 链接：https://x.org/2", ["https://x.org/1", "https://x.org/2"], {"https://x.org/1": "A", "https://x.org/2": "天翼B"}),
+    ("no link", ["u"], {}), (None, ["u"], {}), ("", [], {}),
+])
+def test_titles_of_links(spark, said, urls_, want):
+    df = spark.createDataFrame([(said, urls_)], "t string, u array<string>")
+    assert df.select(text.link_titles(F.col("t"), F.col("u"))).first()[0] == want
+
+
+def test_links_that_contain_each_other(spark):
+    said = f"{Q}abc {Q}abcdef {Q}xyz {B}1 {B}12 https://my.alipan.com/s/1 http://my.alipan.com/s/12 {B}1"
+    assert one(spark, urls.drive_links(F.col("t")), t=said) == [B + "1", B + "12", Q + "abc", Q + "xyz", "https://my.alipan.com/s/1"]
 
 
 @pytest.mark.parametrize(("kind", "status", "body", "state"), [

@@ -69,9 +69,10 @@ def test_trending_counts_caps_and_decays(spark):
 def test_pages_and_requests(spark):
     items = spark.range(45).select(F.lit("c").alias("category"), F.col("id").alias("pos"))
     assert [r["rank"] for r in charts.page_of(items, "category", 3).orderBy("rank").collect()] == [41, 42, 43, 44, 45]
-    for bad in (dict(keyword=""), dict(keyword="x" * 201), dict(keyword="x", shape="odd"), dict(keyword="x", limit=0), dict(keyword="x", page=0)):
+    for bad in (dict(keyword=""), dict(keyword="x" * 201), dict(keyword="x", limit=0), dict(keyword="x", page=0)):
         with pytest.raises(ValueError):
             Request(**bad)
+    assert [Request("x", shape=s).shape for s in ("", "merge", "merged_by_type", "results", "all", "odd")] == ["merged", "merged", "merged", "results", "all", "all"]
 
 
 MACHINES = [state.RateLimit(3, 50), state.Lockout(2, 40), state.Breaker(2, 40)]

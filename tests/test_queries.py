@@ -35,7 +35,16 @@ def test_against_sql(spark, con, name):
 
 
 def test_link_title_pairs_read_whole_texts(spark, tmp_path):
-    said = [(1, "word " * 30 + "end"), (2, "one\n" + "two " * 20 + "three"), (3, None)]
+    said = [(3, "word " * 30 + "end"), (7, "one\n" + "two " * 20 + "three"), (11, None), (15, "one\n")]
     spark.createDataFrame(said, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["url"], r["title"]) for r in queries.link_title_pairs(spark, str(tmp_path)).collect()}
-    assert got == {i: (f"https://pan.quark.cn/s/{i}", t.split("\n")[-1]) for i, t in said if t}
+    assert got == {i: (f"https://pan.quark.cn/s/q{i}", t.split("\n")[-1]) for i, t in said if t and i != 15}
+
+
+def test_sort_by_name_of_any_letters(spark, tmp_path):
+    names = ["b", "B", "a", "é", "e", "ez", "éa", "中", "一", "", None, "Z z", "a"]
+    spark.createDataFrame([(i, t, "x" if i % 5 else None) for i, t in enumerate(names)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["rank"] for r in queries.sort_by_name_zh(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW d AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.sql("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY coalesce(text, '') COLLATE zh, doc_id) FROM d").fetchall())
