@@ -35,8 +35,13 @@ LINK_PATTERNS = {
     "magnet": r"magnet:\?xt=urn:btih:[a-zA-Z0-9]+",
     "ed2k": r"ed2k://\|file\|[^|]+\|\d+\|[A-Fa-f0-9]+\|/?",
 }
-#: Links of hosts that no pattern above names, and types whose links repeat what contains them.
+#: Links of hosts that no pattern above names, what a text with links of a type has, and types whose links repeat what contains them.
 ANY_LINK = r"(?i)https?://(?:[\w.-]+\.)?(?:pan\.(?:baidu|quark)\.cn|(?:alipan|aliyundrive)\.com)(?:/[^\s'\"<>()]*)?"
+NEEDED = {
+    "baidu": ("pan.baidu.com/s/",), "tianyi": ("cloud.189.cn/t/",), "uc": ("drive.uc.cn/s/",), "123": ("123684", "123685", "123865", "123912", "123pan", "123592"), "115": ("115.com/s/", "115cdn.com/s/", "anxia.com/s/"),
+    "aliyun": ("alipan.com/s/", "aliyundrive.com/s/"), "guangya": ("guangyapan.com/s/",), "mobile": ("139.com/", "10086.cn/"), "quark": ("pan.quark.cn/s/",), "xunlei": ("pan.xunlei.com/s/",), "pikpak": ("mypikpak.com/s/",),
+    "magnet": ("magnet:?xt=urn:btih:",), "ed2k": ("ed2k://|file|",), "any": ("pan.baidu.cn", "pan.quark.cn", "alipan.com", "aliyundrive.com"),
+}
 CONTAINED, CONTAINED_BARE = ("quark", "xunlei"), ("magnet", "ed2k", "any")
 KEY_PATTERNS = (
     r"https?://pan\.quark\.cn/s/[a-zA-Z0-9]+",
@@ -132,6 +137,8 @@ def drive_links(text: Column, first_only: bool = False) -> Column:
     for kind, pattern in (LINK_PATTERNS | {"any": ANY_LINK}).items():
         some = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         some = F.slice(some, 1, 1) if first_only else some
+        said = F.lower(text) if kind == "any" else text
+        some = F.when(_any(said, NEEDED[kind]), some).otherwise(F.expr("CAST(array() AS array<string>)"))  # cheaper than the pattern
         found.append(F.transform(some, _ruled(kind)))
     listed = F.filter(F.flatten(F.array(*found)), lambda x: x["u"] != "")
 

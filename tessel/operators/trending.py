@@ -12,8 +12,10 @@ DECAY, WINDOW_DAYS, MAX_ENTRIES = 0.05, 7, 30
 
 
 def counted(log: DataFrame) -> DataFrame:
-    """``term, score, last_ts, created_ts`` of admitted terms."""
-    return log.withColumn("term", admitted_term(F.col("term"))).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("score"), F.max("ts").alias("last_ts"), F.min("ts").alias("created_ts"))
+    """``term, score, last_ts, created_ts`` of admitted terms. Terms are counted as they were typed first, so that only distinct ones are cleaned."""
+    typed = log.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.min("ts").alias("first"))
+    cleaned = typed.withColumn("term", admitted_term(F.col("term"))).where("term is not null")
+    return cleaned.groupBy("term").agg(F.sum("n").alias("score"), F.max("last").alias("last_ts"), F.min("first").alias("created_ts"))
 
 
 def _age_days(as_of: str):
@@ -39,9 +41,18 @@ def top_by_score(terms: DataFrame, limit: int) -> DataFrame:
 
 
 def without_term(terms: DataFrame, term: str) -> DataFrame:
+    """Terms without one; ``had_term`` tells whether it was there."""
     return terms.where(F.col("term") != term)
 
 
+def had_term(terms: DataFrame, term: str) -> bool:
+    return bool(terms.where(F.col("term") == term).limit(1).count())
+
+
+def cleared(terms: DataFrame) -> DataFrame:
+    return terms.limit(0)
+
+
 def load_terms(stored: DataFrame, migrated: DataFrame) -> DataFrame:
     """Stored terms and migrated ones that are new."""
     return stored.unionByName(migrated.dropDuplicates(["term"]).join(stored.select("term"), "term", "left_anti"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text, urls
 from .operators import charts, filters, liveness, merge, rank, trending
 from .plans.search import Request, merged_links, results, search
-from .sources import catalogue, channels, registry
+from .sources import catalogue, channels, custom, registry
 from .sources.adapters import AS_OF, attempts, duplicated_records, records, search_log, sources, sql, table
 from .streaming import state
 
@@ -613,3 +613,99 @@ def mapped_types_and_codes(spark, sf_dir):
     name = F.element_at(F.array(*[F.lit(x) for x in ("BDY", "quark", "ty ", "?")]), at)
     url = F.element_at(F.array(*[F.lit(x) for x in ("https://pan.baidu.com/s/1?pwd=ab12", "https://pan.quark.cn/s/1", "https://cloud.189.cn/t/1（访问码：zz）", "https://example.org/")]), at)
     return table(spark, sf_dir, "documents").select("doc_id", urls.mapped_type(name, url).alias("kind"), urls.share_password(url, F.when(at == 4, "f")).alias("code"))
+
+
+QUARK = "'https://pan.quark.cn/s/' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)"
+
+
+def _quark(of="doc_id"):
+    return F.concat(F.lit("https://pan.quark.cn/s/"), F.substring(F.md5(F.col(of).cast("string").cast("binary")), 1, 8))
+
+
+def _payload(source: str, *parts):
+    return F.lit(source).alias("source"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("payload")
+
+
+def _captured(spark, sf_dir, source: str, *parts):
+    return table(spark, sf_dir, "documents").select("doc_id", *_payload(source, *parts))
+
+
+def _found(records):
+    return records.select("unique_id", "title", F.posexplode("links").alias("pos", "l")).select("unique_id", "title", "pos", F.col("l.type").alias("link_type"), "l.url", "l.password")
+
+
+CUSTOM = {s.name: s for s in custom.CUSTOM}
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES ('wanou', true), ('ouge', false)) v(name, strict)),
+l AS (SELECT doc_id, name, strict, unnest([0, 1, 2]) AS pos, {QUARK} AS q FROM documents, s)
+SELECT name || '-' || doc_id AS unique_id, 'T' || doc_id AS title, CAST(CASE WHEN strict AND pos = 2 THEN 1 ELSE pos END AS INTEGER) AS pos, ['quark', 'baidu', 'uc'][CASE WHEN strict THEN CASE pos WHEN 0 THEN 1 ELSE 2 END WHEN pos = 2 THEN 2 WHEN pos = 1 THEN 3 ELSE 1 END] AS link_type,
+  CASE pos WHEN 2 THEN 'https://pan.baidu.com/s/1' || doc_id || '?pwd=ab12' WHEN 1 THEN q || 'x' ELSE q END AS url, CASE pos WHEN 2 THEN 'ab12' ELSE '' END AS password FROM l WHERE NOT strict OR pos <> 1""")
+def custom_zip_sources(spark, sf_dir):
+    """Two delimited lists: a name that disagrees with its link's host goes, or stays, as the source has it; what has no partner goes."""
+    n, q = F.col("doc_id").cast("string"), _quark()
+    parts = ('{"code":1,"list":[{"vod_id":', n, ',"vod_name":" T', n, ' ","vod_down_from":"KG$$$UC$$$BD$$$XL","vod_down_url":"', q, "$$$", q, 'x$$$https://pan.baidu.com/s/1', n, '?pwd=ab12"}]}')
+    return _found(custom.records_of(CUSTOM["wanou"], _captured(spark, sf_dir, "wanou", *parts))).unionByName(_found(custom.records_of(CUSTOM["ouge"], _captured(spark, sf_dir, "Ouge", *parts))))
+
+
+@query(f"""SELECT 'yunso-f' || doc_id AS unique_id, 'T' || doc_id AS title, 0 AS pos, 'quark' AS link_type, {QUARK} || '?pwd=cd34' AS url, 'cd34' AS password FROM documents
+UNION ALL SELECT 'xdyh-' || doc_id, 'T' || doc_id, 0, 'quark', {QUARK}, '' FROM documents""")
+def custom_link_sources(spark, sf_dir):
+    """A link in a field (of unknown hosts: left out), and links anywhere in an item."""
+    n, q = F.col("doc_id").cast("string"), _quark()
+    one = _captured(spark, sf_dir, "yunso", '{"data":{"list":[{"full_id":"f', n, '","title":"T', n, '","url":"', q, '?pwd=cd34"},{"title":"x","url":"https://example.org/"}]}}')
+    text = _captured(spark, sf_dir, "xdyh", '{"results":[{"id":"', n, '","name":"T', n, '","more":{"a":["see ', q, ' or https://example.org/"]}}]}')
+    return _found(custom.records_of(CUSTOM["yunso"], one)).unionByName(_found(custom.records_of(CUSTOM["xdyh"], text)))
+
+
+@query(f"""SELECT 'hunhepan-' || g AS unique_id, 'T' || g AS title, 0 AS pos, 'quark' AS link_type, 'https://pan.quark.cn/s/' || substr(md5(CAST(g AS VARCHAR)), 1, 8) AS url, 'p' AS password FROM (SELECT DISTINCT doc_id // 10 AS g FROM documents)""")
+def custom_pooled_source(spark, sf_dir):
+    """The same resource from several pools counts once; types without a name go."""
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("g"), "doc_id")
+    n = F.col("g").cast("string")
+    item = F.concat(F.lit('{"disk_id":"'), n, F.lit('","disk_name":"<em>T'), n, F.lit('</em>","disk_type":"QUARK","disk_pass":"p","link":"'), _quark("g"), F.lit('"}'))
+    odd = F.concat(F.lit('{"disk_id":"o'), n, F.lit('","disk_name":"x","disk_type":"ODD","link":"https://pan.quark.cn/s/o"}'))
+    items = F.concat(F.lit('{"code":200,"data":{"list":['), item, F.lit(","), odd, F.lit("]}}"))
+    return _found(custom.records_of(CUSTOM["hunhepan"], d.select(F.lit("hunhepan").alias("source"), items.alias("payload"))))
+
+
+@query(f"SELECT 'pan666-' || doc_id AS unique_id, 'T' || doc_id AS title, 0 AS pos, 'quark' AS link_type, {QUARK} AS url, '' AS password FROM documents WHERE doc_id % 3 <> 0")
+def custom_posts_source(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    parts = ('{"data":[{"id":"', n, '","attributes":{"title":"T', n, '"},"relationships":{"mostRelevantPost":{"data":{"id":"', (F.col("doc_id") % 3).cast("string"), '"}}}}],"included":[{"id":"1","attributes":{"contentHtml":"<a href=', _quark(), '>"}},{"id":"2","attributes":{"contentHtml":"<p>', _quark(), '</p>"}},{"id":"9"}]}')
+    return _found(custom.records_of(CUSTOM["pan666"], _captured(spark, sf_dir, "pan666", *parts)))
+
+
+@query("""SELECT 'thepiratebay-' || doc_id AS unique_id, 'T ' || doc_id AS title, 0 AS pos, 'magnet' AS link_type, 'magnet:?xt=urn:btih:' || md5(CAST(doc_id AS VARCHAR)) || '&dn=x' AS url, '' AS password FROM documents
+UNION ALL SELECT 'pioz-0', 'C' || doc_id, 0, 'quark', 'https://pan.quark.cn/s/' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8), '' FROM documents""")
+def custom_page_sources(spark, sf_dir):
+    """Rows of a table of torrents, and cards; those without a link go."""
+    n, h = F.col("doc_id").cast("string"), F.md5(F.col("doc_id").cast("string").cast("binary"))
+    rows = _captured(spark, sf_dir, "thepiratebay", '<table id="searchResult"><tr class="header"><th>x</th></tr><tr><td>a</td><td><div class="detName"><a href="/torrent/', n, '/T" class="detLink">T.', n, '</a></div><a href="magnet:?xt=urn:btih:', h, '&amp;dn=x">m</a></td><td>3</td><td>4</td></tr><tr><td>none</td></tr></table>')
+    cards = _captured(spark, sf_dir, "pioz", '<div class="resource-card"><h3>C', n, '</h3><p>about</p><a href="', _quark(), '">get</a></div><div class="resource-card"><h3>none</h3></div>')
+    return _found(custom.records_of(CUSTOM["thepiratebay"], rows)).unionByName(_found(custom.records_of(CUSTOM["pioz"], cards)))
+
+
+@query(f"SELECT 'duoduo-' || doc_id AS unique_id, 'T' || doc_id AS title, 0 AS pos, 'quark' AS link_type, {QUARK} AS url, '' AS password FROM documents WHERE doc_id % 2 = 0")
+def custom_detail_sources(spark, sf_dir):
+    """Cards of result pages joined with the detail pages that were captured."""
+    n = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents")
+    cards = _captured(spark, sf_dir, "duoduo", '<div class="module-search-item"><h3><a href="/vod/detail/', n, '">T', n, "</a></h3></div>")
+    pages = d.where("doc_id % 2 = 0").select(F.lit("duoduo").alias("source"), F.concat(F.lit("https://d.example/vod/detail/"), n).alias("url"), F.concat(F.lit('<body>https://pan.quark.cn/s/head<div id="download-list"><a data-clipboard-text="'), _quark(), F.lit('">x</a></div></body>')).alias("html"))
+    return _found(custom.records_of(CUSTOM["duoduo"], cards, pages))
+
+
+@query(f"""WITH s AS (SELECT doc_id, ['wanou', 'yunso', 'xdyh', 'pioz'][doc_id % 4 + 1] AS name FROM documents), bad AS (SELECT 'yunso' AS name)
+SELECT CASE name WHEN 'pioz' THEN 'pioz-0' ELSE name || '-' || doc_id END AS unique_id, {QUARK} AS url FROM s WHERE name NOT IN (SELECT name FROM bad)
+UNION ALL SELECT 'warning', 'unhealthy yunso'""")
+def federated_scan(spark, sf_dir):
+    """All chosen healthy sources; an unhealthy one gives a warning."""
+    n, q = F.col("doc_id").cast("string"), _quark()
+    j = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    shapes = (j('{"list":[{"vod_id":', n, ',"vod_name":"T","vod_down_from":"KG","vod_down_url":"', q, '"}]}'), j('{"list":[{"qid":"', n, '","url":"', q, '"}]}'), j('{"list":[{"id":"', n, '","a":"', q, '"}]}'), j('<div class="card"><h3>T</h3>', q, "</div>"))
+    at = (F.col("doc_id") % 4).cast("int") + 1
+    payloads = table(spark, sf_dir, "documents").select(F.element_at(F.array(*[F.lit(x) for x in ("wanou", "yunso", "xdyh", "pioz")]), at).alias("source"), F.element_at(F.array(*shapes), at).alias("payload"))
+    health = spark.createDataFrame([("YUNSO", False), ("wanou", True)], "name string, healthy boolean")
+    found, warned = custom.federated(payloads, health, chosen=("wanou", "yunso", "xdyh", "pioz"))
+    return found.select("unique_id", F.explode("links.url").alias("url")).unionByName(warned.select(F.lit("warning").alias("unique_id"), F.concat_ws(" ", "message", "source").alias("url")))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from .custom import CUSTOM as OWN_LAYOUTS
+from .custom import records_of
 from .registry import Source, register
 
+CUSTOM = {s.name: s for s in OWN_LAYOUTS}
+
 #: Sources by level; level 3 is the default. Those of SKIPPING bypass the keyword filter.
 LEVEL_1 = "susu wanou labi lou1".split()
 LEVEL_2 = "alupan dyyjpro kkmao panzun quarktv yunsou discourse nsgame panyq ouge huban clxiong lingjisp melost xys yunso duoduo pioz".split()
@@ -29,7 +35,8 @@ CHARTS = (
 def register_all() -> None:
     for level, names in ((1, LEVEL_1), (2, LEVEL_2), (3, LEVEL_3), (4, LEVEL_4)):
         for name in names:
-            register(Source(name, level, name in SKIPPING))
+            own = CUSTOM.get(name)
+            register(Source(name, level, name in SKIPPING, own and partial(records_of, own)))
 
 
 def platforms(spark):

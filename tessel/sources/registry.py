@@ -23,12 +23,12 @@ SHALLOW, DEEP, FEW = 80, 160, 3
 
 @dataclass(frozen=True)
 class Source:
-    """A source: captured payloads of ``name`` become records by ``transform``."""
+    """A source: captured payloads (source, payload) of ``name`` become records by ``transform``; None: by ``from_json`` or ``from_pages``."""
 
     name: str
     level: int = 3
     skip_filter: bool = False
-    transform: Callable[[DataFrame, str], DataFrame] | None = field(default=None, compare=False)
+    transform: Callable[..., DataFrame] | None = field(default=None, compare=False)
 
 
 _sources: dict[str, Source] = {}
