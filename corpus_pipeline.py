@@ -6,7 +6,7 @@ but the last keep the columns of documents. Nulls, repeated rows and empty table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
@@ -24,14 +24,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts (null counts as empty), the one with the largest id, and one row of it; an id only goes with the text it was kept for. A null id stays if no row of its text has another."""
-    found = stored(exact_dedup.exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")), "kept")
-    rows = docs.select(*COLUMNS).withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    ids = found.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
-    rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, same, "left_semi").drop("sha")
+    found = exact_dedup.exact_dedup(docs).where("kept")
+    found = stored(found.groupBy(_id().alias("kept_id"), F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n")).select("kept_id", _digest(F.col("sha")).alias("kept_digest"), "n"), "kept")
+    ids = found.select("kept_id", "kept_digest")
+    rows = docs.select(*COLUMNS)
+    same = (_id() == F.col("kept_id")) & (_digest(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)) == F.col("kept_digest"))
+    rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, same, "left_semi")
     return rows.dropDuplicates(["doc_id", "text"]) if found.where("n > 1").limit(1).count() else rows
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
+def _digest(sha: Column) -> Column:
+    """The first 60 bits of a hex digest; with the id they tell the texts of one id apart."""
+    return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links (five words, 0.8) hold together, the document with the smallest id.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_libc = ctypes.CDLL(None)
 #: Rows of texts that go to Python at once: ten thousand, Spark's default, are tens of MB on either side.
 TEXT_BATCH_ROWS = 500
 #: Rows that a broadcast side may have at most; beyond it the join is shuffled.
@@ -45,6 +48,27 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: str, n_ids: int | None = None) -
     return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, on, "left_semi")
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks, made if it isn't there: one thing at a time, so that operators that follow each other in a worker don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def released(others: bool = False) -> None:
+    """Gives memory that is free back to the system; with ``others``, what operators before kept in this worker too."""
+    if others:
+        _held.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, mod ``n``; null stays null."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import runs
-from .common import small_batches
+from .common import held, small_batches
 
 #: The sample of a language: so many rows with the smallest hashes of their ids, windows of so many characters from anywhere in them, so many characters in all.
 SAMPLE_ROWS, WINDOW_CHARS, SAMPLE_CHARS = 96, 200, 20_000
@@ -209,15 +209,8 @@ class Parser:
         return [self.langs[b] if k else "und" for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(share, known)]
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def _parser(samples: dict[str, str]) -> Parser:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(samples)
-    return _parsers[key]
+    return held(("langid", hash(tuple(sorted(samples.items())))), lambda: Parser(samples))
 
 
 def samples(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:

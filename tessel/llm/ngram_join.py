@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import runs
-from .common import BROADCAST_ROWS, n_partitions, small_batches, stored
+from .common import BROADCAST_ROWS, n_partitions, released, small_batches, stored
 from .graph import components
 
 #: Counters of the sketch (a power of two), and of a block of it.
@@ -29,9 +29,9 @@ TEXT_BYTES = 1 << 18
 #: Shingles of the sets that are joined in one place, at most; larger groups are dealt out as pairs of parts.
 GROUP_SHINGLES = 4_000_000
 #: Bits of a bitmap in a list, at most: what a list takes grows with a text's length, not with its square.
-MOST_BITS = 2048
+MOST_BITS = 16_384
 #: Shingles of a set, at most, that has a bitmap.
-BITMAP_SHINGLES = 16 * MOST_BITS
+BITMAP_SHINGLES = 2 * MOST_BITS
 #: Sets of a block of the index lists.
 BLOCK_SETS = 1024
 
@@ -121,6 +121,7 @@ def _first_pass(k: int):
     """Of each document (doc_id, n, set_id, bits); of each task its sketch, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released(others=True)
         sketch = np.zeros(SKETCH, np.int32)
         for batch in runs(batches, 1, TEXT_BYTES):
             found = shingles(_texts(batch, 1), k)
@@ -220,6 +221,7 @@ def _edges(percent: int):
     """(u, v) that hang together in a list of (token, set_id, n, bits); lists come whole and one after another."""
 
     def run(batches):
+        released(others=True)
         us, vs = [], []
 
         def close(ids, n, bits):
@@ -244,6 +246,7 @@ def _edges(percent: int):
         close(ids, n, bits)
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        released()
 
     return run
 
@@ -269,11 +272,12 @@ class Index:
 
     def __init__(self, sets: list[np.ndarray], base: int):
         sizes = [len(s) for s in sets]
-        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         order = np.argsort(keys, kind="stable")
         self.owner, self.base, self.n = owner[order], base, len(sets)
-        self.keys, first = np.unique(keys[order], return_index=True)
-        self.first = np.append(first, len(keys))
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        self.keys, self.first = keys[first], np.append(first, len(keys))
 
     def overlaps(self, keys: np.ndarray) -> np.ndarray:
         """Keys that each set of the block has in common with ``keys``."""
@@ -350,6 +354,7 @@ def _join(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(top), pa.array(n_links)], names=["set_id", "root", "links"])
 
     def run(batches):
+        released(others=True)
         rows, key = [], None
         for batch in batches:
             for c, i, j, part, s, w, keys in zip(*(col.to_pylist() for col in batch.columns)):
@@ -360,6 +365,8 @@ def _join(percent: int):
                 rows.append((key, part, s, w, keys))
         if len(rows) > 1:
             yield close(rows)
+        rows.clear()
+        released()
 
     return run
 

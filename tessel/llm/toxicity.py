@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import runs, unlisted
-from .common import small_batches, stored
+from .common import released, small_batches, stored
 
 #: Parameters of learning: labelled rows to learn from and terms in the lexicons, at most; likelihood ratio of a term, at least.
 SAMPLE_ROWS, MAX_TERMS, LEAST_RATIO = 8_000, 1_000, 16.0
@@ -29,7 +29,7 @@ STEMS = (4, 5, 6)
 #: Lexicon voters of each kind of term, from those of the weakest terms to those of the strongest.
 GROUPS = 4
 #: Bytes of text whose terms are found at once.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 NO_WORD, UPPER = r"[^\p{L}\p{N}]+", r"^\p{Lu}{4,}$"
 MASKED = r"\p{L}\*{2,}|\p{L}+[@$0-9]\p{L}+"
 PATTERNS = ("masked", "shouted", "exclaimed")
@@ -244,6 +244,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        released(others=True)
         for batch in runs(batches, 1, TEXT_BYTES):
             scores = sent.value.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
@@ -256,6 +257,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """Rows of ``docs``, all their columns, whose text the model scores under 0.5; null texts count as empty, repeated rows are judged alike, and an empty table gives an empty result."""
 
     def run(batches):
+        released(others=True)
         for batch in runs(batches, at, TEXT_BYTES):
             yield batch.filter(pa.array(sent.value.scores(batch.column(at)) < 0.5))
 
