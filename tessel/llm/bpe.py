@@ -37,11 +37,11 @@ LETTERS = "a-zA-ZÀ-ÖØ-öø-\u024f"
 PLAIN = f"^[ \n]?[!-~{LETTERS}]+$"
 PLAIN_WORD = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n{LETTERS}0-9]+|\n"
 #: Bytes of words and ids that a worker remembers.
-REMEMBERED = 96 << 20
+REMEMBERED = 48 << 20
 #: Bytes of unknown words merged at once; bytes of text digested at once.
-MERGE_BYTES, DIGEST_BYTES = 1 << 22, 1 << 23
+MERGE_BYTES, DIGEST_BYTES = 1 << 20, 1 << 21
 #: Pieces whose ids are laid out at once, so that a text of any length needs little more than itself.
-BLOCK_PIECES = 1 << 19
+BLOCK_PIECES = 1 << 16
 #: Symbols of a word that the rounds take at most; longer ones are merged by a heap of their pairs, in n log n.
 ROUND_SYMBOLS = 512
 
