@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import runs
+from .bpe import gathered
 from .common import held, small_batches
 
 #: The sample of a language: so many rows with the smallest hashes of their ids, windows of so many characters from anywhere in them, so many characters in all.
 SAMPLE_ROWS, WINDOW_CHARS, SAMPLE_CHARS = 96, 200, 20_000
 #: Texts are parsed in segments of this many classes, so that a long text is as many lanes as it needs; of so many steps of a segment the states are kept; longer texts are parsed in parts of so many classes, one after another.
 SEGMENT, TRACE, PART = 1024, 256, 1 << 20
+#: Bytes of text times languages that are parsed in lockstep.
+BATCH_BYTES = 1 << 24
 SEPARATOR, UNKNOWN = 0, 1
 #: Classes, the most frequent ones, whose edges lie in the table; those of all others lie in a sorted list.
 DENSE = 252
@@ -244,7 +246,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(sent.value)
-        for batch in runs(batches, 1, 1 << 19):
+        for batch in gathered(batches, 1, BATCH_BYTES // max(4, len(parser.langs))):
             lang, score = parser.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
