@@ -48,7 +48,8 @@ def place(docs: DataFrame, shards: list[str], key_col: str = "doc_id", size: int
     """``docs`` with ``slot`` and ``shard`` added (columns of these names are replaced): one row for each row.
 
     Placement needs no shuffle and looks at nothing but the key. A null key counts as the empty text; rows with equal
-    keys, repeated rows among them, share a shard (see ``place_hot`` for keys that a shard can't hold).
+    keys, repeated rows among them, share a shard (see ``place_hot`` for keys that a shard can't hold). Keys of any
+    length count whole; other columns stay, whatever their names; an empty table gives an empty result.
     """
     return _with_table(docs.withColumn("slot", slot_of(F.col(key_col), size)), shards, size)
 
@@ -63,14 +64,17 @@ def _with_table(docs: DataFrame, shards: list[str], size: int) -> DataFrame:
 def place_hot(docs: DataFrame, shards: list[str], key_col: str, spread_col: str, most: int, size: int = TABLE_SIZE) -> DataFrame:
     """As ``place``, but a key with over ``most`` rows is split over so many sub-keys that each should have fewer.
 
-    Rows of a hot key are dealt by the hash of ``spread_col``. Hot keys number fewer than rows / ``most``.
+    Rows of a hot key are dealt by the hash of ``spread_col``; rows with equal keys and spread values stay together, and
+    a null key is a key like others. Hot keys number fewer than rows / ``most``. Columns of any name stay, but ``slot``
+    and ``shard`` are replaced; an empty table gives an empty result; keys of any length count whole.
     """
-    hot = docs.groupBy(F.col(key_col).alias("hot_key")).agg(F.count(F.lit(1)).alias("hot_n")).where(F.col("hot_n") > most)
-    joined = docs.join(hot, F.col(key_col).eqNullSafe(F.col("hot_key")), "left")
-    parts = F.ceil(F.coalesce(F.col("hot_n"), F.lit(1)) / F.lit(most))
+    own = "hot_" + hashlib.md5("\n".join(docs.columns).encode()).hexdigest()  # no column's name
+    hot = docs.groupBy(F.col(key_col).alias(own)).agg(F.count(F.lit(1)).alias(own + "_n")).where(F.col(own + "_n") > most)
+    joined = docs.join(hot, F.col(key_col).eqNullSafe(F.col(own)), "left")
+    parts = F.ceil(F.coalesce(F.col(own + "_n"), F.lit(1)) / F.lit(most))
     salt = F.when(parts > 1, F.concat(F.lit("\x1f"), F.pmod(F.xxhash64(spread_col), parts).cast("string"))).otherwise(F.lit(""))
     key = F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("")), salt)
-    return _with_table(joined.withColumn("slot", slot_of(key, size)).drop("hot_key", "hot_n"), shards, size)
+    return _with_table(joined.withColumn("slot", slot_of(key, size)).drop(own, own + "_n"), shards, size)
 
 
 def sql(shards: list[str], size: int = TABLE_SIZE) -> str:

@@ -184,6 +184,18 @@ def test_sharding_rows(spark):
     assert len(spread) == 3 and sum(spread.values()) == 202
 
 
+def test_sharding_of_odd_tables(spark):
+    shards = ["a", "b", "c"]
+    rows = [("x" * 200_000, 1, 1, 1, "u"), ("", 2, 2, 2, "v"), (None, 3, 3, 3, "w")]
+    docs = spark.createDataFrame(rows, "key string, hot_n int, hot_key int, slot int, k string")
+    got = sharding.place(docs, shards, "key", 307)
+    assert sorted(got.columns) == sorted([*docs.columns, "shard"]) and got.count() == 3 and sharding.place(docs.limit(0), shards, "key", 307).count() == 0
+    at = {r["k"]: r["slot"] for r in got.collect()}
+    assert at["v"] == at["w"] and at["u"] == int(hashlib.md5(b"x" * 200_000).hexdigest()[:8], 16) % 307
+    hot = sharding.place_hot(docs, shards, "key", "k", 1, 307)
+    assert sorted(hot.columns) == sorted([*docs.columns, "shard"]) and hot.count() == 3 and sharding.place_hot(docs.limit(0), shards, "key", "k", 1, 307).count() == 0
+
+
 @given(st.text(st.sampled_from("\\<s>/[INST] SYSROLE\nx"), max_size=40) | st.text(max_size=30), st.sampled_from(["user", "assistant", "system", "tool", "", "a]b\n"]))
 def test_chat_turns_come_back(text, role):
     piece, a, b = chat.formatted(role, text)
