@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -118,40 +119,74 @@ def stream(events: DataFrame, machine) -> DataFrame:
     return events.groupBy("key").transformWithStateInPandas(_processor(machine), outputStructType=f"key {kind}, seq long, ts_ms long, allowed boolean", outputMode="Append", timeMode="None")
 
 
-def replay_cache(log: list[tuple], capacity: int, most_bytes: int) -> list[tuple[int, str, bool]]:
-    """A cache with time-to-live and least-recently-used eviction over (seq, ts_ms, op, key, ttl_ms, size): (seq, key, hit) of each get."""
-    held: OrderedDict[str, tuple[int, int]] = OrderedDict()
-    total, out = 0, []
-    for seq, ts, op, key, ttl, size in log:
-        if op == "get":
-            hit = key in held and held[key][0] > ts
-            if hit:
-                held.move_to_end(key)
-            elif key in held:
-                total -= held.pop(key)[1]
-            out.append((seq, key, hit))
-        elif op == "delete":
-            total -= held.pop(key)[1] if key in held else 0
+class Cache:
+    """A cache with time-to-live and least-recently-used eviction, bounded by entries and bytes; expired entries go when one is set."""
+
+    def __init__(self, capacity: int, most_bytes: int):
+        self.capacity, self.most_bytes, self.total = capacity, most_bytes, 0
+        self.held: OrderedDict[str, tuple[int, int]] = OrderedDict()
+        self.ends: list[tuple[int, str]] = []  # a heap; entries that are gone or were set anew stay in it
+
+    def drop(self, key: str) -> None:
+        if key in self.held:
+            self.total -= self.held.pop(key)[1]
+
+    def get(self, ts: int, key: str) -> bool:
+        hit = key in self.held and self.held[key][0] > ts
+        if hit:
+            self.held.move_to_end(key)
         else:
-            total -= held.pop(key)[1] if key in held else 0
-            for k in [k for k, (until, _) in held.items() if until <= ts]:
-                total -= held.pop(k)[1]
-            while held and (len(held) >= capacity or total + size > most_bytes):
-                total -= held.popitem(last=False)[1][1]
-            held[key] = (ts + ttl, size)
-            total += size
-    return out
+            self.drop(key)
+        return hit
+
+    def set(self, ts: int, key: str, ttl: int, size: int) -> None:
+        self.drop(key)
+        while self.ends and self.ends[0][0] <= ts:
+            until, old = heapq.heappop(self.ends)
+            if old in self.held and self.held[old][0] == until:
+                self.drop(old)
+        while self.held and (len(self.held) >= self.capacity or self.total + size > self.most_bytes):
+            self.total -= self.held.popitem(last=False)[1][1]
+        self.held[key] = (ts + ttl, size)
+        self.total += size
+        heapq.heappush(self.ends, (ts + ttl, key))
+        if len(self.ends) > 2 * len(self.held) + 1000:
+            self.ends = [(until, k) for k, (until, _) in self.held.items()]
+            heapq.heapify(self.ends)
+
+    def step(self, ts: int, op: str, key: str, ttl: int, size: int) -> bool | None:
+        """Whether a get hits; None for other operations."""
+        if op == "get":
+            return self.get(ts, key)
+        self.drop(key) if op == "delete" else self.set(ts, key, ttl, size)
+        return None
 
 
-def cache_hits(log: DataFrame, capacity: int = 1000, most_bytes: int = 100 << 20) -> DataFrame:
-    """``namespace, seq, key, hit`` of each get; a namespace is one cache, bounded by its capacity, and replayed in order."""
+def replay_cache(log: list[tuple], capacity: int, most_bytes: int) -> list[tuple[int, str, bool]]:
+    """A cache over (seq, ts_ms, op, key, ttl_ms, size): (seq, key, hit) of each get."""
+    cache = Cache(capacity, most_bytes)
+    found = [(seq, key, cache.step(ts, op, key, ttl, size)) for seq, ts, op, key, ttl, size in log]
+    return [x for x in found if x[2] is not None]
+
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts_ms", "seq"])
-        hits = replay_cache(list(frame[["seq", "ts_ms", "op", "key", "ttl_ms", "size"]].itertuples(index=False, name=None)), capacity, most_bytes)
-        return pd.DataFrame([(frame["namespace"].iloc[0], s, k, h) for s, k, h in hits], columns=["namespace", "seq", "key", "hit"])
+def cache_hits(log: DataFrame, capacity: int = 1000, most_bytes: int = 100 << 20) -> DataFrame:
+    """``namespace, seq, key, hit`` of each get. A namespace is one cache; its operations are sorted and streamed, so that it needs the memory of its entries, however long its log."""
 
-    return log.groupBy("namespace").applyInPandas(run, "namespace string, seq long, key string, hit boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, cache = object(), None
+        for batch in batches:
+            out = []
+            for namespace, seq, ts, op, key, ttl, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if namespace != last:
+                    last, cache = namespace, Cache(capacity, most_bytes)
+                hit = cache.step(ts, op, key, ttl or 0, size or 0)
+                if hit is not None:
+                    out.append((namespace, seq, key, hit))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.bool_()))], names=["namespace", "seq", "key", "hit"])
+
+    rows = log.select("namespace", F.col("seq").cast("long"), F.col("ts_ms").cast("long"), "op", "key", F.col("ttl_ms").cast("long"), F.col("size").cast("long")).where("ts_ms is not null")
+    return rows.repartition("namespace").sortWithinPartitions("namespace", "ts_ms", "seq").mapInArrow(run, "namespace string, seq long, key string, hit boolean")
 
 
 def merged_stream(batches: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -124,6 +124,34 @@ def test_cache_replay():
     assert state.replay_cache([(1, 0, "set", "a", 9, 40), (2, 0, "set", "b", 9, 20), (3, 1, "get", "a", 0, 0)], 9, 50) == [(3, "a", False)]
 
 
+def by_scan(log, capacity, most):
+    held, out = {}, []  # in order of use
+    for seq, ts, op, key, ttl, size in log:
+        if op == "get":
+            hit = key in held and held[key][0] > ts
+            entry = held.pop(key, None)
+            if hit:
+                held[key] = entry
+            out.append((seq, key, hit))
+            continue
+        held.pop(key, None)
+        if op == "set":
+            held = {k: x for k, x in held.items() if x[0] > ts}
+            while held and (len(held) >= capacity or sum(x[1] for x in held.values()) + size > most):
+                held.pop(next(iter(held)))
+            held[key] = (ts + ttl, size)
+    return out
+
+
+def test_caches_by_namespace(spark):
+    rng = random.Random(3)
+    logs = {n: sorted((rng.randint(0, 400), i, rng.choice(["get", "get", "set", "delete"]), rng.choice("abcdefgh"), rng.choice([5, 50, 500]), rng.randint(1, 9)) for i in range(300)) for n in ("x", "y")}
+    rows = [(n, i, ts, op, key, ttl, size) for n, log in logs.items() for ts, i, op, key, ttl, size in log]
+    df = spark.createDataFrame(rows, "namespace string, seq long, ts_ms long, op string, key string, ttl_ms long, size int")
+    got = sorted((r["namespace"], r["seq"], r["key"], r["hit"]) for r in state.cache_hits(df, 4, 18).collect())
+    assert got == sorted((n, *x) for n, log in logs.items() for x in by_scan([(i, ts, op, key, ttl, size) for ts, i, op, key, ttl, size in log], 4, 18))
+
+
 def test_merged_stream_and_running_terms(spark, tmp_path):
     rows = [("quark", "u", "2024-01-01 00:00:00"), ("quark", "u", "2024-01-01 00:01:00"), ("115", "u", "2024-01-01 00:02:00")]
     spark.createDataFrame(rows, "link_type string, url string, t string").selectExpr("link_type", "url", "cast(t as timestamp) event_ts").write.parquet(str(tmp_path / "in"))
