@@ -196,7 +196,7 @@ def sort_by_date(spark, sf_dir):
     return rank.positions(records(spark, sf_dir), [-F.floor(ms / 86_400_000)], [ms.desc(), F.col("arrival_seq")]).select("arrival_seq", "rank")
 
 
-@query()
+@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY coalesce(text, '') COLLATE zh, doc_id) AS rank FROM documents")
 def sort_by_name_zh(spark, sf_dir):
     named = table(spark, sf_dir, "documents").withColumn("name", F.coalesce("text", F.lit("")))
     return rank.by_name(named, "name", ["doc_id"], within=("lang",)).select("doc_id", "rank")
@@ -521,7 +521,14 @@ def breaker_replay(spark, sf_dir):
     return state.replay(attempts(spark, sf_dir), state.Breaker(2, 2 * DAY))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT CAST(user_id % 8 AS VARCHAR) AS namespace, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, event_id % 3 = 0 AS is_set, event_type AS key,
+  row_number() OVER (PARTITION BY user_id % 8 ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+r AS (SELECT namespace, seq, key, k, is_set, false AS hit, CASE WHEN is_set THEN [{{'key': key, 'until': ts_ms + {DAY}}}] ELSE [] END AS held FROM e WHERE k = 1
+UNION ALL SELECT e.namespace, e.seq, e.key, e.k, e.is_set, NOT e.is_set AND len(list_filter(r.held, lambda x: x.key = e.key AND x.until > e.ts_ms)) > 0,
+  CASE WHEN e.is_set THEN list_append(list_slice(list_filter(r.held, lambda x: x.key <> e.key AND x.until > e.ts_ms), greatest(len(list_filter(r.held, lambda x: x.key <> e.key AND x.until > e.ts_ms)) - 1, 1), 3), {{'key': e.key, 'until': e.ts_ms + {DAY}}})
+  ELSE list_concat(list_filter(r.held, lambda x: x.key <> e.key), list_filter(r.held, lambda x: x.key = e.key AND x.until > e.ts_ms)) END
+FROM r JOIN e ON e.namespace = r.namespace AND e.k = r.k + 1)
+SELECT namespace, seq, key, hit FROM r WHERE NOT is_set""")
 def lru_replay(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     log = e.select((F.col("user_id") % 8).cast("string").alias("namespace"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.when(F.col("event_id") % 3 == 0, "set").otherwise("get").alias("op"), F.col("event_type").alias("key"), F.lit(DAY).alias("ttl_ms"), F.lit(64).alias("size"))
