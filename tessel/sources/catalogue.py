@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import functions as F
+
 from .custom import CUSTOM as OWN_LAYOUTS
 from .custom import records_of
 from .registry import Source, register
@@ -45,3 +47,13 @@ def platforms(spark):
 
 def chart_categories(spark):
     return spark.createDataFrame(CHARTS, "label string, kind string, type_id int")
+
+
+def channels(spark, path: str):
+    """``name, ordinal, priority`` of the channels that a JSON settings file lists (``defaultChannels``, ``priorityChannels``): each once, in its order; a priority channel that is not listed comes after the others."""
+    shape = "defaultChannels array<string>, priorityChannels array<string>"
+    c = spark.read.schema(shape).option("multiLine", True).json(path)
+    none = F.expr("CAST(array() AS array<string>)")
+    listed = F.array_distinct(F.concat(F.coalesce("defaultChannels", none), F.coalesce("priorityChannels", none)))
+    first = c.select(F.posexplode(listed).alias("ordinal", "name"), F.coalesce("priorityChannels", none).alias("p"))
+    return first.where(F.trim("name") != "").select("name", "ordinal", F.array_contains("p", F.col("name")).alias("priority"))

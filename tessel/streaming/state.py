@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.trending import retained
+
 State = tuple[int, int]
 
 
@@ -199,6 +201,15 @@ def trending_stream(log: DataFrame) -> DataFrame:
     return log.groupBy("term").agg(F.count(F.lit(1)).alias("score"), F.max("ts").alias("last_ts"), F.min("ts").alias("created_ts"))
 
 
+def retained_terms(path: str, as_of: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink for ``trending_stream`` in complete mode: after each batch the table holds what retention leaves."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        retained(batch, as_of).write.mode("overwrite").parquet(path)
+
+    return write
+
+
 def into_table(path: str, shape: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: each batch's shape replaces the table of its number."""
 

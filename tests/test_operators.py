@@ -161,6 +161,16 @@ def test_merged_stream_and_running_terms(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_trending_stream_with_retention(spark, tmp_path):
+    rows = [(f"t{i % 40}", "2024-01-30 00:00:00") for i in range(100)] + [("old", "2024-01-01 00:00:00")] * 9
+    spark.createDataFrame(rows, "term string, t string").selectExpr("term", "cast(t as timestamp) ts").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("term string, ts timestamp").parquet(str(tmp_path / "in"))
+    q = state.trending_stream(source).writeStream.outputMode("complete").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).foreachBatch(state.retained_terms(str(tmp_path / "out"), AS_OF)).start()
+    q.awaitTermination()
+    got = {r["term"]: r["score"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 30 and "old" not in got and all(got.get(f"t{i}") == 3 for i in range(20))
+
+
 def test_first_of_each_and_latest_run(spark):
     rows = [(1, "d", "l", "n", "k"), (2, "d", "m", "o", "k"), (3, "", "l", "n", "k"), (4, None, "l", "n", "z"), (5, None, "", None, "k"), (6, None, None, "", "k")]
     df = spark.createDataFrame(rows, "arrival_seq long, disk_id string, link string, name string, kind string")

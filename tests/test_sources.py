@@ -44,6 +44,12 @@ def test_catalogue(spark):
     assert {r["level"]: r["count"] for r in levels} == {1: 4, 2: 18, 3: 43, 4: 3}
 
 
+def test_channels_of_a_settings_file(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"defaultChannels": ["b", "a", "b", " "],\n "priorityChannels": ["a", "z"], "other": 1}')
+    got = sorted((r["ordinal"], r["name"], r["priority"]) for r in catalogue.channels(spark, str(tmp_path / "c.json")).collect())
+    assert [(n, p) for _, n, p in got] == [("b", False), ("a", True), ("z", True)]
+
+
 def test_notes_of_links(spark):
     content = "标题：Film\n链接：https://pan.quark.cn/s/1?x"
     df = spark.createDataFrame([("https://pan.quark.cn/s/1", "Other", content), ("https://pan.quark.cn/s/2", "Other", content)], "url string, title string, content string")
