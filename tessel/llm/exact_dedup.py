@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, keep_ids, n_partitions, stored
+from . import common
+from .common import BROADCAST_ROWS, n_partitions, small_batches, stored
 
 #: Rows of a sender.
 CHUNK_BITS = 18
@@ -24,6 +25,8 @@ CHUNK_BITS = 18
 OWNER_ROWS = 2_000_000
 #: Rows of a group, at least, whose answer is broadcast instead of shuffled for.
 HOT_ROWS = 10_000
+#: Bits, at most, of the bitmap that keeps texts out of the shuffle when there are many suspects.
+FILTER_BITS = 1 << 29
 
 
 def golomb_encode(values: np.ndarray, span: int) -> tuple[int, bytes, bytes]:
@@ -95,6 +98,52 @@ def _suspects(mine: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.table({"sha": pa.array(list(first), pa.binary())})
 
 
+def _positions(sha: pa.Array, bits: int) -> np.ndarray:
+    """The place of each digest (32 bytes) in a bitmap of so many bits, a power of two."""
+    head = np.frombuffer(b"".join(x[:8] for x in sha.to_pylist()), ">u8")
+    return (head >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+
+def _bitmap(suspects: DataFrame, bits: int) -> bytes:
+    """A bitmap with the places of all suspects set; its blocks are made apart and put together on the driver, whose share is bounded by FILTER_BITS."""
+    block = min(bits, 1 << 20)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = _positions(batch.column(1), bits)
+            for b in np.unique(at // block).tolist():
+                made.setdefault(b, np.zeros(block, bool))[at[at // block == b] % block] = True
+        for b, some in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.packbits(some).tobytes()], pa.binary())], names=["block", "bits"])
+
+    head = F.conv(F.substring(F.hex("sha"), 1, 8), 16, 10).cast("long")  # 32 bits
+    blocks = suspects.select(F.shiftright(head, 32 - (bits // block).bit_length() + 1).alias("block"), "sha")
+    found = blocks.repartition(n_partitions(suspects.sparkSession), "block").mapInArrow(run, "block long, bits binary").collect()
+    out = bytearray(bits // 8)
+    for b, some in found:
+        out[b * block // 8 : (b + 1) * block // 8] = some
+    return bytes(out)
+
+
+def _of_suspects(texts: DataFrame, suspects: DataFrame) -> DataFrame:
+    """Rows of ``texts`` (with ``sha``) whose digests are suspect. Up to BROADCAST_ROWS suspects are broadcast; more go into a bitmap that keeps most other texts out of the shuffle, which then tells exactly."""
+    n = suspects.count()
+    if n <= common.BROADCAST_ROWS:
+        return texts.join(F.broadcast(suspects), "sha", "left_semi")
+    bits = min(FILTER_BITS, 1 << max(20, (16 * n).bit_length()))
+    sent = texts.sparkSession.sparkContext.broadcast(_bitmap(suspects, bits))
+    at = texts.columns.index("sha")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            where = _positions(batch.column(at), bits)
+            yield batch.filter(pa.array((held[where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1 == 1))
+
+    return small_batches(texts).mapInArrow(run, texts.schema).join(suspects.hint("shuffle_hash"), "sha", "left_semi")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint_bits: int = 48) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -116,7 +165,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     replies = sent.groupBy("owner").applyInArrow(_owners, "part long, owner long, n long, marks binary")
     suspects = stored(fps.select("part", "fp", "sha").groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_suspects, "sha binary").distinct(), "suspects")
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    same = keep_ids(texts, suspects, "sha").groupBy("sha", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    same = _of_suspects(texts, suspects).groupBy("sha", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = same.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("n_texts"))
     groups = groups.where("group_size > 1").select("sha", "keep_id", F.when(F.col("n_texts") > 1, F.raise_error(F.lit("two texts have one SHA-256"))).otherwise(F.col("group_size")).alias("group_size"))
     groups = stored(groups, "groups")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -37,6 +38,14 @@ def test_exact_dedup(spark, monkeypatch, bits, hot, most):
     assert sorted((repr(r["doc_id"]), repr(r["keep_id"]), r["group_size"], r["kept"]) for r in got) == want
 
 
+@pytest.mark.parametrize("bits", [1 << 12, 1 << 20, 1 << 22])
+def test_bitmap_of_suspects(spark, bits):
+    some = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    got = exact_dedup._bitmap(spark.createDataFrame([(x,) for x in some[:1000]], "sha binary").repartition(3), bits)
+    at = {int.from_bytes(x[:8], "big") >> (64 - bits.bit_length() + 1) for x in some[:1000]}
+    assert len(got) * 8 == bits and np.flatnonzero(np.unpackbits(np.frombuffer(got, np.uint8))).tolist() == sorted(at)
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
