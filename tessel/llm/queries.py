@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, langid, mixing, nearest, ngram_join, sharding, toxicity
+from . import bpe, chat, exact_dedup, html_text, langid, mixing, nearest, negatives, ngram_join, secrets, sharding, spelling, toxicity
 from .common import crc_mod, read
 
 #: Target weights of the mixture; a source that is not named gets the smallest. The repository has none from production: these are stand-ins.
@@ -69,6 +69,20 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, label, F.col("vec_id") % 50 == 0)
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words_of(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_html_text": op2_html_text,
@@ -80,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_chat": op9_chat,
     "op10_nearest": op10_nearest,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_secrets": op12_secrets,
+    "op13_spelling": op13_spelling,
 }
 SQL: dict[str, str] = {
     "op1_ngram_join": ngram_join.SQL,
@@ -88,4 +105,6 @@ SQL: dict[str, str] = {
     "op7_sharding": sharding.sql(SHARDS),
     "op9_chat": chat.SQL,
     "op10_nearest": nearest.SQL,
+    "op11_hard_negatives": negatives.SQL,
+    "op13_spelling": spelling.SQL,
 }
