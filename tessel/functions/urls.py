@@ -82,7 +82,14 @@ def link_type(url: Column) -> Column:
 
 def host_type(url: Column) -> Column:
     """The type by host name alone; empty for unknown hosts and for messengers and proxies."""
-    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    return type_of_host(host_of(url))
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+
+
+def type_of_host(host: Column) -> Column:
     steps = F.when((host == "t.me") | F.endswith(host, F.lit(".t.me")) | (host == "r.jina.ai"), "")
     more = {"tianyi": ("tianyi.cloud",), "mobile": ("pan.139.com",)}
     for kind, hosts in TYPE_HOSTS:
@@ -100,9 +107,16 @@ def canonical_key(url: Column) -> Column:
 
 def unwrapped(url: Column) -> Column:
     """A link that a proxy's path or an ``url`` parameter carries, else the link itself."""
-    bare = F.when(F.try_parse_url(url, F.lit("HOST")) == "r.jina.ai", _found(decoded(url), r"^https?://r\.jina\.ai/(https?://.*)$", 1))
-    inner = F.try_parse_url(url, F.lit("QUERY"), F.lit("url"))
-    return F.coalesce(bare, F.when((host_type(url) == "") & (host_type(decoded(inner)) != ""), decoded(inner)), url)
+    return F.get(unwrapped_all(F.array(url)), F.lit(0))["url"]
+
+
+def unwrapped_all(found: Column) -> Column:
+    """``array<struct<url,kind>>`` of links: what each carries, or itself, and its type by host. Each step is bound, so that it is made once a link."""
+    a = F.transform(found, lambda u: F.struct(u.alias("url"), host_of(u).alias("host"), decoded(F.try_parse_url(u, F.lit("QUERY"), F.lit("url"))).alias("inner")))
+    b = F.transform(a, lambda x: F.struct(x["url"].alias("url"), type_of_host(x["host"]).alias("kind"), x["inner"].alias("inner"), host_of(x["inner"]).alias("inner_host"), F.when(x["host"] == "r.jina.ai", _found(decoded(x["url"]), r"^https?://r\.jina\.ai/(https?://.*)$", 1)).alias("bare")))
+    c = F.transform(b, lambda x: F.coalesce(x["bare"], F.when((x["kind"] == "") & (type_of_host(x["inner_host"]) != ""), x["inner"]), x["url"]))
+    d = F.transform(c, lambda u: F.struct(u.alias("url"), host_of(u).alias("host")))
+    return F.transform(d, lambda x: F.struct(x["url"].alias("url"), type_of_host(x["host"]).alias("kind")))
 
 
 def decoded(url: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import channel_content, channel_title, html_text, trimmed
-from ..functions.urls import canonical_key, decoded, host_type, unwrapped
+from ..functions.urls import canonical_key, decoded, unwrapped_all
 from ..operators.charts import PAGE, chart_title
 
 #: Marks of a channel's page, URLs and access codes of its messages.
@@ -17,18 +17,18 @@ CODES_IN_URLS = ((r"115\.com|115cdn\.com|anxia\.com", r"password=([a-zA-Z0-9]{4}
 LIST_ITEM = r'(?is)<div class="item">.*?</li>'
 
 
-def _links(text: Column, hrefs: Column) -> Column:
+def channel_links(text: Column, hrefs: Column) -> Column:
     """The drive links of a message: unwrapped, canonical, without repeats, each with its own access code or the message's."""
     raw = F.concat(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), hrefs)
     said = F.regexp_extract(text, CODE, 1)
 
-    def resolve(u: Column) -> Column:
-        at = unwrapped(u)
-        kind = F.when(F.startswith(u, F.lit("magnet:")), "magnet").otherwise(host_type(at))
+    def resolve(x: Column) -> Column:
+        at = x["url"]
+        kind = F.when(F.startswith(at, F.lit("magnet:")), "magnet").otherwise(x["kind"])
         own = F.coalesce(*[F.when(at.rlike(host), F.nullif(F.regexp_extract(at, p, 1), F.lit(""))) for host, p in CODES_IN_URLS], said)
         return F.struct(kind.alias("type"), canonical_key(at).alias("url"), own.alias("password"))
 
-    found = F.filter(F.transform(raw, resolve), lambda x: x["type"] != "")
+    found = F.filter(F.transform(unwrapped_all(raw), resolve), lambda x: x["type"] != "")
     fresh = lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y["url"]) == F.lower(x["url"])), acc).otherwise(F.array_append(acc, x))
     return F.aggregate(found, F.expr("CAST(array() AS array<struct<type:string,url:string,password:string>>)"), fresh)
 
@@ -45,7 +45,7 @@ def from_channel_pages(pages: DataFrame, limit: int = 50) -> DataFrame:
     body = F.regexp_extract("part", BODY, 1)
     lined = F.regexp_replace(F.regexp_replace(body, r"(?i)<br\s*/?>", "\n"), "<[^>]+>", "")
     m = m.withColumns({"text": trimmed(F.replace(lined, F.lit("&amp;"), F.lit("&"))), "hrefs": F.transform(F.regexp_extract_all(body, F.lit(r'(?is)<a\s[^>]*href="([^"]*)"'), F.lit(1)), lambda h: F.replace(h, F.lit("&amp;"), F.lit("&")))})
-    m = m.withColumns({"links": _links(F.col("text"), F.col("hrefs")), "post": F.regexp_extract("part", r'data-post="[^"/]*/?([^"]*)"', 1)})
+    m = m.withColumns({"links": channel_links(F.col("text"), F.col("hrefs")), "post": F.regexp_extract("part", r'data-post="[^"/]*/?([^"]*)"', 1)})
     bare = F.aggregate(F.transform("links", lambda x: x["url"]), F.split_part("text", F.lit("\n"), F.lit(1)), lambda t, u: F.replace(t, u, F.lit("")))
     return m.select(
         F.col("post").alias("message_id"),

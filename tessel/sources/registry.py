@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.links import links_in
 from ..functions.text import all_words, anchors, html_text, page_title
-from ..functions.urls import access_code, drive_links, link_type
 
 RECORD = "message_id string, unique_id string, channel string, datetime string, title string, content string, links array<struct<type:string,url:string,password:string>>"
 #: Where JSON answers keep their rows, titles, texts, times and ids; rows of a channel's page and scan depths.
@@ -50,7 +50,7 @@ def dimension(spark: SparkSession) -> DataFrame:
 
 def links_of(text: Column) -> Column:
     """Drive links of a text with types and access codes."""
-    return F.transform(drive_links(text), lambda u: F.struct(link_type(u).alias("type"), u.alias("url"), access_code(text, u).alias("password")))
+    return links_in(text)
 
 
 def _first(item: Column, paths) -> Column:
