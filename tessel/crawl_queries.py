@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .functions import html
 from .queries import QUARK, _quark, query
-from .sources import pages
+from .sources import captured, federation, pages
 from .sources.adapters import table
 
 
@@ -94,3 +96,81 @@ def page_elements(spark, sf_dir):
     """Paragraphs of the article, entries of the menu and the title of crawled pages."""
     p = html.select(table(spark, sf_dir, "pages").select("page_id", "html"), "html", {"p": "article p", "entry": "nav > ul > li > a[href]", "title": "head > title"})
     return p.select("page_id", F.size(html.of("p")).cast("long").alias("paragraphs"), F.size(html.of("entry")).cast("long").alias("entries"), html.text_of("title").alias("title"))
+
+
+#: A payload of each source, its detail page, and the records that come of them: {n} is a document's number, {q} a link made of it, {h} its digest. Records are (id, title, type, link, code).
+Q, M = "{q}", "magnet:?xt=urn:btih:{h}"
+VOD = '{"code":1,"list":[{"vod_id":{n},"vod_name":" T{n} ","vod_down_from":"KG$$$BD$$$UC","vod_down_url":"{q}$$$https://pan.baidu.com/s/1{n}?pwd=ab12$$$https://pan.baidu.com/s/2{n}"}]}'
+SHAPES = {
+    "wanou": (VOD, None, [("{n}", "T{n}", "quark", Q, ""), ("{n}", "T{n}", "baidu", "https://pan.baidu.com/s/1{n}?pwd=ab12", "ab12")]),
+    "ouge": (VOD, None, [("{n}", "T{n}", "quark", Q, ""), ("{n}", "T{n}", "baidu", "https://pan.baidu.com/s/1{n}?pwd=ab12", "ab12"), ("{n}", "T{n}", "uc", "https://pan.baidu.com/s/2{n}", "")]),
+    "huban": ('{"list":[{"vod_id":{n},"vod_name":"T","vod_down_from":"KKWP$$$ODD$$$UCWP","vod_down_url":"HD${q}#{q}b$$${q}$$$x"}]}', None, [("{n}", "T", "quark", Q, ""), ("{n}", "T", "quark", Q + "b", "")]),
+    "yunso": ('{"data":{"list":[{"qid":"k{n}","title":"T","url":"{q}?pwd=cd34"},{"title":"x","url":"https://example.org/"}]}}', None, [("k{n}", "T", "quark", Q + "?pwd=cd34", "cd34")]),
+    "xys": ('{"results":[{"full_id":"f{n}","qid":"k","name":"T","share_url":"{q}"}]}', None, [("f{n}", "T", "quark", Q, "")]),
+    "meitizy": ('{"data":[{"id":{n},"title":"T<b>x</b>","url":"{q}"}]}', None, [("{n}", "T x", "quark", Q, "")]),
+    "melost": ('{"data":[{"disk_id":"{n}","title":"T","links":[{"url":"{q}","password":"zz"}]}]}', None, [("{n}", "T", "quark", Q, "zz")]),
+    "xdyh": ('{"results":[{"id":"{n}","share_title":"T","more":{"a":["see {q} or https://example.org/"]}}]}', None, [("{n}", "T", "quark", Q, "")]),
+    "hunhepan": ('{"data":{"list":[{"disk_id":"{n}","disk_name":"<em>T</em>{n}","disk_type":"QUARK","disk_pass":"p","link":"{q}"},{"disk_id":"{n}","disk_name":"T{n}","disk_type":"QUARK","disk_pass":"p","link":"{q}"}]}}', None, [("{n}", "T {n}", "quark", Q, "p")]),
+    "pansearch": ('{"pageProps":{"data":{"data":[{"id":{n},"content":"名称：T{n}\\n<a href={q}?pwd=ab12>x</a>"}]}}}', None, [("{n}", "T{n} x", "quark", Q + "?pwd=ab12", "ab12")]),
+    "panyq": ('{"data":{"hits":[{"eid":"e{n}","desc":"see 《T{n}》 <i>now</i>"}]}}', ("https://panyq.example/go/e{n}", '0:["a"]\n1:["x",{"url":"{q}"}]'), [("e{n}", "T{n}", "quark", Q, "")]),
+    "mikuclub": ('[{"id":{n},"title":{"rendered":"T&amp;{n}"},"content":{"rendered":"<p>a</p>"},"meta":{"d":"{q}"}}]', None, [("{n}", "T&{n}", "quark", Q, "")]),
+    "jsnoteclub": ('{"posts":[{"id":"p{n}","title":"T","excerpt":"at https://pan.quark.cn.example/ or {q} or https://example.org/"}]}', None, [("p{n}", "T", "quark", "https://pan.quark.cn.example/", ""), ("p{n}", "T", "quark", Q, "")]),
+    "lingjisp": ('{"code":0,"data":{"list":[{"doub_id":{n},"name":"T","score":"8"}]}}', ("https://l.example/getVideoDetail?x=1&id={n}", '{"code":0,"data":{"play_url_list":[{"play_url":"https://example.org/"}],"download_url_list":[{"download_url":"{q}"}]}}'), [("{n}", "T", "quark", Q, "")]),
+    "pan666": ('{"data":[{"id":"{n}","attributes":{"title":"T{n}"}}]}', ("https://p.example/d/{n}-x", '{"contentHtml":"<a href={q}>"}'), [("{n}", "T{n}", "quark", Q, "")]),
+    "pioz": ('<div class="item x"><h3>T{n}</h3><p>about</p><a href="{q}">get</a></div><div class="card"><h3>none</h3></div>', None, [("0", "T{n}", "quark", Q, "")]),
+    "u3c3": ('<ul><li><a href="/1">T{n}</a> at {q}</li><li><a href="/2">none</a></li></ul>', None, [("0", "T{n}", "quark", Q, "")]),
+    "xb6v": ('<article><h2><a href="/1">T{n}</a></h2><a href="{q}">x</a></article>', None, [("0", "T{n}", "quark", Q, "")]),
+    "thepiratebay": ('<table><tr><th>x</th></tr><tr><td>a</td><td><a href="/torrent/{n}/T" class="detLink">T.{n}</a><a href="' + M + '&amp;dn=x">m</a></td><td>3</td><td>4</td></tr></table>', None, [("{n}", "T {n}", "magnet", M + "&dn=x", "")]),
+    "nyaa": ('<table><tbody><tr><td>c</td><td><a href="/view/{n}#c">2</a><a href="/view/{n}">T{n}</a></td><td></td></tr></tbody></table>', ("https://nyaa.example/view/{n}", '<a href="' + M + '">m</a>'), [("{n}", "T{n}", "magnet", M, "")]),
+    "1337x": ('<table class="table-list x"><tbody><tr><td class="coll-1"><a href="/s">i</a><a href="/torrent/{n}/t/">T{n}</a></td></tr></tbody></table>', ("https://x.example/torrent/{n}/t/", '<p><a href="' + M + '">m</a> <a href="{q}">x</a></p>'), [("{n}", "T{n}", "magnet", M, "")]),
+    "solidtorrents": ('{"results":[{"id":"s{n}","title":" T{n} ","magnet":"' + M + '","seeders":3},{"title":"none"}]}', None, [("s{n}", "T{n}", "magnet", M, "")]),
+    "duoduo": ('<div class="module-search-item"><div class="video-info-header"><h3><a href="/vod/detail/{n}">T{n}</a></h3></div><p class="video-serial">HD</p></div>', ("https://d.example/vod/detail/{n}", '<a href="{q}out">x</a><div id="download-list"><p data-clipboard-text="{q}">x</p></div>'), [("{n}", "T{n}", "quark", Q, "")]),
+    "labi": ('<div class="module-search-item"><div class="module-item-pic"><a href="/vod/detail/id/{n}"></a></div><div class="video-info-header"><h3><a href="/x">T{n}</a></h3></div></div>', ("https://l.example/vod/detail/id/{n}", '<div id="download-list"><a href="{q}">x</a></div>'), [("{n}", "T{n}", "quark", Q, "")]),
+    "susu": ('<ul><li class="post-list-item" id="item-{n}"><div class="post-info"><h2><a href="https://s.example/{n}.html">T{n}</a></h2></div><p class="post-excerpt">about</p></li></ul>', ("https://s.example/{n}.html", '{"a":"{q}","b":"https:\\/\\/example.org"}'), [("{n}", "T{n}", "quark", Q, "")]),
+    "clxiong": ('<div class="row row-cols-2 row-cols-lg-4"><div class="col"><a href="/drama/{n}.html"><h2 class="h4">T{n}</h2></a></div></div>', ("https://c.example/drama/{n}.html", '<div class="mv_down"><a href="' + M + '1">f1</a><a href="' + M + '2"></a></div>'), [("{n}-0", "-f1", "magnet", M + "1", ""), ("{n}-1", "Result 2", "magnet", M + "2", "")]),
+    "xiaozhang": ('<div class="list-boxes"><a class="text_title_p" href="/subject/{n}.html">T{n}</a><p class="text_p">about</p></div>', ("https://x.example/subject/{n}.html", '<p>a <a href="{q}">x</a></p><a href="{q}out">y</a>'), [("{n}", "T{n}", "quark", Q, "")]),
+}
+SHAPES |= {n: ('<article><h2><a href="https://{s}.example/{n}">A title</a></h2></article>', ("https://{s}.example/{n}", "<h1>T{n}</h1><a href='{q}'>x</a>"), [("md5:https://{s}.example/{n}", "T{n}", "quark", Q, "")]) for n in pages.SEARCHED}
+SHAPES |= {n: ('{"odd":[{"id":"i{n}","subject":"T{n}","body":"<p>at {q} 提取码：ab12 </p>"}]}', None, [("i{n}", "T{n}", "quark", Q, "ab12")]) for n in federation.ANY_JSON}
+ORDER = list(federation.LAYOUTS)
+FIELDS = {"{n}": "CAST(doc_id AS VARCHAR)", "{q}": f"({QUARK})", "{h}": "md5(CAST(doc_id AS VARCHAR))"}
+
+
+def _filled(template: str, source: str, quote=lambda p: "'" + p.replace("'", "''") + "'") -> str:
+    """A template as an expression."""
+    pieces = re.split(r"(\{[nqh]\})", template.replace("{s}", source))
+    return " || ".join(FIELDS.get(p) or quote(p) for p in pieces if p) or "''"
+
+
+def _by_source(templates: list[str | None]):
+    """The template of a document's source, filled."""
+    quote = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    filled = [_filled(t, s, quote).replace("VARCHAR", "STRING") if t else "NULL" for t, s in zip(templates, ORDER)]
+    return F.expr(f"CASE doc_id % {len(ORDER)} " + " ".join(f"WHEN {k} THEN {e}" for k, e in enumerate(filled)) + " END")
+
+
+def _expected() -> str:
+    of = lambda i, s: f"md5({_filled(i[4:], s)})" if i.startswith("md5:") else _filled(i, s)
+    prefix = {"solidtorrents": "solid"}
+    return " UNION ALL ".join(
+        f"SELECT '{prefix.get(s, s)}-' || {of(i, s)} AS unique_id, {_filled(t, s)} AS title, '{kind}' AS link_type, {_filled(u, s)} AS url, '{code}' AS password FROM documents WHERE doc_id % {len(ORDER)} = {k}"
+        for k, s in enumerate(ORDER) if s != "javdb" for i, t, kind, u, code in SHAPES[s][2]
+    )
+
+
+@query(_expected() + " UNION ALL SELECT 'warning', 'unhealthy javdb', '', '', '' UNION ALL SELECT DISTINCT 'warning', 'unreadable wanou', '', '', '' FROM documents WHERE doc_id % 100 = 0")
+def federated_sources(spark, sf_dir):
+    """All 68 sources over one capture: answers and detail pages of each, one unhealthy source, and payloads that can't be read."""
+    d = table(spark, sf_dir, "documents")
+    shapes = [SHAPES[s] for s in ORDER]
+    answers = d.select(_by_source(ORDER).alias("source"), F.expr("'https://q.example/' || doc_id").alias("url"), _by_source([x[0] for x in shapes]).alias("payload"))
+    broken = d.where("doc_id % 100 = 0").select(F.lit("wanou").alias("source"), F.lit("u").alias("url"), F.lit('{"list":[{').alias("payload"))
+    detail = d.select(_by_source([f"{s} detail" if x[1] else None for s, x in zip(ORDER, shapes)]).alias("source"), *[_by_source([x[1] and x[1][k] for x in shapes]).alias(c) for k, c in enumerate(("url", "payload"))])
+    detail = detail.where("source is not null")
+    scan, found = captured.captured(spark, captured.capture(answers.unionByName(broken), "answers")), captured.captured(spark, captured.capture(detail, "details"))
+    health = spark.createDataFrame([("JAVDB", False), ("wanou", True)], "name string, healthy boolean")
+    records, warnings = federation.federated(scan, health, found)
+    rows = records.select("unique_id", "title", F.explode("links").alias("l")).select("unique_id", "title", F.col("l.type").alias("link_type"), "l.url", "l.password")
+    none = [F.lit("").alias(c) for c in ("link_type", "url", "password")]
+    return rows.unionByName(warnings.select(F.lit("warning").alias("unique_id"), F.concat_ws(" ", "message", "source").alias("title"), *none))
+

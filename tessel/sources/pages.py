@@ -68,15 +68,10 @@ def _rules() -> dict[str, str]:
     return ranked | {"any": ", ".join(inside), "a": "a[href]"}
 
 
-def detail_urls(pages: DataFrame, most: int = MOST_DETAILS) -> DataFrame:
-    """``pages`` (source, html, ...) with ``urls``: the first ``most`` detail pages that each links to, and ``links``: drive links of the page itself.
-
-    Links of the trusted places come first, place by place; then those with a text of over four characters inside a
-    heading, a list item or a container. Only web addresses count, none of drives; each once.
-    """
-    p = select(pages, "html", _rules(), spaced=("",))
+def admitted_links(inside: str, most: int) -> Column:
+    """The first ``most`` addresses of a result page's links that may be detail pages."""
     href = lambda e: F.coalesce(F.try_element_at(e["attrs"], F.lit("href")), F.lit(""))
-    listed = F.array_sort(F.transform(F.filter("inside", lambda e: e["rule"] != "a"), lambda e, i: F.struct(e["rule"].alias("rule"), i.alias("i"), href(e).alias("url"), trimmed(e["text"]).alias("text"))))
+    listed = F.array_sort(F.transform(F.filter(inside, lambda e: e["rule"] != "a"), lambda e, i: F.struct(e["rule"].alias("rule"), i.alias("i"), href(e).alias("url"), trimmed(e["text"]).alias("text"))))
 
     def admitted(x: Column) -> Column:
         web = F.startswith(x["url"], F.lit("http"))
@@ -84,8 +79,17 @@ def detail_urls(pages: DataFrame, most: int = MOST_DETAILS) -> DataFrame:
             web = web & ~F.contains(x["url"], F.lit(host))
         return web & ((x["rule"] != "any") | (F.length(x["text"]) > LEAST_TEXT) & ~F.contains(x["url"], F.lit("#")) & ~F.contains(x["url"], F.lit("javascript:")))
 
-    urls = F.slice(F.array_distinct(F.transform(F.filter(listed, admitted), lambda x: x["url"])), 1, most)
-    p = p.withColumns({"urls": urls, "whole": _collapsed(F.col("root.text")), "said": _said("a")}).drop("at", "root", "inside")
+    return F.slice(F.array_distinct(F.transform(F.filter(listed, admitted), lambda x: x["url"])), 1, most)
+
+
+def detail_urls(pages: DataFrame, most: int = MOST_DETAILS) -> DataFrame:
+    """``pages`` (source, html, ...) with ``urls``: the first ``most`` detail pages that each links to, and ``links``: drive links of the page itself.
+
+    Links of the trusted places come first, place by place; then those with a text of over four characters inside a
+    heading, a list item or a container. Only web addresses count, none of drives; each once.
+    """
+    p = select(pages, "html", _rules(), spaced=("",))
+    p = p.withColumns({"urls": admitted_links("inside", most), "whole": _collapsed(F.col("root.text")), "said": _said("a")}).drop("at", "root", "inside")
     return p.withColumns({"links": links_of(F.col("said")), "content": F.substring("whole", 1, CONTENT_CHARS)}).drop("said", "whole")
 
 
