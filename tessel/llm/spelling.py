@@ -9,10 +9,8 @@ length, or of one less, asks for, and words that come up often enough are compar
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +24,7 @@ Q = 3
 LOW, LATIN, LETTERS = ord("a"), 0xC0, 26 + 64
 #: Words that a part of a cell holds at most, about.
 PART_WORDS = 20_000
-RUN = "[A-Za-z\u00c0-\u00ff]+"
+RUN = "[A-Za-z\u00c0-\u00ff]"
 
 
 def words_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 7, occurrences: int = 2) -> DataFrame:
@@ -35,8 +33,8 @@ def words_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     Of length ``least`` and ``occurrences`` times in all at least. Null texts have none, a null id counts as empty.
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(RUN), F.lit(0))).alias("run"))
-    runs = runs.where(F.length("run") >= least).select("id", F.translate("run", upper, upper.lower()).alias("run"))
+    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(f"{RUN}{{{least},}}"), F.lit(0))).alias("run"))  # whole runs: shorter ones don't match
+    runs = runs.select("id", F.translate("run", upper, upper.lower()).alias("run"))
     runs = runs.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
     at = (F.col("h") % F.length("run")).cast("int")
     cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
@@ -66,73 +64,125 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def one_edit(short: str, long: str) -> bool:
     """Whether two different words, the second as long or one longer, are one edit apart."""
-    p = len(commonprefix((short, long)))
-    return short[p + (len(short) == len(long)) :] == long[p + 1 :]
+    same, half = len(short) == len(long), len(short) // 2
+    if short[half:] == long[len(long) - len(short) + half :]:  # the edit is in front
+        short, long = short[:half], long[: len(long) - len(short) + half]
+    elif short[:half] != long[:half]:
+        return False
+    for p, c in enumerate(short):
+        if c != long[p]:
+            return short[p + same :] == long[p + 1 :]
+    return True
+
+
+#: A word's rare grams are longs: the rank above, and below the place of the gram in the word from 1, or 0 if it stands there more than once.
+PLACE = (1 << 32) - 1
+
+
+def first_shared(tokens: list[int], others: list[int], shorter: bool) -> int:
+    """The rank of the first rare gram that two words share at places one edit can bring about."""
+    for t in tokens:
+        for o in others:
+            if t >> 32 == o >> 32:
+                a, b = t & PLACE, o & PLACE
+                if not a or not b or a == b or (shorter and b == a + 1):
+                    return t >> 32
+    return -1
 
 
 class Cell:
-    """An inverted index of the words of one length that share a rare gram."""
+    """Inverted indexes of the words of one length that share a rare gram, one for each place of that gram."""
 
     def __init__(self, token: int, size: int):
-        self.token, self.size, self.words, self.postings = token, size, [], defaultdict(list)
+        self.token, self.size, self.words, self.at = token, size, [], {}
+
+    def place(self, tokens: list[int]) -> int:
+        return next(t & PLACE for t in tokens if t >> 32 == self.token)
 
     def add(self, word: str, n: int, tokens: list[int]) -> None:
+        here, postings = len(self.words), self.at.setdefault(self.place(tokens), {})
         for k in range(len(word) - Q + 1):
-            self.postings[word[k : k + Q], k].append(len(self.words))
+            if (found := postings.get((word[k : k + Q], k))) is None:
+                postings[word[k : k + Q], k] = [here]
+            else:
+                found.append(here)
         self.words.append((word, n, tokens))
 
-    def near(self, word: str, tokens: list[int]) -> Iterator[tuple[str, int]]:
-        """Words of the index one edit from ``word``, which is as long as they are or one shorter; of its own length those after it."""
-        shorter = len(word) < self.size
-        lists = []
-        for k in range(len(word) - Q + 1):
-            gram = word[k : k + Q]
-            for at in (k, k + 1) if shorter else (k,):
-                if (found := self.postings.get((gram, at))) is not None:
-                    lists.append(found)
-        least = self.size - 2 * Q + 1  # grams that one edit of the longer word leaves
-        if len(lists) < least:
-            return
-        for k, run in groupby(heapq.merge(*lists)):
-            if sum(1 for _ in run) < least:
-                continue
-            other, n, theirs = self.words[k]
-            # a pair counts in the cell of the first gram that both came with
-            if (shorter or word < other) and next(t for t in tokens if t in theirs) == self.token and one_edit(word, other):
-                yield other, n
+    def near(self, word: str, tokens: list[int], after: bool = False) -> list[tuple[str, int]]:
+        """Words of the index one edit from ``word``, which is as long as they are or one shorter; with ``after`` those after it."""
+        shorter, place = len(word) < self.size, self.place(tokens)
+        places = list(self.at) if not place else (place, 0, place + 1) if shorter else (place, 0)
+        grams, out = None, []
+        for there in places:
+            if (postings := self.at.get(there)) is not None:
+                grams = grams or [word[k : k + Q] for k in range(len(word) - Q + 1)]
+                # how far the rare gram has moved tells how far those on one side of it have
+                moved = there - place if shorter and there and place else None
+                for k in self._often(grams, postings, shorter, place - 1, moved):
+                    other, n, theirs = self.words[k]
+                    if (not after or word < other) and word != other and one_edit(word, other) and first_shared(tokens, theirs, shorter) == self.token:
+                        out.append((other, n))
+        return out
+
+    def _often(self, grams: list[str], postings: dict, shorter: bool, place: int, moved: int | None) -> list[int]:
+        """The words that share as many grams as one edit of the longer word leaves, at places that it can bring about."""
+        least = self.size - 2 * Q + 1
+        lists, missing = [], len(grams) - least
+        for k, gram in enumerate(grams):
+            found = postings.get((gram, k)) if moved != 1 or k < place else None
+            if shorter and (moved != 0 or k > place) and (later := postings.get((gram, k + 1))) is not None:
+                found = later if found is None else list(heapq.merge(found, later))
+            if found is not None:
+                lists.append(found)
+            elif missing:
+                missing -= 1
+            else:
+                return []
+        # whoever is in so many lists is in one of all but so many of them: a heap merges the shortest, the others are searched
+        lists.sort(key=len)
+        short, long = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
+        counted: list[list[int]] = []
+        for k in heapq.merge(*short) if len(short) > 1 else short[0]:
+            if counted and counted[-1][0] == k:
+                counted[-1][1] += 1
+            else:
+                counted.append([k, 1])
+        out = []
+        for k, count in counted:
+            for tried, others in enumerate(long):
+                if count + len(long) - tried < least:
+                    break
+                at = bisect_left(others, k)
+                count += at < len(others) and others[at] == k
+            if count >= least:
+                out.append(k)
+        return out
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the cells of a partition: a cell's words come first, sides 0 and 1, then those that only ask, side 2."""
+    """Pairs of the cells of a partition. Of a cell's rows those that are only looked for come first (side 0), then those that look among the ones before them too (1), then those that only look (2; 3: they are in the index as well)."""
     out: list[tuple] = []
 
-    def asked(cell: Cell, word: str, n: int, tokens: list[int]) -> None:
-        out.extend((word, n, other, m) for other, m in cell.near(word, tokens))
-
     def flushed() -> pa.RecordBatch:
         columns = list(zip(*out)) or [()] * 4
         batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64()) * 2)], names=["a", "a_n", "b", "b_n"])
         out.clear()
         return batch
 
-    key, cell, own = None, None, []
+    key, cell = None, None
     for batch in batches:
-        for token, size, part, side, word, n, tokens in zip(*(batch.column(c).to_pylist() for c in range(7))):
+        offsets, flat = batch.column(6).offsets.to_pylist(), batch.column(6).values.to_pylist()
+        for i, (token, size, part, side, word, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
             if (token, size, part) != key:
-                for mine in own:
-                    asked(cell, *mine)
-                key, cell, own = (token, size, part), Cell(token, size), []
+                key, cell = (token, size, part), Cell(token, size)
+            tokens = flat[offsets[i] : offsets[i + 1]]
+            if side and cell.words:
+                for other, m in cell.near(word, tokens, side == 3):
+                    out.append((word, n, other, m))
             if side < 2:
                 cell.add(word, n, tokens)
-                if side:
-                    own.append((word, n, tokens))
-                continue
-            if cell.words:
-                asked(cell, word, n, tokens)
             if len(out) > 1 << 14:
                 yield flushed()
-    for mine in own:
-        asked(cell, *mine)
     yield flushed()
 
 
@@ -153,23 +203,26 @@ def near_words(words: DataFrame) -> DataFrame:
             order = np.lexsort((r, word))
             first = np.searchsorted(word, np.arange(len(some)))
             place = np.arange(len(word)) - first[word[order]]
-            word, r = word[order][place <= Q], r[order][place <= Q]
+            word, r, where = word[order], r[order].astype(np.int64), (order - first[word[order]]) + 1
             new = np.append(True, (word[1:] != word[:-1]) | (r[1:] != r[:-1])) if len(word) else np.zeros(0, bool)
-            word, r = word[new], r[new]
-            offsets = np.searchsorted(word, np.arange(len(some) + 1)).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(r.astype(np.int32)))
+            again = np.append(~new[1:], False) if len(word) else new
+            code, kept = r << 32 | np.where(again, 0, where), new & (place <= Q)
+            offsets = np.searchsorted(word[kept], np.arange(len(some) + 1)).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(code[kept]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], names=["word", "n", "tokens"])
 
-    sized = stored(words.select("word", "n").mapInArrow(rarest, "word string, n long, tokens array<int>").withColumn("size", F.length("word")), "grams")
-    dealt = sized.select("word", "n", "tokens", "size", F.explode("tokens").alias("token"))
-    ways = F.array(F.struct(F.col("size").alias("size"), F.lit(1).alias("side")), F.struct((F.col("size") + 1).alias("size"), F.lit(2).alias("side")))
-    dealt = dealt.select("word", "n", "tokens", "token", F.explode(ways).alias("to")).select("word", "n", "tokens", "token", "to.size", "to.side")
+    sized = stored(words.select("word", "n").mapInArrow(rarest, "word string, n long, tokens array<long>").withColumn("size", F.length("word")), "grams")
+    # each word to the cells of its own length; and to those of the next, for which one rare gram less will do
+    own = F.transform("tokens", lambda t: F.struct(F.shiftright(t, 32).cast("int").alias("token"), F.col("size").alias("size"), F.lit(1).alias("side")))
+    asks = F.transform(F.slice("tokens", 1, Q), lambda t: F.struct(F.shiftright(t, 32).cast("int").alias("token"), (F.col("size") + 1).alias("size"), F.lit(2).alias("side")))
+    dealt = sized.select("word", "n", "tokens", F.explode(F.concat(own, asks)).alias("to")).select("word", "n", "tokens", "to.token", "to.size", "to.side")
     large = dealt.where("side = 1").groupBy("token", "size").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > PART_WORDS)
     large = stored(large.select("token", "size", F.ceil(F.col("many") / PART_WORDS).cast("int").alias("parts")), "large-cells")
     if large.limit(1).count():
         # a large cell's words are dealt to parts, and ask in all of them
         dealt = dealt.join(large, ["token", "size"], "left")
-        all_parts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(2).alias("side")))
+        asks = F.when(F.col("side") == 1, 3).otherwise(2)
+        all_parts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), asks.alias("side")))
         mine = F.array(F.struct(F.pmod(F.xxhash64("word"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side")))
         whole = F.array(F.struct(F.lit(0).alias("part"), F.col("side")))
         to = F.when(F.col("parts").isNull(), whole).when(F.col("side") == 1, F.concat(mine, all_parts)).otherwise(all_parts)
