@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .functions import html
 from .queries import QUARK, _quark, query
-from .sources import captured, federation, pages
-from .sources.adapters import table
+from .sources import captured, federation, pages, table_function
+from .sources.adapters import records, sql, table
 
 
 def _joined(*parts):
@@ -174,3 +174,24 @@ def federated_sources(spark, sf_dir):
     none = [F.lit("").alias(c) for c in ("link_type", "url", "password")]
     return rows.unionByName(warnings.select(F.lit("warning").alias("unique_id"), F.concat_ws(" ", "message", "source").alias("title"), *none))
 
+
+
+@query(sql("records") + """, found AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY unique_id) AS position FROM records
+  WHERE source IS NOT NULL AND ((contains(lower(title), 'the') OR contains(lower(content), 'the')) AND (contains(lower(title), 'and') OR contains(lower(content), 'and')) OR contains(lower(title), 'der') OR contains(lower(content), 'der')))
+SELECT unique_id, title, CAST(position AS INTEGER) AS position, url AS link_url, password AS link_password FROM found WHERE position <= 40""")
+def search_function(spark, sf_dir):
+    """The table function with options that change its columns and how its rows are dealt."""
+    table_function.register(spark)
+    records(spark, sf_dir).where("source is not null").createOrReplaceTempView("tessel_records")
+    out = spark.sql("""SELECT * FROM search_records(TABLE(tessel_records), 'The and', '{"links": true, "position": true, "limit": 40, "title_en": "der"}')""")
+    return out.drop("link_type")
+
+
+@query("""WITH t AS (SELECT c_custkey, lower(c_name || ' ' || c_mktsegment || ' of ' || c_mktsegment) AS term FROM customer),
+w AS (SELECT DISTINCT c_custkey, unnest(regexp_split_to_array(term, '\\s+')) AS word FROM t)
+SELECT c_custkey, word, row_number() OVER (PARTITION BY c_custkey ORDER BY length(word) DESC, word) AS place FROM w WHERE length(word) >= 3""")
+def search_function_lateral(spark, sf_dir):
+    """The table function beside each row of another table."""
+    table_function.register(spark)
+    table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name || ' ' || c_mktsegment || ' of ' || c_mktsegment AS term").createOrReplaceTempView("tessel_terms")
+    return spark.sql("SELECT c_custkey, word, place FROM tessel_terms, LATERAL search_variants(term, 3)")
