@@ -196,16 +196,20 @@ class Captured(DataSource):
         return ChannelStream(self.options["path"])
 
 
-def capture(payloads: DataFrame, name: str) -> str:
-    """Writes payloads (source, url, payload) as a capture in the folder that driver and executors share; gives its path."""
-    spark = payloads.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; a local session that has none gets one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="tessel-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessel-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def capture(payloads: DataFrame, name: str) -> str:
+    """Writes payloads (source, url, payload) as a capture in the shared folder; gives its path."""
+    path = shared_path(payloads.sparkSession, name)
     payloads.select("source", "url", "payload").write.partitionBy("source").parquet(path)
     return path
 
