@@ -39,7 +39,7 @@ def terms_store(spark: SparkSession, path: str, buckets: int = 16) -> Store:
 
 
 @query("""WITH t AS (SELECT trim(event_type || ' ' || coalesce(json_extract_string(props, '$.k'), '')) AS term, ts FROM events),
-c AS (SELECT term, count(*) AS score, epoch_ms(max(ts)) AS last_ms, epoch_ms(min(ts)) AS created_ms FROM t WHERE length(term) BETWEEN 1 AND 20 GROUP BY term)
+c AS (SELECT term, count(*) AS score, epoch_us(max(ts)) // 1000 AS last_ms, epoch_us(min(ts)) // 1000 AS created_ms FROM t WHERE length(term) BETWEEN 1 AND 20 GROUP BY term)
 SELECT term, score, last_ms, created_ms FROM c WHERE term <> (SELECT min(term) FROM c)
 UNION ALL SELECT 'migrated', 7, 0, 0 UNION ALL SELECT 'deleted', 1, 0, 0""")
 def keyed_terms(spark, sf_dir):
