@@ -318,106 +318,6 @@ def _worker(raw) -> Worker:
     return held(("bpe", hash(raw.value)), lambda: Worker(Bpe.from_json(raw.value)))
 
 
-def runs(self, words: list[str]) -> Iterator[list[str]]:
-        """Words in runs of bounded bytes."""
-        run, size = [], 0
-        for w in words:
-            run.append(w)
-            size += 4 * len(w)
-            if size > MERGE_BYTES:
-                yield run
-                run, size = [], 0
-        if run:
-            yield run
-
-
-class Worker:
-    """Digests texts: texts are cut into pieces, distinct pieces into words, and distinct words are merged, or remembered."""
-
-    def __init__(self, bpe: Bpe):
-        self.bpe, self.store = bpe, Store(bpe)
-
-    def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """(pieces of all texts, none empty, number of pieces of each text): cut before each space or line end that stands alone."""
-        runs_of = pc.match_substring_regex(texts, RUN_OF_SPACE).to_numpy(zero_copy_only=False)
-        cut = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n")
-        if runs_of.any():
-            cut = pc.if_else(pa.array(runs_of), pa.array([ALONE.sub(CUT + r"\1", t) if r else None for t, r in zip(texts.to_pylist(), runs_of)], texts.type), cut)
-        listed = pc.split_pattern(cut, CUT)
-        stops = pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False)
-        for s in self.bpe.special:
-            stops = stops | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        if stops.any():  # as words
-            listed = pc.if_else(pa.array(stops), pa.array([self.bpe.split(t) if s else None for t, s in zip(texts.to_pylist(), stops)], listed.type), listed)
-        return unlisted(listed)
-
-    def words(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """(words of all pieces, number of words of each piece)."""
-        plain = pc.match_substring_regex(pieces, PLAIN)
-        for s in self.bpe.special:
-            plain = pc.and_not(plain, pc.match_substring(pieces, s))
-        listed = pc.split_pattern(pc.replace_substring_regex(pieces, PLAIN_WORD, r"\0" + CUT), CUT)
-        if not pc.all(plain).as_py():
-            listed = pc.if_else(plain, listed, pa.array([None if p else self.bpe.split(t) for t, p in zip(pieces.to_pylist(), plain.to_pylist())], listed.type))
-        return unlisted(listed)
-
-    def digest(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
-        """(numbers of ids, hex digests of the ids joined by commas, hex digests of the decoded texts)."""
-        flat, n = self.pieces(pc.fill_null(texts, "").cast(pa.large_string()))
-        coded = flat.dictionary_encode()
-        words, n_words = self.words(coded.dictionary)
-        coded_words = words.dictionary_encode()
-        ids, n_ids = self.store.find(coded_words.dictionary.to_pylist())
-        of_word = coded_words.indices.to_numpy()
-        piece_ids = ids[ragged((np.cumsum(n_ids) - n_ids)[of_word], n_ids[of_word])]
-        upto = np.concatenate([[0], np.cumsum(n_ids[of_word])])[np.concatenate([[0], np.cumsum(n_words)])]
-        begin, size, code = upto[:-1], np.diff(upto), coded.indices.to_numpy()
-        hashes, back = [hashlib.sha256() for _ in n], [hashlib.sha256() for _ in n]
-        total, ends = np.zeros(len(n), np.int64), np.cumsum(n)
-        for a in range(0, len(code), BLOCK_PIECES):
-            b = min(len(code), a + BLOCK_PIECES)
-            some = code[a:b]
-            ids = piece_ids[ragged(begin[some], size[some])]
-            first, last = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left")
-            cuts = np.concatenate([[0], np.cumsum(size[some])])[np.concatenate([[0], ends[first:last] - a, [b - a]])]
-            shown, shown_at = laid_out(self.bpe.decimal, ids)
-            raw, raw_at = laid_out(self.bpe.raw, ids)
-            for k, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist()), int(first)):
-                if i < j:
-                    hashes[k].update(shown[shown_at[i] : shown_at[j] - (b >= ends[k])])  # no comma after the last
-                    back[k].update(bytes(raw[raw_at[i] : raw_at[j]]).decode("utf-8", "replace").encode())
-                    total[k] += j - i
-        return total, [h.hexdigest() for h in hashes], [h.hexdigest() for h in back]
-
-    def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for t in texts:
-            yield self.bpe.encode_words(self.bpe.split(t))[0] if t else np.zeros(0, np.int64)
-
-
-def unlisted(listed: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(the strings of all lists that are not empty, how many each list has)."""
-    flat, of = pc.list_flatten(listed), pc.list_parent_indices(listed)
-    full = pc.greater(pc.binary_length(flat), 0)
-    return flat.filter(full), np.bincount(of.filter(full).to_numpy(), minlength=len(listed))
-
-
-def vocabulary(spark: SparkSession, path: str):
-    """The vocabulary file, read on the driver and broadcast: its size is that of the vocabulary, whatever the input."""
-    with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
-
-
-_workers: dict[int, Worker] = {}
-
-
-def _worker(raw) -> Worker:
-    key = hash(raw.value)
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Worker(Bpe.from_json(raw.value))
-    return _workers[key]
-
-
 def runs(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``most`` bytes of text, so that long texts don't add up; memory that Arrow holds back goes at the end."""
     for batch in batches:
