@@ -11,6 +11,7 @@ import functools
 import html
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import tokens
 from .bpe import runs
 from .common import small_batches
 
@@ -32,26 +34,34 @@ ENDS = {
     "tbody": ("tbody thead tfoot tr td th caption", "table"), "thead": ("tbody thead tfoot tr td th caption", "table"), "tfoot": ("tbody thead tfoot tr td th caption", "table"),
 }
 ENDS = {tag: (frozenset(closed.split()), frozenset(until.split())) for tag, (closed, until) in ENDS.items()}
-ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
-#: Comments (one that is left open runs to the end), scripts and styles with their text, declarations, and tags.
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b{ATTRIBUTES}(?:(?<=/)>(?!.*</\1)|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES})/?>", re.S | re.I)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements whose text no reader sees; elements whose class words say nothing about a part of the page.
+UNSEEN, WHOLE = frozenset("script style iframe noembed noframes".split()), frozenset(("html", "body"))
+#: Share of a page's text from which an element that holds a main heading, or any where there is none, is around the page rather than a part of it.
+AROUND, AROUND_HEADLESS = 0.3, 0.6
 
 
-@dataclass(slots=True, frozen=True)
 class Node:
-    """An open element, with what holds for all elements from the root to it."""
+    """An open element, with what holds for all elements from the root to it. Of those around the page only the tags count, and apart: their class words tell of layouts."""
 
-    tag: str
-    tags: frozenset = frozenset()
-    names: frozenset = frozenset()  # words of classes, ids and roles
-    inner: frozenset | None = None  # tags inside the nearest article or main, if there is one
+    __slots__ = ("tag", "parent", "own", "chars", "heads", "tags", "names", "around", "inner")
 
-    def opened(self, tag: str, attributes: str) -> Node:
-        names = frozenset(w.lower() for found in NAMES.findall(attributes) for w in WORDS.findall("".join(found)))
-        inner = frozenset() if tag in ("article", "main") else self.inner if self.inner is None or tag in self.inner else self.inner | {tag}
-        return Node(tag, self.tags if tag in self.tags else self.tags | {tag}, self.names | names if names else self.names, inner)
+    def __init__(self, tag: str, parent: Node | None, attributes: dict):
+        self.tag, self.parent, self.chars, self.heads = tag, parent, 0, tag == "h1"
+        said = "" if tag in WHOLE else " ".join(attributes.get(a, "") for a in ("class", "id", "role"))
+        self.own = frozenset(w.lower() for w in WORDS.findall(said)) if said else frozenset()
+        self.tags = self.names = self.around = frozenset()
+        self.inner = None
+
+    def place(self, total: int, headed: bool) -> None:
+        """Sets what holds from the root on; parents come first, and children have been added up."""
+        up, none = self.parent, frozenset()
+        up_tags, up_names, up_around, up_inner = (up.tags, up.names, up.around, up.inner) if up else (none, none, none, None)
+        holds = self.chars >= AROUND * total if self.heads and headed else not headed and self.chars >= AROUND_HEADLESS * total
+        more = lambda known, new: known if new <= known else known | new
+        one = frozenset((self.tag,))
+        self.tags, self.names, self.around = (up_tags, up_names, more(up_around, one)) if holds and total else (more(up_tags, one), more(up_names, self.own), up_around)
+        self.inner = none if self.tag in ("article", "main") else up_inner if up_inner is None else more(up_inner, one)
 
 
 @dataclass(slots=True)
@@ -63,14 +73,9 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order. Inline tags count as nothing, line breaks as white space; scripts, styles, comments and attributes are no text, all else is. Ends of elements that HTML lets out are implied."""
-    out, stack, run, linked, in_link, at = [], [Node("")], [], 0, 0, 0
-
-    def text(raw):
-        nonlocal linked
-        if raw:
-            run.append(html.unescape(raw))
-            if in_link:
-                linked += len(raw)
+    out, run, linked, in_link = [], [], 0, 0
+    root = Node("", None, {})
+    stack, nodes, depths, unseen = [root], [root], defaultdict(list), False
 
     def close():
         nonlocal linked
@@ -78,39 +83,51 @@ def blocks(page: str) -> list[Block]:
             said = " ".join("".join(run).split())
             if said:
                 out.append(Block(said, stack[-1], linked))
+                stack[-1].chars += len(said)
             run.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+    def cut(depth):
+        while len(stack) > depth:
+            depths[stack.pop().tag].pop()
+
+    for kind, tag, attributes in tokens(page):
+        if kind == "text":
+            if not unseen:
+                run.append(html.unescape(tag))
+                if in_link:
+                    linked += len(tag)
+            continue
+        if tag in UNSEEN:
+            unseen = kind == "open"
             continue
         if tag == "a":
-            in_link = max(0, in_link + (-1 if m[2] else 1))
+            in_link = max(0, in_link + (1 if kind == "open" else -1))
         if tag == "br":
             run.append(" ")
         if tag not in BLOCKS:
             continue
         close()
-        if m[2]:
-            if tag in stack[-1].tags:
-                while stack.pop().tag != tag:
-                    pass
+        if kind == "close":
+            if depths[tag]:
+                cut(depths[tag][-1])
         elif tag not in VOID:
             if stack[-1].tag == "p":
-                stack.pop()
+                cut(len(stack) - 1)
             if tag in ENDS:
                 closed, until = ENDS[tag]
-                depth = len(stack)
-                while stack[depth - 1].tag not in until and depth > 1:
-                    depth -= 1
-                    if stack[depth].tag in closed:
-                        del stack[depth:]
-            stack.append(stack[-1].opened(tag, m[4]))
-    text(page[at:])
+                stop = max((depths[t][-1] for t in until if depths[t]), default=0)
+                while (at := max((depths[t][-1] for t in closed if depths[t]), default=0)) > stop:
+                    cut(at)
+            depths[tag].append(len(stack))
+            nodes.append(Node(tag, stack[-1], attributes))
+            stack.append(nodes[-1])
     close()
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.heads |= node.heads
+    for node in nodes:
+        node.place(root.chars, root.heads)
     return out
 
 
@@ -121,6 +138,7 @@ def features(found: list[Block]) -> list[list[str]]:
         n, words, node = len(b.text), b.text.count(" ") + 1, b.node
         f = ["bias", "own=" + node.tag, f"length={min(6, n.bit_length() - 3)}", f"links={min(3, 4 * b.linked // max(1, n))}"]
         f += ["in=" + t for t in node.tags] + ["name=" + w for w in node.names]
+        f += ["around=" + t for t in node.around]
         f += ["sentence" if b.text[-1] in ".!?…。\"”»" else "no stop", "comma" if "," in b.text else "no comma"]
         f += ["©"] if "©" in b.text or "(c)" in b.text.lower() else []
         f += ["few words"] if words < 5 else []
@@ -140,8 +158,10 @@ LAYOUT = {
     "advert": ('div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="promo"', 'div class="sponsored"', 'aside class="advertisement"', 'div id="banner"', 'div class="banner"', 'div class="sponsor"', 'ins class="adsbygoogle"><div class="ad-slot"', 'div class="promotion"', 'section class="ad"', 'p class="ad"'),
     "notice": ('div class="cookie"', 'div class="cookie-notice"', 'div class="notice"', 'div class="consent"', 'div role="alert"', 'div class="newsletter"', "dialog", 'div class="popup"', 'div class="subscribe"', 'div class="alert"', 'div class="gdpr"', 'div class="modal"', 'div class="overlay"', 'div id="cookie-banner"', 'div class="paywall"', 'div role="dialog"', 'p class="notice"'),
     "form": ("form", 'form class="search"', 'form id="login"', 'form class="signup"', 'div class="search"><form', "form><fieldset"),
-    "comments": ('section class="comments"', 'div id="comments"', 'div class="comment-list"', 'ol class="comments"', 'div class="responses"', 'div class="comment"', 'div id="disqus"', 'div class="replies"', 'section id="discussion"', 'div class="feedback"', 'ul class="comments"'),
+    "comments": ('div id="respond"', 'div id="respond"><ol', 'div class="commentlist"', 'ol class="comment-list"', 'section class="reader-comments"', 'div class="discussion"', 'section class="comments"', 'div id="comments"', 'div class="comment-list"', 'ol class="comments"', 'div class="responses"', 'div class="comment"', 'div id="disqus"', 'div class="replies"', 'section id="discussion"', 'div class="feedback"', 'ul class="comments"'),
     "foot": ("footer", 'div class="footer"', 'div id="footer"', 'div class="copyright"', 'div role="contentinfo"', 'footer class="site-footer"', 'div class="legal"', 'div id="colophon"'),
+    "misled": ('div class="has-{}"', 'div class="no-{}"', 'div class="with-{} {}"', 'section class="{}-story"', 'div class="{}-free"', 'div class="{}-open"', 'div class="{}-enabled"', 'div class="content-{}-wrap"', 'div class="{}-main"', 'div class="js-{} {}-wrapper"', 'div id="{}-page"', "form", 'form id="{}-form"'),
+    "word": ("sidebar", "comment", "comments", "header", "ad", "ads", "related", "cookie", "share", "nav", "menu", "footer", "widget", "promo", "search", "social", "tags", "popup", "banner", "notice", "trending", "sponsor", "newsletter", "modal", "more", "side", "top"),
     "share": ('div class="share"', 'ul class="social"', 'div class="tags"', 'p class="byline"'),
 }
 
@@ -168,15 +188,16 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
 
     def wrap(kind, fill):
         tag = rng.choice(LAYOUT[kind])
-        while "{}" in tag:  # a name that tells nothing
-            tag = tag.replace("{}", "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(3, 9))), 1)
+        while "{}" in tag:  # a name that tells nothing, or a wrong one
+            tag = tag.replace("{}", rng.choice(LAYOUT["word"]) if kind == "misled" else "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(3, 9))), 1)
         parts.append(f"<{tag}>" if tag else "")
         fill()
         parts.append("".join(f"</{t.split()[0]}>" for t in reversed(tag.split("><"))) if tag else "")
 
-    def wrapped(most, fill):
+    def wrapped(most, fill, around=False):
+        """Inside some elements that tell nothing; those around the whole text may even mislead."""
         if most and rng.random() < 0.5:
-            wrap("any", lambda: wrapped(most - 1, fill))
+            wrap("misled" if around and rng.random() < 0.25 else "any", lambda: wrapped(most - 1, fill, around))
         else:
             fill()
 
@@ -253,6 +274,12 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
             put(f"<header>{head}</header>" if rng.random() < 0.08 and "".join(parts[-1:])[:8] in ("<article", "<main>") else head, True)
         if rng.random() < 0.15:
             wrap("share", lambda: links(2) if rng.random() < 0.5 else boiler())
+        if rng.random() < 0.06:  # an article that is a list
+            tag = rng.choice(["ul", "ol"])
+            parts.append(f"<{tag}>")
+            for _ in range(rng.randint(3, 9)):
+                put(f"<li>{rng.choice(['', words(1, 3) + ': '])}" + rng.choice([f'<a href="/{words(1, 1)}">{words(1, 6)}</a>', f'{sentence(2, 9)} <a href="/x">{words(1, 4)}</a> {words(0, 3)}', sentence(3, 14)]) + rng.choice(["", "</li>"]), True)
+            parts.append(f"</{tag}>")
         for _ in range(rng.randint(1, 7)):
             if rng.random() < 0.2:
                 wrap("any", lambda: [piece() for _ in range(rng.randint(1, 4))])
@@ -281,7 +308,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
     if rng.random() < 0.25:
         wrapped(1, lambda: wrap("side", lambda: [boiler() for _ in range(rng.randint(1, 3))]))
     if rng.random() < 0.97:
-        wrapped(3, lambda: wrap("main", lambda: wrapped(2, body)))
+        wrapped(3, lambda: wrap("main", lambda: wrapped(2, body, True)), True)
     for kind, share in (("advert", 0.3), ("comments", 0.4), ("side", 0.4), ("notice", 0.2), ("form", 0.2)):
         if rng.random() < share:
             fill = fields if kind == "form" else lambda kind=kind: [boiler() for _ in range(rng.randint(1, 4))] if rng.random() < 0.7 or kind != "side" else links(4)
