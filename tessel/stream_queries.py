@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import trending
+from .operators import metrics, trending
 from .operators.store import Store
-from .queries import COMPLETE, query
-from .sources.adapters import duplicated_records, search_log, sql
+from .queries import COMPLETE, DAY, SQL, query
+from .sources.adapters import attempts, duplicated_records, search_log, sql, table
 from .sources.captured import shared_path
-from .streaming import upserts
+from .streaming import upserts, windows
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -68,3 +68,19 @@ def survivors_streamed(spark, sf_dir):
     store = Store(spark, shared_path(spark, "survivors"), schema, "record_key", buckets=8)
     _streamed(duplicated_records(spark, sf_dir), upserts.survivors_stream, upserts.changes_into(store), 3)
     return store.rows().select("record_key", "arrival_seq", "completeness", "first_side", "first_seq", F.get_json_object("record", "$.title").alias("title"))
+
+
+@query(SQL["rate_limit_anchored"])
+def rate_limit_jumps(spark, sf_dir):
+    """The anchored rate limit by pointer doubling, in native columns."""
+    return windows.rate_limited(attempts(spark, sf_dir), 3, DAY, DAY)
+
+
+@query("SELECT o_orderpriority AS source, count(*) AS rows, count(*) FILTER (WHERE o_orderstatus = 'F') AS failures FROM orders GROUP BY ROLLUP (o_orderpriority)")
+def observed_counts(spark, sf_dir):
+    """Rows and failures of each source as one pass over the orders tells them."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), "o_orderstatus")
+    names = sorted(r[0] for r in orders.distinct().select("source").distinct().collect())
+    watched = metrics.Watched(orders, names, F.col("o_orderstatus") == "F")
+    watched.rows.write.format("noop").mode("overwrite").save()
+    return watched.counts(spark)
