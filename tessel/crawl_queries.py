@@ -79,15 +79,15 @@ def searched_sources(spark, sf_dir):
     return found.select("unique_id", "title", "content", "datetime", F.explode("links").alias("l")).select("unique_id", "title", "content", "datetime", "l.url", "l.password")
 
 
-@query(f"""SELECT doc_id, 0 AS at, 'Outer ' || doc_id AS title, ['Inner', 'x' || doc_id % 3] AS parts, [{QUARK}, 'https://example.org/' || doc_id] AS hrefs FROM documents
-UNION ALL SELECT doc_id, 1, 'Inner', ['x' || doc_id % 3], [{QUARK}] FROM documents""")
+@query(f"""SELECT doc_id, 0 AS at, 'Outer ' || doc_id AS title, 'Inner|x' || doc_id % 3 AS parts, {QUARK} || '|https://example.org/' || doc_id AS hrefs FROM documents
+UNION ALL SELECT doc_id, 1, 'Inner', 'x' || doc_id % 3, {QUARK} FROM documents""")
 def nested_cards(spark, sf_dir):
     """Cards inside cards: what is in the inner one is in both."""
     n = F.col("doc_id").cast("string")
     page = _joined('<div class="list card-box"><section class="big card"><h3>Outer ', n, '</h3><ul><li><div class="card"><h3>Inner</h3><p class="sub">x', (F.col("doc_id") % 3).cast("string"), '<a href="', _quark(), '">a</a></div><li><a href="https://example.org/', n, '">b</a><p>none</ul></section><h3>out</h3><p class="sub">out</p></div>')
     cards = html.select(table(spark, sf_dir, "documents").select("doc_id", page.alias("html")), "html", {"card": "div .card", "h3": "h3", "sub": "section p.sub", "link": "li a[href]"}, "card")
     parts = F.concat(F.transform(F.slice(html.of("h3"), 2, 9), lambda e: e["text"]), F.transform(html.of("sub"), lambda e: F.replace(e["text"], F.lit("a"), F.lit(""))))
-    return cards.select("doc_id", "at", html.text_of("h3").alias("title"), parts.alias("parts"), F.transform(html.of("link"), lambda e: e["attrs"]["href"]).alias("hrefs"))
+    return cards.select("doc_id", "at", html.text_of("h3").alias("title"), F.array_join(parts, "|").alias("parts"), F.array_join(F.transform(html.of("link"), lambda e: e["attrs"]["href"]), "|").alias("hrefs"))
 
 
 @query("""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS menu FROM pages)
