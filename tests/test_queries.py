@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessel import queries
+from tessel import crawl_queries, queries, stream_queries  # noqa: F401  (the others add their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
