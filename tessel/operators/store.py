@@ -61,7 +61,8 @@ class Store:
             typed = [F.col(f.name).cast(f.dataType) for f in old.schema]
             kept.unionByName(empty, allowMissingColumns=True).select(*typed).write.mode("overwrite").parquet(f"{staged}/rows")
         rows = self.spark.read.schema(self.schema + ", bucket int").parquet(f"{staged}/rows")
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        # few files a bucket, but a large bucket is written by several tasks
+        rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
         self.spark.range(1).write.mode("overwrite").parquet(f"{staged}/applied")
 
     def upsert(self, batch: DataFrame, name: str | None = None) -> None:

@@ -15,16 +15,17 @@ from .streaming import upserts, windows
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _streamed(df: DataFrame, make, sink, files: int) -> None:
-    """Runs a stream over the rows of ``df``, dealt to so many files, a file a batch."""
+def _streamed(df: DataFrame, make, sink, batches: int) -> None:
+    """Runs a stream over the rows of ``df`` in so many batches, each of as many files as keep a file no larger than a partition of ``df``."""
     spark = df.sparkSession
     at = shared_path(spark, "stream")
-    df.repartition(files).write.parquet(f"{at}/in")
+    files = -(-df.rdd.getNumPartitions() // batches)
+    df.repartition(batches * files).write.parquet(f"{at}/in")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKS)
     try:
-        source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
         make(source).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
     finally:
         spark.conf.set(key, before)

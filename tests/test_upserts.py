@@ -3,9 +3,11 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessel import stream_queries
 from tessel.operators import merge, trending
 from tessel.operators.store import Store
 from tessel.streaming import upserts
@@ -155,3 +157,30 @@ def test_trending_state_is_bounded_and_follows_the_rules(spark, tmp_path):
     got = {r["term"]: r["score"] for r in spark.read.parquet(str(tmp_path / "out")).where("term is not null").collect()}
     assert {t: got.get(t) for t in (*(f"hot{k}" for k in range(5)), "early")} == {**{f"hot{k}": 4 * (3 + k) for k in range(5)}, "early": None}
     assert all(t.startswith(("hot", "n12-", "n5-")) for t in got)
+
+
+def test_batches_are_dealt_to_files_that_follow_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "shared_path", lambda spark, name: str(tmp_path / name))
+    seen = []
+    stream_queries._streamed(spark.range(0, 1000, 1, 8), lambda source: source, lambda batch, number: seen.append(batch.count()), 3)
+    files = list(tmp_path.glob("stream/in/*.parquet"))
+    assert len(seen) == 3 and sum(seen) == 1000
+    assert len(files) == 9 and max(len(pd.read_parquet(f)) for f in files) < 200
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    small = {key: "32k", "spark.sql.files.maxPartitionBytes": "32k", "spark.sql.files.openCostInBytes": "1k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        store = Store(spark, str(tmp_path / "s"), "k string, v string", "k", buckets=2)
+        frame = spark.range(0, 8000, 1, 8).select(F.col("id").cast("string").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("v"))
+        store.upsert(frame)
+        store.upsert(frame.where("k < '5'").withColumn("v", F.lit("new")))
+        got = {r["k"]: r["v"] for r in store.rows().collect()}
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert got == {r["k"]: "new" if r["k"] < "5" else r["v"] for r in frame.collect()}
+    assert all(len(list((tmp_path / "s").glob(f"bucket={b}/*.parquet"))) > 1 for b in range(2))
