@@ -2,14 +2,13 @@
 
 Words that differ by one edit share all q-grams but the q that the edit touches, at positions that differ by one at most,
 so that the rarest q + 1 grams of both have one in common. Words are dealt to cells by these grams and by length; a
-cell holds an index from (gram, position) to the words of its length, a heap merges the postings that a word of this
-length, or of one less, asks for, and words that come up often enough are compared.
+cell holds an index from (gram, position) to the words of its length; a word of this length, or of one less, reads the
+shortest of the postings that it asks for, all shared grams of the words there are counted, and those with enough of them
+are compared. Cells are looked through many at once, in sorted arrays.
 """
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,128 +61,170 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int32)), pa.array(total[gram])], names=["gram", "n"])
 
 
-def one_edit(short: str, long: str) -> bool:
-    """Whether two different words, the second as long or one longer, are one edit apart."""
-    same, half = len(short) == len(long), len(short) // 2
-    if short[half:] == long[len(long) - len(short) + half :]:  # the edit is in front
-        short, long = short[:half], long[: len(long) - len(short) + half]
-    elif short[:half] != long[:half]:
-        return False
-    for p, c in enumerate(short):
-        if c != long[p]:
-            return short[p + same :] == long[p + 1 :]
-    return True
-
-
 #: A word's rare grams are longs: the rank above, and below the place of the gram in the word from 1, or 0 if it stands there more than once.
 PLACE = (1 << 32) - 1
+#: Rows of cells that are looked through together, about, and candidates that are compared at once.
+CELL_ROWS, CANDIDATES = 1 << 13, 1 << 18
 
 
-def first_shared(tokens: list[int], others: list[int], shorter: bool) -> int:
-    """The rank of the first rare gram that two words share at places one edit can bring about."""
-    for t in tokens:
-        for o in others:
-            if t >> 32 == o >> 32:
-                a, b = t & PLACE, o & PLACE
-                if not a or not b or a == b or (shorter and b == a + 1):
-                    return t >> 32
-    return -1
+def _letters(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and grams of words of one length, a row each."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32).reshape(-1, size)
+    codes = np.where(codes >= LATIN, codes - LATIN + 26, codes - LOW)
+    return codes.astype(np.uint8), (codes[:, :-2] * LETTERS + codes[:, 1:-1]) * LETTERS + codes[:, 2:]
 
 
-class Cell:
-    """Inverted indexes of the words of one length that share a rare gram, one for each place of that gram."""
+def _expanded(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of all entries of the lists of each row."""
+    row = np.repeat(np.arange(len(n)), n.sum(axis=1))
+    start, n = start.ravel(), n.ravel()
+    return row, np.arange(len(row)) + np.repeat(start - np.cumsum(n) + n, n)
 
-    def __init__(self, token: int, size: int):
-        self.token, self.size, self.words, self.at = token, size, [], {}
 
-    def place(self, tokens: list[int]) -> int:
-        return next(t & PLACE for t in tokens if t >> 32 == self.token)
+def _compatible(a: np.ndarray, b: np.ndarray, shorter: bool) -> np.ndarray:
+    """Whether one edit can bring a gram from one place to another; any place, if a word has it more than once."""
+    fits = (a == 0) | (b == 0) | (a == b)
+    return fits | (b == a + 1) if shorter else fits
 
-    def add(self, word: str, n: int, tokens: list[int]) -> None:
-        here, postings = len(self.words), self.at.setdefault(self.place(tokens), {})
-        for k in range(len(word) - Q + 1):
-            if (found := postings.get((word[k : k + Q], k))) is None:
-                postings[word[k : k + Q], k] = [here]
-            else:
-                found.append(here)
-        self.words.append((word, n, tokens))
-
-    def near(self, word: str, tokens: list[int], after: bool = False) -> list[tuple[str, int]]:
-        """Words of the index one edit from ``word``, which is as long as they are or one shorter; with ``after`` those after it."""
-        shorter, place = len(word) < self.size, self.place(tokens)
-        places = list(self.at) if not place else (place, 0, place + 1) if shorter else (place, 0)
-        grams, out = None, []
-        for there in places:
-            if (postings := self.at.get(there)) is not None:
-                grams = grams or [word[k : k + Q] for k in range(len(word) - Q + 1)]
-                # how far the rare gram has moved tells how far those on one side of it have
-                moved = there - place if shorter and there and place else None
-                for k in self._often(grams, postings, shorter, place - 1, moved):
-                    other, n, theirs = self.words[k]
-                    if (not after or word < other) and word != other and one_edit(word, other) and first_shared(tokens, theirs, shorter) == self.token:
-                        out.append((other, n))
-        return out
-
-    def _often(self, grams: list[str], postings: dict, shorter: bool, place: int, moved: int | None) -> list[int]:
-        """The words that share as many grams as one edit of the longer word leaves, at places that it can bring about."""
+
+class Cells:
+    """An inverted index of the words of one length, from cell, gram and place to words, and what looks for words in it.
+
+    ``rows`` are token, size, part, side, word, n, tokens, sorted; all of one size.
+    """
+
+    def __init__(self, rows: pa.Table, size: int):
+        token, part, self.side = (rows.column(k).to_numpy() for k in (0, 2, 3))
+        self.size, self.token, self.words = size, token, rows.column(4)
+        self.cell = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (part[1:] != part[:-1]))).astype(np.int64)
+        listed = rows.column(6).combine_chunks()
+        offsets, flat = listed.offsets.to_numpy(), listed.values.to_numpy()
+        n = np.diff(offsets)
+        self.rare = np.full((len(n), Q + 1), -1, np.int64)
+        self.rare[np.repeat(np.arange(len(n)), n), np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], n)] = flat[offsets[0] : offsets[-1]]
+        here = self.rare >> 32 == token[:, None]
+        self.place = np.take_along_axis(self.rare, here.argmax(axis=1)[:, None], 1)[:, 0] & PLACE
+        self.index, self.grams_of = np.flatnonzero(self.side < 2), size - Q + 1
+        words = self.words.take(pa.array(self.index)).to_pylist()
+        self.letters, self.grams = _letters(words, size)
+        keys = self._keys(self.index, self.grams, 0).ravel()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        self.first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.known, self.n = keys[self.first], np.diff(np.append(self.first, len(keys)))
+        self.owner = order // self.grams_of
+        self.at = np.empty(len(order), np.int64)
+        self.at[order] = np.arange(len(order))
+        self.start = np.empty(len(order), np.int64)
+        self.start[order] = np.repeat(self.first, self.n)
+
+    def _keys(self, rows: np.ndarray, grams: np.ndarray, moved: int) -> np.ndarray:
+        return (self.cell[rows][:, None] * self.grams_of + np.arange(grams.shape[1]) + moved) * LETTERS**Q + grams
+
+    def _found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the postings of keys start, and how many they are."""
+        k = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return self.first[k], np.where(self.known[k] == keys, self.n[k], 0)
+
+    def near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row that looks, row it finds) of all pairs one edit apart that no other cell has."""
+        if not len(self.index):
+            return
+        mine = np.flatnonzero(self.side[self.index] == 1)
+        start = self.start.reshape(-1, self.grams_of)[mine]
+        yield from self._near(self.index[mine], self.letters[mine], self.grams[mine], start, self.at.reshape(-1, self.grams_of)[mine] - start)  # among those before
+        for side in (2, 3):
+            rows = np.flatnonzero(self.side == side)
+            if not len(rows):
+                continue
+            letters, grams = _letters(self.words.take(pa.array(rows)).to_pylist(), self.size - (side == 2))
+            start, n = self._found(self._keys(rows, grams, 0))
+            if side == 2:
+                later, more = self._found(self._keys(rows, grams, 1))
+                start, n = np.stack([start, later], 2), np.stack([n, more], 2)
+            yield from self._near(rows, letters, grams, start, n)
+
+    def _near(self, rows, letters, grams, start, n):
+        """A pair shares as many grams as one edit of the longer word leaves: so it is in one of the shortest lists of which that many less one are left out; all grams of those found there are counted."""
+        if not len(rows):
+            return
+        shorter = start.ndim == 3
         least = self.size - 2 * Q + 1
-        lists, missing = [], len(grams) - least
-        for k, gram in enumerate(grams):
-            found = postings.get((gram, k)) if moved != 1 or k < place else None
-            if shorter and (moved != 0 or k > place) and (later := postings.get((gram, k + 1))) is not None:
-                found = later if found is None else list(heapq.merge(found, later))
-            if found is not None:
-                lists.append(found)
-            elif missing:
-                missing -= 1
+        tried = min(grams.shape[1] - least + 1, grams.shape[1])
+        if tried < grams.shape[1]:
+            short = np.argpartition(n.sum(axis=2) if shorter else n, tried - 1, axis=1)[:, :tried]
+            short = short[:, :, None] if shorter else short
+            start, n = np.take_along_axis(start, short, 1), np.take_along_axis(n, short, 1)
+        start, n = start.reshape(len(rows), -1), n.reshape(len(rows), -1)
+        ends = np.cumsum(n.sum(axis=1))
+        i = 0
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CANDIDATES, "right")))
+            a, at = _expanded(start[i:j], n[i:j])
+            a, b, i = a + i, self.owner[at], j
+            fits = _compatible(self.place[rows[a]], self.place[self.index[b]], shorter)
+            a, b = a[fits], b[fits]
+            if shorter:
+                x, y = grams[a], self.grams[b]
+                shared = (x == y[:, :-1]) | (x == y[:, 1:])
             else:
-                return []
-        # whoever is in so many lists is in one of all but so many of them: a heap merges the shortest, the others are searched
-        lists.sort(key=len)
-        short, long = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
-        counted: list[list[int]] = []
-        for k in heapq.merge(*short) if len(short) > 1 else short[0]:
-            if counted and counted[-1][0] == k:
-                counted[-1][1] += 1
+                shared = grams[a] == self.grams[b]
+            often = shared.sum(axis=1) >= least
+            code = np.unique(a[often] * len(self.index) + b[often])
+            a, b = code // len(self.index), code % len(self.index)
+            x, y = letters[a], self.letters[b]
+            if shorter:
+                front, back = np.logical_and.accumulate(x == y[:, :-1], axis=1), np.logical_and.accumulate((x == y[:, 1:])[:, ::-1], axis=1)
+                near = front.sum(axis=1) + back.sum(axis=1) >= self.size - 1
             else:
-                counted.append([k, 1])
-        out = []
-        for k, count in counted:
-            for tried, others in enumerate(long):
-                if count + len(long) - tried < least:
-                    break
-                at = bisect_left(others, k)
-                count += at < len(others) and others[at] == k
-            if count >= least:
-                out.append(k)
-        return out
+                near = (x != y).sum(axis=1) == 1
+            a, b = rows[a[near]], self.index[b[near]]
+            first = self._first_shared(a, b, shorter)
+            if len(a) and self.side[a[0]] == 3:  # both are in the index, and look
+                after = np.array(self.words.take(pa.array(a)).to_pylist()) < np.array(self.words.take(pa.array(b)).to_pylist())
+                first &= after
+            yield a[first], b[first]
+
+    def _first_shared(self, a: np.ndarray, b: np.ndarray, shorter: bool) -> np.ndarray:
+        """Whether the gram of the cell is the first rare gram that two words share at places one edit can bring about."""
+        x, y = self.rare[a][:, :, None], self.rare[b][:, None, :]
+        both = ((x >> 32 == y >> 32) & (x >= 0) & _compatible(x & PLACE, y & PLACE, shorter)).any(axis=2)
+        at = np.take_along_axis(self.rare[a], both.argmax(axis=1)[:, None], 1)[:, 0] >> 32
+        return both.any(axis=1) & (at == self.token[a])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of the cells of a partition. Of a cell's rows those that are only looked for come first (side 0), then those that look among the ones before them too (1), then those that only look (2; 3: they are in the index as well)."""
-    out: list[tuple] = []
-
-    def flushed() -> pa.RecordBatch:
-        columns = list(zip(*out)) or [()] * 4
-        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64()) * 2)], names=["a", "a_n", "b", "b_n"])
-        out.clear()
-        return batch
 
-    key, cell = None, None
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sizes = rows.column(1).to_numpy()
+        bounds = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1), len(sizes)]
+        for at, end in zip(bounds[:-1], bounds[1:]):
+            some = rows.slice(at, end - at).combine_chunks()
+            for a, b in Cells(some, int(sizes[at])).near():
+                if len(a):
+                    columns = [some.column(k).take(pa.array(x)).combine_chunks() for x in (a, b) for k in (4, 5)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["a", "a_n", "b", "b_n"])
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        offsets, flat = batch.column(6).offsets.to_pylist(), batch.column(6).values.to_pylist()
-        for i, (token, size, part, side, word, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
-            if (token, size, part) != key:
-                key, cell = (token, size, part), Cell(token, size)
-            tokens = flat[offsets[i] : offsets[i + 1]]
-            if side and cell.words:
-                for other, m in cell.near(word, tokens, side == 3):
-                    out.append((word, n, other, m))
-            if side < 2:
-                cell.add(word, n, tokens)
-            if len(out) > 1 << 14:
-                yield flushed()
-    yield flushed()
+        held.append(batch)
+        if sum(b.num_rows for b in held) < CELL_ROWS:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        cell = [rows.column(k).to_numpy() for k in range(3)]
+        last = int(np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cell], axis=0)))[-1])
+        if last:
+            yield from found(rows.slice(0, last))
+        rest = rows.slice(last).combine_chunks()
+        if rest.num_rows >= CELL_ROWS + PART_WORDS:
+            # what looks has looked; its index stays for those to come
+            yield from found(rest)
+            rest = rest.filter(pa.array(rest.column(3).to_numpy() < 2))
+            rest = rest.set_column(3, rest.schema.field(3), pa.array(np.zeros(rest.num_rows), rest.schema.field(3).type)).combine_chunks()
+        held = rest.to_batches()
+    if any(b.num_rows for b in held):
+        yield from found(pa.Table.from_batches(held).combine_chunks())
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -229,7 +270,7 @@ def near_words(words: DataFrame) -> DataFrame:
         dealt = dealt.withColumn("to", F.explode(to)).select("token", "size", "to.part", "to.side", "word", "n", "tokens")
     else:
         dealt = dealt.select("token", "size", F.lit(0).alias("part"), "side", "word", "n", "tokens")
-    dealt = dealt.repartition("token", "size", "part").sortWithinPartitions("token", "size", "part", "side")
+    dealt = dealt.repartition("token", "size", "part").sortWithinPartitions("size", "token", "part", "side")
     return dealt.mapInArrow(_pairs, "a string, a_n long, b string, b_n long")
 
 

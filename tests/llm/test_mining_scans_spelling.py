@@ -7,11 +7,13 @@ import hashlib
 import lzma
 import math
 import random
+import time
 import urllib.parse
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -269,3 +271,33 @@ def test_words_of_whole_texts(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"word": F.lit(1), "n": F.lit("x"), "run": F.lit(None)})
     assert {r["word"]: r["n"] for r in spelling.words_of(df).collect()} == want
     assert spelling.variants(spelling.words_of(df.limit(0))).count() == 0
+
+
+def one_cell(words, shorter, size, side=1):
+    """A cell's rows: words of its length, then those one shorter; all begin with the cell's gram."""
+    rows = [(9, size, 0, s, w, k, [9 << 32 | 1]) for s, some in ((side, words), (2, shorter)) for k, w in enumerate(some)]
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["token", "size", "part", "side", "word", "n", "tokens"])
+
+
+def test_a_cell_that_is_read_in_pieces_has_all_its_pairs(monkeypatch):
+    rng = random.Random(5)
+    make = lambda n, size: sorted({"abc" + "".join(rng.choice("abé") for _ in range(size - 3)) for _ in range(n)})
+    words, shorter = make(150, 9), make(80, 8)
+    rng.shuffle(words)
+    near = {(w, o) for k, w in enumerate(words) for o in words[:k] if sum(x != y for x, y in zip(w, o)) == 1}
+    near |= {(w, o) for w in shorter for o in words if any(o[:k] + o[k + 1 :] == w for k in range(9))}
+    for rows, parts in ((1 << 13, 20_000), (7, 5), (40, 0)):
+        monkeypatch.setattr(spelling, "CELL_ROWS", rows)
+        monkeypatch.setattr(spelling, "PART_WORDS", parts)
+        monkeypatch.setattr(spelling, "CANDIDATES", rows)
+        got = [p for b in spelling._pairs(iter(one_cell(words, shorter, 9).to_batches(6))) for p in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+        assert len(got) == len(set(got)) and set(got) == near
+
+
+def test_a_full_cell_takes_seconds():
+    rng = random.Random(6)
+    words = sorted({"abc" + "".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(20_000)})
+    began = time.process_time()
+    assert sum(b.num_rows for b in spelling._pairs(iter(one_cell(words, [], 10).to_batches(10_000)))) > 4000
+    assert time.process_time() - began < 2
