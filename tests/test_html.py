@@ -3,6 +3,7 @@
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,3 +108,27 @@ def test_titles_cut_inside_a_reference_are_those_of_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = sorted(con.sql(f"SELECT page_id, title FROM ({queries.SQL['page_elements']})").fetchall())
     assert got == want == [(1, "the&&&amp"), (2, "the&am"), (3, "a &lt; b&lt;"), (4, "&am")]
+
+
+def test_pages_go_to_python_and_on_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        pages = spark.range(0, 3000, 1, 1).select("id", F.concat(F.lit("<p>"), F.col("id").cast("string"), F.lit("</p>")).alias("html"))
+        rows = html.select(pages, "html", {"p": "p"})
+        sizes = [r["n"] for r in rows.select("id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+        got = rows.select("id", html.text_of("p").alias("t")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(sizes) == 3000 and max(sizes) <= 500
+    assert [(r["id"], r["t"]) for r in got] == [(k, str(k)) for k in range(3000)]
+
+
+def test_elements_of_long_pages_are_given_on_together_up_to_a_bound():
+    long = "<p>" + "x" * 200_000 + "</p>"
+    batch = pa.RecordBatch.from_pydict({"html": [long if k % 2 else "<p>a<p>b" for k in range(30)] + [None, ""], "id": list(range(32))})
+    out = list(html.elements(iter([batch, batch.slice(30)]), html.Rules({"p": "p"}), "p", frozenset(), frozenset(), ["id", "at", "root", "inside"]))
+    assert max(b.nbytes for b in out) < 2_000_000
+    got = [(i, k) for b in out for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert got == [(i, k) for i in range(30) for k in range(1 if i % 2 else 2)]
