@@ -27,6 +27,25 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+#: The white space of WS.
+SPACES = " " + "".join(map(chr, (*range(9, 14), 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
+
+def trim(text: str) -> str:
+    """``trimmed`` of one text."""
+    return text.strip(SPACES)
+
+
+def collapse(text: str) -> str:
+    """One text with a space for each run of white space, and none at the ends."""
+    for c in SPACES[1:]:
+        if c in text:
+            text = text.replace(c, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text.strip(" ")
+
+
 def html_text(html: Column) -> Column:
     """The text of HTML: tags are white space, six references are decoded, runs of white space are one space."""
     c = F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>", "\n"), "<[^>]+>", " ")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.html import attr_of, of, select, text_of
-from ..functions.text import WS, all_words, channel_content, channel_title, trimmed
+from ..functions.html import attr_of, of, read, select
+from ..functions.links import LINKS, links_of_text
+from ..functions.text import WS, all_words, channel_content, channel_title, collapse, trim, trimmed
 from .channels import channel_links
-from .registry import links_of
 
 #: Selectors of a channel's page.
 MESSAGE = {"wrap": ".tgme_widget_message_wrap", "text": ".tgme_widget_message_text", "time": "time", "post": "[data-post]", "link": ".tgme_widget_message_text a[href]"}
@@ -83,14 +83,34 @@ def admitted_links(inside: str, most: int) -> Column:
 
 
 def detail_urls(pages: DataFrame, most: int = MOST_DETAILS) -> DataFrame:
-    """``pages`` (source, html, ...) with ``urls``: the first ``most`` detail pages that each links to, and ``links``: drive links of the page itself.
+    """``pages`` (source, html, ...) with ``urls``: the first ``most`` detail pages that each links to, ``links``: drive links of the page itself, and ``content``.
 
     Links of the trusted places come first, place by place; then those with a text of over four characters inside a
     heading, a list item or a container. Only web addresses count, none of drives; each once.
     """
-    p = select(pages, "html", _rules(), spaced=("",))
-    p = p.withColumns({"urls": admitted_links("inside", most), "whole": _collapsed(F.col("root.text")), "said": _said("a")}).drop("at", "root", "inside")
-    return p.withColumns({"links": links_of(F.col("said")), "content": F.substring("whole", 1, CONTENT_CHARS)}).drop("said", "whole")
+
+    def told(root: dict, inside: list[dict]) -> tuple:
+        listed = sorted((e["rule"], i, href_of(e), trim(e["text"])) for i, e in enumerate(inside) if e["rule"] != "a")
+        urls = dict.fromkeys(url for rule, _, url, text in listed if admits(rule, url, text))
+        whole = collapse(root["text"])
+        return list(urls)[:most], links_of_text(said_by(inside, whole)), whole[:CONTENT_CHARS]
+
+    return read(pages, "html", _rules(), told, f"urls array<string>, links {LINKS}, content string", spaced=("",))
+
+
+def href_of(element: dict) -> str:
+    return next((v for k, v in element["attrs"] if k == "href"), "")
+
+
+def admits(rule: str, url: str, text: str) -> bool:
+    """Whether a link may lead to a detail page: what ``admitted_links`` says of columns."""
+    return url.startswith("http") and not any(h in url for h in DRIVES) and (rule != "any" or len(text) > LEAST_TEXT and "#" not in url and "javascript:" not in url)
+
+
+def said_by(inside: list[dict], whole: str) -> str:
+    """Addresses and texts of links, then the whole text: what ``_said`` says of columns."""
+    each = [x for e in inside if e["rule"] == "a" for x in (href_of(e), trim(e["text"])) if x]
+    return "\n".join(each) + "\n" + whole
 
 
 def _collapsed(text: Column) -> Column:
@@ -103,16 +123,27 @@ def _said(rule: str) -> Column:
     return F.concat(F.array_join(each, "\n"), F.lit("\n"), _collapsed(F.col("root.text")))
 
 
+DETAIL_RULES = {"og": 'meta[property="og:title"]', "h1": "h1", "title": "title", "time": TIMES, "a": "a[href]"} | {f"content {k}": s for k, s in enumerate(CONTENTS)}
+
+
+def detail(root: dict, inside: list[dict]) -> tuple | None:
+    """Title, content, time and drive links of a detail page; none without a drive link."""
+    whole = collapse(root["text"])
+    links = links_of_text(said_by(inside, whole))
+    if not links:
+        return None
+    first: dict[str, dict] = {}
+    for e in inside:
+        first.setdefault(e["rule"], e)
+    text = lambda rule: trim(first[rule]["text"]) if rule in first else ""
+    attr = lambda rule, name: next((v for k, v in first[rule]["attrs"] if k == name), "") if rule in first else ""
+    content = next((t for t in (text(f"content {k}") for k in range(len(CONTENTS))) if len(t) > LEAST_CONTENT), whole)
+    return attr("og", "content") or text("h1") or text("title"), content[:CONTENT_CHARS], attr("time", "datetime") or text("time"), links
+
+
 def details(pages: DataFrame) -> DataFrame:
     """``source, url, title, content, datetime, links`` of captured detail pages (source, url, html) that have a drive link."""
-    rules = {"og": 'meta[property="og:title"]', "h1": "h1", "title": "title", "time": TIMES, "a": "a[href]"} | {f"content {k}": s for k, s in enumerate(CONTENTS)}
-    p = select(pages.select("source", "url", "html"), "html", rules, spaced=("",)).withColumn("said", _said("a")).withColumn("links", links_of(F.col("said"))).where(F.size("links") > 0)
-    filled = lambda c: F.nullif(c, F.lit(""))
-    title = F.coalesce(filled(attr_of("og", "content")), filled(text_of("h1")), text_of("title"))
-    told = F.filter(F.array(*[text_of(f"content {k}") for k in range(len(CONTENTS))]), lambda t: F.length(t) > LEAST_CONTENT)
-    content = F.coalesce(F.get(told, F.lit(0)), _collapsed(F.col("root.text")))
-    when = F.coalesce(filled(attr_of("time", "datetime")), text_of("time"))
-    return p.select("source", "url", title.alias("title"), F.substring(content, 1, CONTENT_CHARS).alias("content"), when.alias("datetime"), "links")
+    return read(pages.select("source", "url", "html"), "html", DETAIL_RULES, detail, f"title string, content string, datetime string, links {LINKS}", spaced=("",))
 
 
 def searched(results: DataFrame, captured: DataFrame, keyword: str = "", most: int = MOST_DETAILS) -> DataFrame:
@@ -125,9 +156,14 @@ def searched(results: DataFrame, captured: DataFrame, keyword: str = "", most: i
     low = F.lower("source").alias("source")
     found = detail_urls(results.select(low, F.col("url").alias("result"), "html"), most)
     pages = details(captured.select(low, "url", "html")).dropDuplicates(["source", "url"])
-    wanted = found.select("source", "result", F.posexplode("urls").alias("i", "url"))
-    made = wanted.join(pages, ["source", "url"]).withColumn("title", F.when(F.col("title") != "", F.col("title")).otherwise(F.concat(F.lit("Result "), (F.col("i") + 1).cast("string"))))
-    made = made.select("source", "result", F.md5(F.col("url").cast("binary")).alias("id"), "datetime", "title", "content", "links")
-    own = found.where(F.size("links") > 0).select("source", "result", F.concat(F.lit("direct-"), F.md5(F.col("result").cast("binary"))).alias("id"), F.lit("").alias("datetime"), F.lit("Search Result").alias("title"), "content", "links")
-    rows = made.unionByName(own).where(all_words(F.lit(keyword), F.col("title"), F.col("content")))
+    pages = pages.select("source", F.col("url").alias("key"), F.struct("datetime", "title", "content", "links").alias("led"))
+    wanted = found.select("source", "result", "content", "links", F.posexplode_outer("urls").alias("i", "url"))
+    wanted = wanted.withColumns({c: F.when(F.coalesce("i", F.lit(0)) == 0, F.col(c)) for c in ("content", "links")})
+    # a result page that leads nowhere has a key of its own, which no row of details has: nulls would all go to one task
+    joined = wanted.withColumn("key", F.coalesce("url", F.concat(F.lit("\0"), "result"))).join(pages, ["source", "key"], "left")
+    record = lambda i, time, title, content, links: F.struct(i.alias("id"), time.alias("datetime"), title.alias("title"), content.alias("content"), links.alias("links"))
+    title = F.when(F.col("led.title") != "", F.col("led.title")).otherwise(F.concat(F.lit("Result "), (F.col("i") + 1).cast("string")))
+    made = F.when(F.col("url").isNotNull() & F.col("led").isNotNull(), record(F.md5(F.col("url").cast("binary")), F.col("led.datetime"), title, F.col("led.content"), F.col("led.links")))
+    own = F.when(F.size("links") > 0, record(F.concat(F.lit("direct-"), F.md5(F.col("result").cast("binary"))), F.lit(""), F.lit("Search Result"), F.col("content"), F.col("links")))
+    rows = joined.select("source", "result", F.explode(F.array_compact(F.array(made, own))).alias("r")).select("source", "result", "r.*").where(all_words(F.lit(keyword), F.col("title"), F.col("content")))
     return rows.select(F.lit("").alias("message_id"), F.concat("source", F.lit("-"), "id").alias("unique_id"), F.lit("").alias("channel"), "datetime", "title", "content", "links", "result")
